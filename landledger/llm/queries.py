@@ -6,20 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filters
+from . import packing, piece_codec, quality_rules, token_counts, url_filters
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the package that holds them is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filters.rule_table(spark))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op8_url_filters": op8_url_filters,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE_SQL}
