@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, quality_rules, token_counts, url_filters
+from . import packing, pii, piece_codec, quality_rules, token_counts, url_filters
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -37,6 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op8_url_filters": op8_url_filters,
