@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, piece_codec, quality_rules, token_counts, url_filters
+from . import packing, pii, piece_codec, quality_rules, token_counts, url_filters, warc
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -41,6 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_pii": op3_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
@@ -49,4 +54,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filters": url_filters.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
