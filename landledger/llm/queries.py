@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, piece_codec, quality_rules, token_counts, url_filters, warc
+from . import packing, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filters.rule_table(spark))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_model": op7_quality_model,
     "op8_url_filters": op8_url_filters,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
