@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
+from . import near_dups, packing, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2, share=80)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,6 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_near_dups": op2_near_dups,
     "op3_pii": op3_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
