@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dups, packing, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
+from . import near_dups, packing, permutation_index, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +29,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_dups": op2_near_dups,
     "op3_pii": op3_pii,
+    "op4_permutation_index": op4_permutation_index,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_quality_model": op7_quality_model,
