@@ -1,10 +1,15 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes the rows that the one before it kept; between stages they are written as a table in the folder that the
+cluster shares.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landledger.llm import quality_rules
+from landledger.llm import near_dups, packing, pii, quality_model, quality_rules
+from landledger.llm.queries import vocabulary
 from landledger.llm.shared import materialise
 
 
@@ -12,8 +17,31 @@ def _quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", _quality_rules)]
+def _quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_model.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_one_of_each(docs, words=5, share=80)
+
+
+def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", _quality_rules),
+    ("quality_classifier", _quality_classifier),
+    ("near_duplicates", _near_duplicates),
+    ("personal_data", _personal_data),
+    ("packing", _packing),
+]
 
+#: SQL can't express the classifier, the merges of byte-pair encoding and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
