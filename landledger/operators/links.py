@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialise
+
 #: Rounds after which chains of 2^20 links are resolved.
 MOST_ROUNDS = 20
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage where the cluster has a checkpoint folder (a session sets one with setCheckpointDir or spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='landledger-')}"  # one machine only: no cluster names a folder
-        spark.conf.set("spark.checkpoint.dir", folder)
-    import uuid
-
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, "links")
 
 
 def double_pointers(links: DataFrame) -> DataFrame:

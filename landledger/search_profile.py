@@ -76,6 +76,8 @@ class Weights:
 
     def normalised(self) -> Weights:
         total = sum(asdict(self).values())
+        if abs(total - 1) < 1e-9:
+            return self
         return Weights(**{k: v / total for k, v in asdict(self).items()}) if total > 0 else Weights()
 
 
@@ -140,9 +142,9 @@ class Profile:
         """Sliders clamp to their ranges; moving the budget lets the purchase limits follow it again."""
         out = self
         if air_km is not None:
-            out = replace(out, radius=replace(out.radius, air_km_max=min(200.0, max(10.0, air_km))))
+            out = replace(out, radius=replace(out.radius, air_km_max=float(min(200.0, max(10.0, air_km)))))
         if total_budget is not None:
-            out = replace(out, budget=replace(out.budget, total_max=min(3e6, max(2e5, total_budget)), target=None, negotiation=None, purchase_hard=None))
+            out = replace(out, budget=replace(out.budget, total_max=float(min(3e6, max(2e5, total_budget))), target=None, negotiation=None, purchase_hard=None))
         return out
 
 
