@@ -1,48 +1,16 @@
-"""Where intermediate tables go, and small things that several operators need."""
+"""Small things that several operators need."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialise, new_path, shared_dir  # noqa: F401
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session does not name one (tests on one machine) a folder of this process is made.
-    """
-    global _own_dir
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="landledger-")
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    That cuts the lineage: what follows survives the loss of any executor without redoing ``df``.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
