@@ -164,6 +164,85 @@ def lift_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return out.withColumn("page_kind", page_kind(F.col("url"), F.col("title"), F.col("siblings"))).withColumnRenamed("id", id_col)
 
 
+class _Tables(HTMLParser):
+    """Tables as rows of (is header, text, first link) cells."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tables, self.cell = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.cell = [tag == "th", "", None]
+            self.tables[-1][-1].append(self.cell)
+        elif tag == "a" and self.cell is not None and self.cell[2] is None:
+            self.cell[2] = dict(attrs).get("href")
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th", "tr", "table"):
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell[1] += data
+
+
+COURT_HEADERS = {"aktenzeichen": "external_id", "amtsgericht": "court", "objekt": "title", "verkehrswert": "price_raw", "termin": "auction_date", "versteigerungstermin": "auction_date", "ort": "town", "lage": "town"}
+
+
+def court_rows(html: str, base: str) -> list[dict]:
+    """Rows of the tables whose header names a file number; columns go by their header, missing cells are missing fields."""
+    p = _Tables()
+    p.feed(html or "")
+    out = []
+    for table in p.tables:
+        if not table:
+            continue
+        names = [COURT_HEADERS.get(_folded(c[1])) for c in table[0]]
+        if "external_id" not in names:
+            continue
+        for row in table[1:]:
+            got = {n: " ".join(c[1].split()) for n, c in zip(names, row, strict=False) if n and c[1].strip()}
+            link = next((c[2] for c in row if c[2]), None)
+            if not got or not (link or got.get("external_id")):
+                continue
+            url = urljoin(base or "", link) if link else f"{(base or '').rstrip('/')}/index.php?az={got['external_id'].replace(' ', '%20')}"
+            out.append({"url": url, **{k: got.get(k) for k in ("external_id", "title", "price_raw", "auction_date")}, "location_raw": ", ".join(x for x in (got.get("court"), got.get("town")) if x) or None})
+    return out
+
+
+def lift_court_tables(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Raw listings of court registers, one row per table row."""
+    names = ("url", "external_id", "title", "price_raw", "auction_date", "location_raw")
+
+    def per_batch(batches):
+        for b in batches:
+            rows = [r for u, h in zip(b["url"], b["html"], strict=True) for r in court_rows(h, u)]
+            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="object") for n in names})
+
+    return pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(per_batch, ", ".join(f"{n} string" for n in names))
+
+
+def merge_document_text(listings: DataFrame, documents: DataFrame) -> DataFrame:
+    """``documents``: url, title, text (already extracted).  What the page says goes first; a document only fills holes."""
+    d = documents.groupBy("url").agg(F.min_by("title", "title").alias("_t"), F.min_by("text", "title").alias("_x"))
+    return listings.join(d, "url", "left").withColumns({"title": F.coalesce("title", "_t"), "description": F.coalesce("description", "_x")}).drop("_t", "_x")
+
+
+def search_queries(terms: list[str], regions: list[str], most_terms: int = 5) -> list[str]:
+    """The queries of a web or portal search: core term by region."""
+    return [f"{t} {r}".strip() for t in terms[:most_terms] for r in (regions or [""])]
+
+
+def enabled(config: DataFrame) -> DataFrame:
+    """Sources are only used once their terms were read: a date and an excerpt."""
+    return config.filter(F.col("enabled") & F.col("terms_checked_at").isNotNull() & (F.coalesce(F.col("terms_excerpt"), F.lit("")) != ""))
+
+
 INDEX_LINKS = 10
 
 

@@ -23,3 +23,9 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in files.lift_pages(df).collect()}
     assert got[1]["title"] == "Hofstelle in Au" and got[1]["fields"] == {"price_raw": "750.000 €", "living_raw": "180 m²"} and got[1]["images"] == ["https://x.de/b.jpg", "https://x.de/a.jpg"]
     assert [got[i]["page_kind"] for i in (1, 2, 3, 4)] == ["listing", "index", "utility", "listing"]
+
+
+def test_court_tables(spark):
+    html = "<table><tr><th>Foo</th></tr><tr><td>x</td></tr></table><table><tr><th>Aktenzeichen</th><th>Amtsgericht</th><th>Objekt</th><th>Verkehrswert</th></tr><tr><td>1 K 2/26</td><td>Rosenheim</td><td><a href='/d/1'>Hof</a></td><td>420.000</td></tr><tr><td>2 K 3/26</td><td>Traunstein</td></tr></table>"
+    got = files.lift_court_tables(spark.createDataFrame([("https://z.de", html), ("https://y.de", None)], "url string, html string")).orderBy("url").collect()
+    assert [(r["url"], r["external_id"], r["title"], r["location_raw"]) for r in got] == [("https://z.de/d/1", "1 K 2/26", "Hof", "Rosenheim"), ("https://z.de/index.php?az=2%20K%203/26", "2 K 3/26", None, "Traunstein")]
