@@ -183,7 +183,7 @@ SELECT id_a, id_b, CAST(proofs AS INT) AS proofs, round(CASE WHEN NOT is_duplica
 
 
 def _literal_table(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if not isinstance(v, str) else f"'{v}'" for v in r) + ")" for r in rows)
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if not isinstance(v, str) else f"'{v}'" for v in r) + ")" for r in rows)
 
 
 def _by_position(values, key: str = "o_orderkey") -> str:
@@ -194,6 +194,19 @@ PRICE_ANSWERS = ((750000.0, "asking"), (750000.0, "asking"), (750000.0, "asking"
 AREA_ANSWERS = (5000.0, 1608.0, 5000.0, 10000.0, 6814.0, 150.0, 180.0, 450.0, 125000.0, None)
 DATE_ANSWERS = ("2026-09-03", "2026-09-02", "2026-08-31", "2026-08-20", "2026-08-03", "2026-08-17", "2026-03-12", "2026-03-12", None, "2026-03-12", "2026-03-12", None)
 
+PLACE_ANSWERS = ((None, "83620", "Feldkirchen-Westerham", None), (None, None, "Vogtareuth", "Rosenheim"), (None, None, "Bad Aibling", None), (None, None, "Rosenheim", "Rosenheim"), ("Musterstraße 12", "83024", "Rosenheim", None), (None, None, None, None))
+TOWN_ANSWERS = (("Bad Aibling", "83043"), ("Bad Aibling", "83043"), (None, None), ("Rosenheim", "83022"), ("Vogtareuth", "83569"))
+TAG_ANSWERS = (
+    ("stadel,stall", "alleinlage", "hofstelle,stadel", False, False, False, "hofstelle"), ("", "ortsrand,teilbar", "", False, False, False, "bauernhof"), ("", "", "", True, False, False, None), ("", "", "", False, True, False, None),
+    ("scheune,tenne", "bebauungsplan", "", False, False, False, None), ("", "", "", False, False, True, None), ("", "", "einoede", False, False, False, "einoede"), ("", "", "", False, False, False, None), ("", "", "", False, False, False, None), ("", "", "", False, False, False, None),
+)
+#: Edges join each multiple of 5 (but of 20) with the next, unless the next is a multiple of 3: groups are runs of such links.
+MERGED = """e AS (SELECT property_id AS u, property_id + 5 AS v FROM property WHERE property_id % 5 = 0 AND property_id % 20 <> 0 AND (property_id + 5) % 3 <> 0 AND property_id + 5 IN (SELECT property_id FROM property)),
+m AS (SELECT p.*, CASE WHEN p.property_id % 5 <> 0 THEN p.property_id ELSE (SELECT max(q.property_id) FROM property q WHERE q.property_id % 5 = 0 AND q.property_id <= p.property_id AND q.property_id NOT IN (SELECT v FROM e)) END AS survivor_id,
+  CASE listing_status WHEN 'active' THEN 5 WHEN 'discovered' THEN 2 WHEN 'stale' THEN 1 ELSE 0 END AS rank FROM property p)
+SELECT survivor_id, count(*) AS merged, arg_min(price, property_id) FILTER (price IS NOT NULL) AS price, arg_min(land_sqm, property_id) FILTER (land_sqm IS NOT NULL) AS land_sqm, arg_min(town, property_id) FILTER (town IS NOT NULL) AS town, bool_or(is_monument) AS is_monument,
+  array_to_string(list_sort(list_distinct(flatten(list(list_filter(string_split(sheds, ','), lambda x: x <> ''))))), ',') AS sheds, arg_max(listing_status, (rank, -property_id)) AS listing_status FROM m GROUP BY 1"""
+
 ORACLES: dict[str, str] = {
     "source_yield": _with(PROPERTY_CTE, SOURCE_CTE) + f"SELECT source_key, count(DISTINCT l_partkey) AS observed, count(DISTINCT CASE WHEN air_km <= 80 THEN l_partkey END) AS in_radius FROM lineitem JOIN property ON property_id = l_partkey JOIN source ON source_id = l_suppkey WHERE l_shipdate >= {NOW} - INTERVAL 400 DAY GROUP BY 1",
     "coverage_zero_fill": _with(PROPERTY_CTE, "e(ord, town) AS (VALUES (0, 'Ort 3'), (1, 'Ort 5'), (2, 'Ort 89'), (3, 'Ort 400'), (4, 'Ort 7'), (5, 'Ort 12'))") + "SELECT ord, e.town, count(p.property_id) AS observed FROM e LEFT JOIN property p ON p.town = e.town GROUP BY 1, 2",
@@ -251,6 +264,12 @@ ORACLES: dict[str, str] = {
     "keyword_hits": "SELECT term, count(*) AS n FROM documents, (VALUES ('license'), ('gpl')) t(term) WHERE contains(lower(text), term) GROUP BY 1",
     "marked_list": _scored(SHIPPED) + "SELECT property_id, final_score, rejected FROM scored WHERE property_id % 31 = 0",
     "dossier_facts": _with(PROPERTY_CTE) + "SELECT property_id, 'town' AS field, town AS value FROM property UNION ALL SELECT property_id, 'price_type', price_type FROM property UNION ALL SELECT property_id, 'year_built', CAST(year_built AS VARCHAR) FROM property",
+    "parse_places": f"WITH a(k, street, postcode, town, district) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(PLACE_ANSWERS))}) SELECT street, postcode, town, district, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(PLACE_ANSWERS)} GROUP BY 1, 2, 3, 4",
+    "town_lookup": f"WITH a(k, name, postcode) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TOWN_ANSWERS))}) SELECT name, postcode, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(TOWN_ANSWERS)} GROUP BY 1, 2",
+    "listing_tags": f"WITH a(k, outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TAG_ANSWERS))}) SELECT outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type, count(*) AS n FROM part JOIN a ON k = p_partkey % 10 GROUP BY ALL",
+    "best_urls": _with(SOURCE_CTE, PROPERTY_SOURCE_CTE) + "SELECT property_id, 'https://x/' || source_id AS url FROM property_source JOIN source USING (source_id) WHERE source_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY is_best DESC, role <> 'discovery' DESC, visible DESC, reliability DESC, source_id) = 1",
+    "review_states": _with(PROPERTY_CTE) + "SELECT CASE property_id % 3 WHEN 0 THEN 'TRIAGE_SAYS_RENTAL' WHEN 1 THEN CASE WHEN sheds = '' THEN 'TRIAGE_SAYS_FLAT' END END AS triage_reason, CASE WHEN property_id % 3 = 1 AND sheds <> '' THEN 'TRIAGE_DOUBT' ELSE '' END AS flags, count(*) AS n FROM property GROUP BY 1, 2",
+    "merge_survivors": _with(PROPERTY_CTE) + ", " + MERGED,
     "map_split": _with(PROPERTY_CTE) + "SELECT CASE WHEN lat IS NULL THEN NULL ELSE geo_precision IN ('exact', 'street') END AS precise, count(*) AS n FROM property GROUP BY 1",
 }
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, geo, german_format, numbers, text, urls
-from ..operators import cost, lifecycle, report, resolve, score
+from ..functions import dates, geo, german_format, listings, numbers, text, towns, urls
+from ..operators import cost, lifecycle, report, resolve, score, triage
 from ..search_profile import BUILT_IN, SHIPPED
 from ..sources import files
 from . import roles
@@ -420,3 +420,44 @@ def map_split(spark, d):
     on, off = report.map_points(roles.properties(spark, d))
     a = on.groupBy("precise").agg(F.count(F.lit(1)).alias("n"))
     return a.union(off.agg(F.lit(None).cast("boolean").alias("precise"), F.count(F.lit(1)).alias("n")))
+
+
+PLACES = ("83620 Feldkirchen-Westerham", "Vogtareuth (Landkreis Rosenheim)", "Sacherl bei Bad Aibling", "Rosenheim (Kreis), Bayern", "Musterstraße 12, 83024 Rosenheim", "")
+
+
+@query
+def parse_places(spark, d):
+    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, PLACES)), (F.col("o_orderkey") % len(PLACES) + 1).cast("int")).alias("raw"))
+    p = listings.parse_location(F.col("raw"))
+    return o.select(p["street"].alias("street"), p["postcode"].alias("postcode"), p["town"].alias("town"), p["district"].alias("district")).groupBy("street", "postcode", "town", "district").agg(F.count(F.lit(1)).alias("n"))
+
+
+ADDRESSES = ("Bad Aibling", "Hauptstr. 5, 83043 Bad Aibling", "Fuerstenfeldbruck", "bei 83022", "Vogtareuth bei Rosenheim")
+
+
+@query
+def town_lookup(spark, d):
+    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("o_orderkey") % len(ADDRESSES) + 1).cast("int")).alias("raw"))
+    return towns.lookup_towns(o, "raw").select(F.col("town.name").alias("name"), F.col("town.postcode").alias("postcode")).groupBy("name", "postcode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def listing_tags(spark, d):
+    p = roles.properties(spark, d).select("property_id", "description")
+    f = listings.features(F.col("description"))
+    t = p.select(F.array_join(f["outbuildings"], ",").alias("outbuildings"), F.array_join(f["building_features"], ",").alias("building_features"), F.array_join(f["special_features"], ",").alias("special_features"), f["is_monument"].alias("is_monument"), f["is_private_seller"].alias("is_private_seller"), f["is_off_market_signal"].alias("is_off_market_signal"), listings.property_type(F.lit(""), F.col("description")).alias("property_type"))
+    return t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def best_urls(spark, d):
+    rows = roles.property_sources(spark, d).join(roles.sources(spark, d), "source_id")
+    rows = rows.withColumns({"verifies": F.col("role") != "discovery", "url": F.when(F.col("source_id") % 9 != 0, F.concat(F.lit("https://x/"), F.col("source_id").cast("string")))})
+    return report.best_url(rows)
+
+
+@query
+def review_states(spark, d):
+    p = roles.properties(spark, d).withColumn("answer", F.when(F.col("property_id") % 3 == 0, F.lit('Sure:\n```json\n{"offer_kind": "rent", "offer_probabilities": {"rent": 0.9}}\n```')).when(F.col("property_id") % 3 == 1, F.lit('{"offer_kind": "sale", "dwelling_kind": "flat", "dwelling_probabilities": {"flat": 0.95}}')).otherwise("no idea"))
+    out = triage.decide(p.withColumn("v", triage.parse_verdict(F.col("answer"))), "v", SHIPPED)
+    return out.select(F.col("triage_reason"), F.array_join("triage_flags", ",").alias("flags")).groupBy("triage_reason", "flags").agg(F.count(F.lit(1)).alias("n"))

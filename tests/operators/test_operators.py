@@ -93,3 +93,35 @@ def test_unknown_filter_is_refused(spark):
 def test_timeline_folds_runs(spark):
     e = spark.createDataFrame([(1, i, i, k) for i, k in enumerate(["observation", "observation", "price", "observation", "price", "price"])], "property_id long, ts long, seq long, kind string")
     assert [(r["kind"], r["n"]) for r in report.timeline(e).orderBy("island").collect()] == [("observation", 2), ("price", 1), ("observation", 1), ("price", 1), ("price", 1)]
+
+
+def test_sinks(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    for h, n in (("a", 1), ("b", 2), ("a", 3)):
+        report.write_scores(spark.createDataFrame([(n, h)], "property_id int, profile_hash string"), f"{base}/scores")
+    assert {tuple(r) for r in spark.read.parquet(f"{base}/scores").collect()} == {(3, "a"), (2, "b")}
+    for day in ("2026-09-01", "2026-09-02"):
+        report.write_log(spark.createDataFrame([(1, day)], "x int, run_date string"), f"{base}/log")
+    assert spark.read.parquet(f"{base}/log").count() == 2
+    report.write_export(spark.createDataFrame([(1, "a;b", None)], "x int, y string, mark string").coalesce(1), f"{base}/export")
+    lines = next((tmp_path / "export").glob("part-*")).read_text().splitlines()
+    assert lines[0] == "x;y;mark" and lines[1].startswith('1;"a;b";')
+    assert "# W\n" in report.digest_markdown("W", {"tracked": 1}, [{"title": "Hof", "final_score": 70}])
+
+
+def test_evidence_and_tags(spark):
+    rows = [(1, 0, {"price": (0.8, "a")}, ["x"], False), (1, 1, {"price": (0.8, "b"), "town": (0.6, "c")}, ["y", "x"], True), (1, 2, {"town": (0.9, "d")}, None, None)]
+    df = spark.createDataFrame(rows, "property_id long, seq long, evidence map<string,struct<confidence:double,quote:string>>, tags array<string>, flag boolean")
+    e = lifecycle.merge_evidence(df).first()["evidence"]
+    assert (e["price"]["quote"], e["town"]["quote"]) == ("a", "d")
+    t = lifecycle.fold_tags(df, ["tags"], ["flag"]).first()
+    assert t["tags"] == ["x", "y"] and t["flag"] is True
+
+
+def test_delete(spark):
+    p = spark.createDataFrame([(1, None), (2, 1), (3, None)], "property_id long, merged_into_id long")
+    tables = {"property": p, "log": spark.createDataFrame([(3,), (3,), (1,)], "property_id long")}
+    assert {tuple(r) for r in lifecycle.dependent_rows(tables, 3).collect()} == {("property", 1), ("log", 2)}
+    assert lifecycle.delete_property(tables, 3)["log"].count() == 1
+    with pytest.raises(ValueError):
+        lifecycle.delete_property(tables, 1)
