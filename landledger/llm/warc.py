@@ -43,7 +43,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
     # Only digests that occur again are joined; partial counts make a hot payload one row per task.
     again = rows.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    rows = rows.join(again, "digest", "left")
+    # Written first, so that the planner knows its size: where it is small, no payload is shuffled.
+    rows = rows.join(materialise(again, "warc-repeated"), "digest", "left")
     old = (F.col("n") >= LEAST_REVISIT) & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.col(c).cast("string"), F.lit(">"))
     head = F.concat(
