@@ -84,7 +84,7 @@ def _distance(x: list[Column], m: list[Column], s: dict[tuple[int, int], Column]
     cof = {(0, 0): d * g - f * f, (0, 1): c * f - b * g, (0, 2): b * f - c * d, (1, 1): a * g - c * c, (1, 2): b * c - a * f, (2, 2): a * d - b * b}
     det = a * cof[0, 0] + b * cof[0, 1] + c * cof[0, 2]
     total = sum(((1 if i == j else 2) * e[i] * e[j] * cof[i, j] for i, j in PAIRS), F.lit(0.0))
-    return F.greatest(total / det, F.lit(0.0))
+    return F.when(det.isNotNull(), F.greatest(total / det, F.lit(0.0)))
 
 
 def _with_estimate(rows: DataFrame, est: DataFrame, lang: Column, source: Column) -> DataFrame:
@@ -148,10 +148,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     shuffling the texts to join them with verdicts, and right for repeated and missing ids.
     """
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("_q_text"))
-    rows = _counts(rows, "_q_text").filter(~_base_failed("_q_"))
-    points = materialise(rows.select("lang", "source", *[x.alias(f"x{i}") for i, x in enumerate(_vector("_q_"))]), "quality-points")
-    est = fit_groups(points)
-    again = _counts(nested(docs), f"_row.`{text_col}`").filter(~_base_failed("_q_")).select("_row", *[x.alias(f"_x{i}") for i, x in enumerate(_vector("_q_"))])
+    rows = _counts(rows, "_q_text")
+    points = materialise(rows.select("lang", "source", _base_failed("_q_").alias("_failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector("_q_"))]), "quality-points")
+    est = fit_groups(points.filter("not _failed").select("lang", "source", "x0", "x1", "x2"))
+    again = _counts(nested(docs), f"_row.`{text_col}`")
+    # A filter that reads a row number can't be moved below the counts, where it would write them out once for each use, inside lambdas.
+    again = again.select("_row", _base_failed("_q_").alias("_failed"), *[x.alias(f"_x{i}") for i, x in enumerate(_vector("_q_"))], F.monotonically_increasing_id().alias("_barrier"))
+    again = again.filter("not _failed and _barrier >= 0").drop("_barrier", "_failed")
     both = _with_estimate(again, est, F.col(f"_row.`{lang_col}`"), F.col(f"_row.`{source_col}`"))
     far = F.coalesce(_estimate_distance([F.col(f"_x{i}") for i in range(3)]) > CUTOFF, F.lit(False))
     return both.filter(~far).select("_row.*")
