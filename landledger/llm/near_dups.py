@@ -34,6 +34,8 @@ from .shared import materialise
 
 HALVES, ROWS = 12, 2
 SKETCH = 1024
+#: Bits of the bitmap that tells tasks which documents' sets are needed (4 MB).
+MARK_BITS = 1 << 25
 #: Texts are hashed together up to so many bytes.
 CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,12 +169,35 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(per_batch, "id bigint, n bigint, f1 bigint, f2 bigint, halves array<bigint>, sketch array<bigint>")
 
 
+def _marks(wanted: DataFrame) -> np.ndarray | None:
+    """A bitmap of the hashes of the wanted ids, of MARK_BITS bits at most; null if there are too many ids for it to tell much."""
+    at = F.pmod(F.xxhash64("id"), F.lit(MARK_BITS))
+    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"), F.count(F.lit(1)).alias("n"))
+    rows = parts.collect()  # no more than MARK_BITS in all
+    if sum(r["n"] for r in rows) > MARK_BITS // 4:
+        return None
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in rows:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        start = (r["bucket"] - 1) * len(bits)
+        out[start : start + len(bits)] = bits[: len(out) - start]
+    return out
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, n, s (the sorted hashes as bytes) of the documents in ``wanted``."""
+    """id, n, s (the sorted hashes as bytes) of the documents in ``wanted``.
+
+    The texts stay where they are: a bitmap of the wanted ids goes to the tasks, and only the sets of what it lets through are
+    joined with the ids.  With too many ids for the bitmap the texts are joined with them first.
+    """
+    marks = _marks(wanted)
 
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(words)
         for b in batches:
+            if marks is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             done = 0
             for texts in _chunks(_bytes(b.column(1))):
                 h, n = s.sets(texts)
@@ -181,13 +206,29 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(texts)), pa.array(n, pa.int64()), pa.array(parts, pa.binary())], names=["id", "n", "s"])
                 done += len(texts)
 
-    return docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(per_batch, "id bigint, n bigint, s binary")
+    rows = docs.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)).alias("at"))
+    if marks is None:
+        rows = rows.join(wanted, "id", "left_semi")
+    out = rows.mapInArrow(per_batch, "id bigint, n bigint, s binary")
+    return out if marks is None else out.join(wanted, "id", "left_semi")
 
 
 def _close_sizes(a: Column, b: Column, share: int) -> Column:
     return (100 * F.least(a, b)) >= (share * F.greatest(a, b))
 
 
+def _possible(a: str, b: str, share: int) -> Column:
+    """Exact bounds on two classes' sizes and sketches: false only where the similarity is below the threshold.
+
+    intersection >= t union and |a| + |b| = union + intersection give |a xor b| <= (1 - t) / (1 + t) (|a| + |b|).
+    """
+    apart = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0")))
+    for k in range(1, SKETCH // 64):
+        apart = apart + F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return _close_sizes(F.col(f"{a}.n"), F.col(f"{b}.n"), share) & (apart * (100 + share) <= total * (100 - share))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= share * union of their full sets."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -225,22 +266,19 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: int = 80, id_col: st
     members = keyed.select("key", "rep", F.min("rep").over(by_key).alias("first"), F.max("rep").over(by_key).alias("last"))
     members = materialise(members.filter("first < last").drop("last"), "members")
 
-    pairs = materialise(members.filter("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    slim = classes.select("rep", "n", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH // 64)])
+    pairs = members.filter("rep > first").select("rep", "first").distinct()
+    pairs = pairs.alias("p").join(slim.alias("a"), F.col("p.rep") == F.col("a.rep")).join(slim.alias("b"), F.col("p.first") == F.col("b.rep")).filter(_possible("a", "b", share))
+    pairs = materialise(pairs.select(F.col("p.rep").alias("a"), F.col("p.first").alias("b")), "pairs")
     links = materialise(_confirmed(docs, pairs, words, share), "links")
     label = materialise(connected_components(links), "components")
 
     # What is left: keys with members (but the first) in several components.
     placed = members.filter("rep > first").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    slim = classes.select("rep", "n", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH // 64)])
     rest = materialise(placed.join(mixed, "key", "left_semi").join(slim, "rep"), "mixed-keys")
     a, b = rest.alias("a"), rest.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(1, SKETCH // 64)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
-    # intersection >= t union, |a| + |b| = union + intersection  =>  |a xor b| <= (1 - t) / (1 + t) (|a| + |b|)
-    near = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.c") != F.col("b.c")) & _close_sizes(F.col("a.n"), F.col("b.n"), share) & (apart * (100 + share) <= (F.col("a.n") + F.col("b.n")) * (100 - share)),
-    )
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.c") != F.col("b.c")) & _possible("a", "b", share))
     more = materialise(near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct(), "more-pairs")
     if not more.isEmpty():
         new = materialise(_confirmed(docs, more, words, share), "more-links")
