@@ -83,12 +83,26 @@ class Codec:
             return known
         if len(self.auto.states) > MOST_STATES:
             self.auto.reset()
-        one = StreamingEncoder(self.auto)
-        ids = array("i", one.feed(segment))
-        ids.extend(one.close())
-        out = ids.tobytes()
-        if len(segment) <= 40:
-            self.known.put(segment, out)
+        if len(segment) > 40:
+            one = StreamingEncoder(self.auto)
+            return array("i", one.feed(segment) + one.close()).tobytes()
+        # The window holds a short segment whole: only its end, where all paths meet, is followed back.
+        state, step, back = self.auto.start, self.auto.step, []
+        for ch in segment:
+            state = (state.trans.get(ch) or step(state, ch))[1]
+            back.append(state.last)
+        ids, end = [], len(back)
+        while end:
+            token = back[end - 1]
+            end -= len(token)
+            known = self.auto.ids.get(token)
+            if known is None:
+                ids += reversed(self.auto.tokens_of(token))
+            else:
+                ids.append(known)
+        ids.reverse()
+        out = array("i", ids).tobytes()
+        self.known.put(segment, out)
         return out
 
     def encode(self, text: str) -> np.ndarray:
