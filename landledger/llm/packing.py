@@ -42,7 +42,8 @@ BLOCK_IDS = 6_000_000
 #: Ids of padding that a greedily packed window may have.
 GAP = 2
 TRIPLES_PER_LENGTH, SWEEPS = 6, 4
-MOST_WORDS = 250_000
+#: Entries of the tables of whole words and of their parts, two generations each (about 150 bytes an entry).
+MOST_WORDS, MOST_PARTS = 250_000, 120_000
 
 
 class WordTokenizer:
@@ -58,7 +59,7 @@ class WordTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words, self.parts = Remembered(MOST_WORDS), Remembered(MOST_WORDS)
+        self.words, self.parts = Remembered(MOST_WORDS), Remembered(MOST_PARTS)
         self.split = re.compile(r"[^ \t\n\r]+").findall
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         # Words of printable ASCII and accented Latin letters need no normalizer but lower case, and this form of the library's own pattern.

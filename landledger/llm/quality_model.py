@@ -34,7 +34,7 @@ MOST_LABELS = 6000
 LEAST_LABELS = 40
 HIDDEN, EPOCHS, BATCH, STEP, DECAY = 24, 60, 64, 0.01, 1e-4
 PRIOR_TOKENS = 6
-MOST_WORDS = 300_000
+MOST_WORDS = 120_000
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 UPPER, REPEATED, EMPTY = SLOTS - 1, SLOTS - 2, SLOTS - 3
 
