@@ -11,9 +11,12 @@ with map-side sums (groups x bins rows at most are shuffled, however hot a group
 ever gathered.  Three components keep the inverse in closed form.
 
 Odd inputs: a null text has no words and fails the base rules.  A null language or source is a
-group of its own.  Groups with fewer than ``LEAST_GROUP`` passing documents have no estimate and
-reject nobody beyond the base rules.  Repeated rows are judged alike, each on its own.  An empty table
-gives an empty table.
+group of its own.  Repeated rows are judged alike, each on its own.  An empty table gives an empty table.
+
+Small groups: the same steps estimate each language and the whole corpus.  A group of n passing documents
+has its own estimate with weight n / ``FULL_GROUP`` (1 at most) and its language's with the rest; the
+language's is shrunk towards the corpus in the same way.  So every passing document has a distance, and
+no verdict jumps at a group size.  Only a corpus below ``FULL_GROUP`` stands on its own few rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUBSET = 0.75
 STEPS = 3
-LEAST_GROUP = 60
+#: Passing documents from which a group stands on its own estimate alone.
+FULL_GROUP = 60
 #: Squared Mahalanobis distance beyond which a document is rejected (chi-square with 3 degrees: one in 800,000).
 CUTOFF = 31.0
 #: Least standard deviations of the three components, so that groups of equal documents reject no neighbours.
@@ -100,36 +104,55 @@ def _total(bins: str, name: str) -> Column:
     return F.aggregate(bins, F.lit(0.0), lambda acc, y: acc + y[name])
 
 
+def _levels(points: DataFrame) -> DataFrame:
+    """Each point for the corpus, for its language and for its group."""
+    kinds = {c: points.schema[c].dataType for c in ("lang", "source")}
+    at = lambda level, *named: F.struct(F.lit(level).alias("_k_level"), *[(F.col(c) if c in named else F.lit(None).cast(t)).alias(f"_k_{c}") for c, t in kinds.items()])
+    return points.select(F.explode(F.array(at(0), at(1, "lang"), at(2, "lang", "source"))).alias("k"), "x0", "x1", "x2").select("k.*", "x0", "x1", "x2")
+
+
+def _shrunk(est: DataFrame) -> DataFrame:
+    """One estimate a group: its own, its language's and the corpus', each with the weight that the ones before leave."""
+    cells = [f"_m_{i}" for i in range(3)] + [f"_m_{i}{j}" for i, j in PAIRS]
+    level = lambda k: est.filter(F.col("_m_level") == k)
+    lang = level(1).select(F.col("_m_lang").alias("_l_lang"), F.col("_n").alias("_l_n"), *[F.col(c).alias(f"_l{c}") for c in cells])
+    corpus = level(0).select(*[F.col(c).alias(f"_c{c}") for c in cells])
+    own, of_lang = (F.least(F.col(n) / FULL_GROUP, F.lit(1.0)) for n in ("_n", "_l_n"))
+    both = level(2).join(lang, F.col("_m_lang").eqNullSafe(F.col("_l_lang"))).crossJoin(F.broadcast(corpus))
+    return both.select("_m_lang", "_m_source", *[(own * F.col(c) + (1 - own) * (of_lang * F.col(f"_l{c}") + (1 - of_lang) * F.col(f"_c{c}"))).alias(c) for c in cells])
+
+
 def fit_groups(points: DataFrame) -> DataFrame:
-    """``points``: lang, source, x0, x1, x2.  One row per group large enough: _m_lang, _m_source, centre and covariance."""
+    """``points``: lang, source, x0, x1, x2.  One row per group: _m_lang, _m_source, centre and covariance."""
     xs = [F.col(f"x{i}") for i in range(3)]
-    keys = ["_m_lang", "_m_source"]
-    points = points.select(F.col("lang").alias("_k_lang"), F.col("source").alias("_k_source"), *xs)
-    by = [F.col("_k_lang").alias("_m_lang"), F.col("_k_source").alias("_m_source")]
-    mid = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"_m_{i}") for i, x in enumerate(xs)]).filter(F.col("_n") >= LEAST_GROUP)
+    keys = ["_m_level", "_m_lang", "_m_source"]
+    points = _levels(points)
+    by = [F.col(k.replace("_m_", "_k_")).alias(k) for k in keys]
+    of_group = (F.col("_k_level") == F.col("_m_level")) & F.col("_k_lang").eqNullSafe(F.col("_m_lang")) & F.col("_k_source").eqNullSafe(F.col("_m_source"))
+    mid = points.groupBy(*by).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"_m_{i}") for i, x in enumerate(xs)])
     mid = materialise(mid, "mcd-medians")
-    near = points.join(mid, F.col("_k_lang").eqNullSafe(F.col("_m_lang")) & F.col("_k_source").eqNullSafe(F.col("_m_source")))
+    near = points.join(mid, of_group)
     dev = near.groupBy(*keys).agg(*[F.percentile_approx(F.abs(x - F.col(f"_m_{i}")), 0.5, 1000).alias(f"_d{i}") for i, x in enumerate(xs)], *[F.first(f"_m_{i}").alias(f"_m_{i}") for i in range(3)])
     est = dev.select(*keys, *[f"_m_{i}" for i in range(3)], *[(F.pow(1.4826 * F.col(f"_d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
     est = materialise(est, "mcd-start")
     for step in range(STEPS):
-        e = points.join(est, F.col("_k_lang").eqNullSafe(F.col("_m_lang")) & F.col("_k_source").eqNullSafe(F.col("_m_source")))
+        e = points.join(est, of_group)
         binned = e.select(*keys, *xs, F.least(F.floor(BINS_PER_E * F.log1p(_estimate_distance(xs))), F.lit(MOST_BINS)).cast("int").alias("bin"))
         sums = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"s{i}{j}") for i, j in PAIRS])
         names = ["n", *[f"s{i}" for i in range(3)], *[f"s{i}{j}" for i, j in PAIRS]]
         # MOST_BINS + 1 entries a group at most
         group = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", *names))).alias("b"), F.sum("n").alias("all"))
         before = lambda b, k: F.aggregate(F.slice(b, F.lit(1), k), F.lit(0).cast("long"), lambda acc, y: acc + y["n"])
-        kept = group.select(*keys, F.filter("b", lambda y, k: before(F.col("b"), k) < F.ceil(SUBSET * F.col("all"))).alias("b"))
-        tot = kept.select(*keys, *[_total("b", c).alias(c) for c in names])
+        kept = group.select(*keys, "all", F.filter("b", lambda y, k: before(F.col("b"), k) < F.ceil(SUBSET * F.col("all"))).alias("b"))
+        tot = kept.select(*keys, "all", *[_total("b", c).alias(c) for c in names])
         m = [F.col(f"s{i}") / F.col("n") for i in range(3)]
-        est = tot.select(*keys, *[m[i].alias(f"_m_{i}") for i in range(3)], *[((F.col(f"s{i}{j}") / F.col("n") - m[i] * m[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
+        est = tot.select(*keys, F.col("all").alias("_n"), *[m[i].alias(f"_m_{i}") for i in range(3)], *[((F.col(f"s{i}{j}") / F.col("n") - m[i] * m[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
         est = materialise(est, f"mcd-step{step}")
-    return est
+    return _shrunk(est)
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Columns: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null where the group has no estimate)."""
+    """Columns: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null where no document of the group passes the base rules)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("_q_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("_q_text"))
     rows = _counts(rows, "_q_text").drop("_q_text")
     # The counts are small (80 bytes a document); from here on no text is read.

@@ -51,6 +51,23 @@ def test_outliers_go_and_the_bulk_stays(spark):
     assert kept.columns == df.columns and kept.count() == 603
 
 
+def test_small_groups_are_held_against_a_shrunk_estimate(spark):
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(40, 400)))
+    junk = lambda: " ".join(f"{''.join(rng.choice('abcdefgh') for _ in range(5))}***&&&" for _ in range(200))
+    rows = [(i, prose(), "en", "big") for i in range(200)]
+    rows += [(1000 + i, prose(), "en", f"small{i % 25}") for i in range(250)]
+    rows += [(2000 + i, prose(), "de", "rare") for i in range(8)] + [(2100, prose(), None, None)]  # a small language, a group of one
+    # In a source of ten, in one of their own, in the small language, without a source, and as the only row of a language.
+    rows += [(3000, junk(), "en", "small3"), (3001, junk(), "en", "lone"), (3002, junk(), "de", "rare"), (3003, junk(), "en", None), (3004, junk(), "fr", "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = q.judge_documents(df).collect()
+    assert len(out) == len(rows) and not any(r["base_failed"] for r in out)
+    assert all(r["distance"] is not None for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == set(range(3000, 3005))
+    assert sorted(r["doc_id"] for r in q.keep_good(df).collect()) == [i for i, *_ in rows if i < 3000]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert q.judge_documents(df).count() == 0
