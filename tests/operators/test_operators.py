@@ -1,5 +1,6 @@
 """Scenarios of lifecycle, resolution, score and reports."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -76,6 +77,20 @@ def test_near_images_finds_all_within_six_bits(spark):
     assert {(r["a"], r["b"], r["bits"]) for r in resolve.near_images(rows).collect()} == {(1, 2, 1), (1, 3, 6), (3, 4, 1)}
 
 
+@pytest.mark.parametrize("bits", [6, 14, 17])
+def test_near_images_equals_brute_force(spark, bits):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    spread = sum(1 << 8 * k for k in range(8))  # one bit of every byte
+    all_bits = [*base, base[0] ^ spread, base[1] ^ spread ^ 0x020202020202]
+    all_bits += [v ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 20))) for v in base for _ in range(6)]
+    rows = spark.createDataFrame([(i, f"{v:016x}" if i % 2 else f"{v:016X}") for i, v in enumerate(all_bits)], "id long, phash string")
+    want = {(i, j, (v ^ w).bit_count()) for i, v in enumerate(all_bits) for j, w in enumerate(all_bits) if i < j and (v ^ w).bit_count() <= bits}
+    assert bits < 14 or {(0, 12, 8), (1, 13, 14)} <= want
+    got = resolve.near_images(rows, bits).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"], r["bits"]) for r in got} == want
+
+
 def test_profiles():
     assert BUILT_IN.radius.effective_soft == 100.0 and BUILT_IN.radius.effective_hard == 116.0
     b = BUILT_IN.budget
