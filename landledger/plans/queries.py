@@ -173,6 +173,12 @@ def fingerprint_blocks(spark, d):
     return _facts(spark, d).select("id", resolve.fingerprint().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).drop("f")
 
 
+def _sides(pairs, f):
+    """The facts of both sides of pairs (a, b), as structs."""
+    both = pairs.join(f.select(F.struct("*").alias("fa")), F.col("a") == F.col("fa.id")).join(f.select(F.struct("*").alias("fb")), F.col("b") == F.col("fb.id"))
+    return both.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+
 @query
 def pair_evidence(spark, d):
     f = _facts(spark, d)
@@ -397,10 +403,10 @@ def page_lift(spark, d):
 
 @query
 def token_set_similarity(spark, d):
-    p = roles.properties(spark, d)
-    a = p.filter("property_id % 10 = 0").select(F.col("property_id").alias("a"), F.col("title").alias("ta"))
-    b = p.filter("property_id % 10 = 1").select((F.col("property_id") - 1).alias("a"), F.col("title").alias("tb"))
-    return a.join(b, "a").select("a", resolve._ratio(text.fold_ascii(F.col("ta")), text.fold_ascii(F.col("tb"))).alias("ratio"))
+    """Titles and descriptions of every candidate pair."""
+    f = _facts(spark, d)
+    ratio = lambda n: resolve._ratio(text.fold_ascii(F.col(f"a.{n}")), text.fold_ascii(F.col(f"b.{n}")))
+    return _sides(resolve.blocking(f), f.select("id", "title", "description")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), ratio("title").alias("title_ratio"), ratio("description").alias("text_ratio"))
 
 
 @query
