@@ -91,6 +91,24 @@ def test_near_images_equals_brute_force(spark, bits):
     assert len(got) == len(want) and {(r["a"], r["b"], r["bits"]) for r in got} == want
 
 
+def test_proofs_come_before_scores(spark):
+    cols = "id long, title string, description string, property_type string, postcode string, town string, land_sqm double, living_sqm double, price double, year_built int, lat double, lon double, geo_precision string, street string, source_ids array<string>, canonical_urls array<string>, phashes array<string>"
+    thin = lambda i, street=None, ids=(), urls=(), hashes=(), lat=None: (i, None, None, "", "", None, None, None, None, None, lat, lat, "exact", street, list(ids), list(urls), list(hashes))
+    rows = [
+        thin(1, ids=["x:1", None], lat=47.0), thin(2, ids=["x:1"], lat=48.0), thin(3, urls=["https://a/b"]), thin(4, urls=["https://a/b", "https://c"], hashes=["ffffffffffffffff"]),
+        thin(5, hashes=["zz", "ffffffffffffffc0"]), thin(6, hashes=["ffffffffffffff80", None]), thin(7, "Am Hang 3"), thin(8, "am-hang 3"), (9, *(None,) * 16), (10, *(None,) * 16), thin(11, ids=[None]), thin(12, ids=[None]),
+    ]
+    f = spark.createDataFrame(rows, cols)
+    few = lambda name, one: f.select("id", F.explode(name).alias(one))
+    found = resolve.blocking(f, few("canonical_urls", "url"), source_ids=few("source_ids", "source_id"), images=few("phashes", "phash"))
+    assert {(r["a"], r["b"]) for r in found.filter("pass = 1").collect()} == {(1, 2), (3, 4), (4, 5), (5, 6)}
+    side = f.select(F.struct("*").alias("s"))
+    pairs = side.select(F.col("s").alias("a")).crossJoin(side.select(F.col("s").alias("b"))).filter("a.id < b.id")
+    got = {(r["i"], r["j"]): (r["is_duplicate"], r["confidence"], r["needs_review"]) for r in resolve.evidence(pairs).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "is_duplicate", "confidence", "needs_review").collect()}
+    assert {k: v for k, v in got.items() if v != (False, 0.0, False)} == {(1, 2): (True, 1.0, False), (3, 4): (True, 1.0, False), (4, 5): (True, 0.97, False), (5, 6): (True, 0.97, False), (7, 8): (False, 0.1, False)}
+    assert len(got) == 66
+
+
 def test_profiles():
     assert BUILT_IN.radius.effective_soft == 100.0 and BUILT_IN.radius.effective_hard == 116.0
     b = BUILT_IN.budget
