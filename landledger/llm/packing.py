@@ -13,7 +13,8 @@ of their own; what remains has a length below the window.  For a block of remain
    block; at the end of the partition it is cut into sequences whose lengths are powers of two, which need no padding.
 
 Ids equal those of the tokenizer library: texts are cut at plain white space, which no token of such a
-vocabulary spans, and the ids of each part are remembered in a table of bounded size.
+vocabulary spans, slices of a few megabytes become distinct words and these distinct parts (Arrow kernels), and the library
+gives the ids of each distinct part; a table of bounded size remembers some.
 
 Odd inputs: a null or empty text has the end id only.  Repeated rows and ids are each packed, null
 ids too.  Other columns are ignored.  An empty table gives no rows.  Memory: a block of ``BLOCK_IDS`` ids.
@@ -31,23 +32,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_automaton import Remembered
+from .runs import Runs, distinct, list_ends, runs_of, slices, strings
 
 WINDOW, END_ID = 4096, 2
 BLOCK_IDS = 6_000_000
 #: Ids of padding that a greedily packed window may have.
 GAP = 2
 TRIPLES_PER_LENGTH, SWEEPS = 6, 4
-#: Entries of the tables of whole words and of their parts, two generations each (about 150 bytes an entry).
-MOST_WORDS, MOST_PARTS = 250_000, 120_000
+#: Entries of the table of parts of words, two generations (about 150 bytes an entry).
+MOST_PARTS = 120_000
+#: Words of printable ASCII and accented Latin letters need no normalizer but lower case, and this form of the library's own pattern.
+PLAIN_WORD = "^[!-~À-ÖØ-öø-ÿ]+$"
+PART = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
 
 
 class WordTokenizer:
-    """Ids by the ``tokenizers`` library, with memory.  For vocabularies whose tokens never span white space and that drop it."""
+    """Ids by the ``tokenizers`` library, each distinct part of a slice of texts once.  For vocabularies whose tokens never span white space and that drop it."""
 
     def __init__(self, path: str):
         import os
@@ -59,37 +65,44 @@ class WordTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.words, self.parts = Remembered(MOST_WORDS), Remembered(MOST_PARTS)
-        self.split = re.compile(r"[^ \t\n\r]+").findall
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        # Words of printable ASCII and accented Latin letters need no normalizer but lower case, and this form of the library's own pattern.
-        self.plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
-
-    def _part(self, part: str, mapped: bool) -> bytes:
+        self.latin = str.maketrans({c: self.as_bytes(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.parts = Remembered(MOST_PARTS)
+        self.special = "|".join(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values())
+
+    def _part(self, part: str, mapped: bool = False) -> bytes:
         """Ids of one pre-token; ``mapped``: its bytes stand as the library's byte characters."""
-        ids = array("I", [t.id for t in self.lib.model.tokenize(part if mapped or part.isascii() else self.as_bytes(part)[0][0])]).tobytes()
+        ids = array("I", [t.id for t in self.lib.model.tokenize(part if mapped or part.isascii() else part.translate(self.latin))]).tobytes()
         if len(part) <= 40 and not mapped:
             self.parts.put(part, ids)
         return ids
 
-    def _word(self, word: str) -> bytes:
-        known = self.words.older(word)
-        if known is None:
-            if any(s in word for s in self.special):
-                known = array("I", self.lib.encode(word, add_special_tokens=False).ids).tobytes()
-            elif self.plain(word):
-                known = b"".join([self.parts.new.get(p) or self.parts.older(p) or self._part(p, False) for p in self.pieces(word.lower())])
-            else:
-                known = b"".join([self._part(p, True) for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))])
-            if len(word) <= 40:
-                self.words.put(word, known)
-        return known
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        get, miss = self.words.new.get, self._word
-        return b"".join([get(w) or miss(w) for w in self.split(text)])
+    def _odd_word(self, word: str) -> bytes:
+        """With other characters, or a special string, the library's own steps."""
+        if self.special and re.search(self.special, word):
+            return array("I", self.lib.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._part(p, True) for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(word))])
+
+    def encode(self, texts: pa.Array) -> Runs:
+        """For each text its ids (unsigned 32-bit).  Texts become distinct words, and words distinct parts."""
+        split = pc.ascii_split_whitespace(texts)
+        number, words = distinct(split.flatten())
+        plain = pc.match_substring_regex(words, PLAIN_WORD)
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(words, self.special))
+        # Marks between the parts, which no plain word holds; the last of each list is empty.
+        marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), pattern=PART, replacement=r"\1 ")
+        lists = pc.split_pattern(marked, " ")
+        part_number, parts = distinct(lists.flatten())
+        get, miss = self.parts.new.get, self._part
+        of_part = runs_of([(get(p) or self.parts.older(p) or miss(p)) if p else b"" for p in strings(parts)], "<u4")
+        of_plain = of_part.take(part_number).joined(list_ends(lists))
+        rest = pc.invert(plain)
+        of_rest = runs_of([self._odd_word(w) if w else b"" for w in strings(words.filter(rest))], "<u4")
+        # Both kinds behind each other, and for each word its place among them.
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, len(of_plain.ends) + np.cumsum(~is_plain) - 1)
+        both = Runs(np.concatenate([of_plain.flat, of_rest.flat]), np.concatenate([of_plain.ends, of_rest.ends + len(of_plain.flat)]))
+        return both.take(place[number]).joined(list_ends(split))
 
 
 @lru_cache(maxsize=2)
@@ -246,10 +259,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for b in batches:
             id_type = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(key, encode(text.as_py() or "") + end)
-                if len(packer.rows) >= 20_000:
-                    yield from done()
+            keys = iter(b.column(0).to_pylist())
+            for texts in slices(b.column(1)):
+                for ids in encode(texts).bytes():
+                    packer.add(next(keys), ids + end)
+                    if len(packer.rows) >= 20_000:
+                        yield from done()
         packer.flush(last=True)
         yield from done()
 

@@ -3,10 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from landledger.llm import packing as p
+from landledger.llm.runs import slices
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,8 +21,11 @@ def texts():
 
 def test_ids_equal_the_library():
     lib, own = Tokenizer.from_file(PATH), p.WordTokenizer(PATH)
-    for t in texts():
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    some = [*texts(), "<|endoftext|>", "ΣΑΣ mixed plain\x0bword", "x" * 3000 + " " + "é" * 500, None]
+    for most in (100, 1 << 22):
+        ids = [x for s in slices(pa.array(some, pa.string()), most) for x in own.encode(s).bytes()]
+        for t, got in zip(some, ids, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
 def check(pieces, want, window):
