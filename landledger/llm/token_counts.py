@@ -8,7 +8,8 @@ its total.  A map is short: from its first segment boundary on a chunk ends in t
 the same count whatever came before, so only the characters before that boundary stay symbolic.
 
 Odd inputs: a null text counts as empty and has 0 tokens and bytes.  Repeated rows and ids
-are all returned.  Other columns are ignored.  Memory: one text and tables of bounded size in each worker.
+are all returned.  Other columns are ignored.  Memory: a slice of texts (or one long text) and tables of bounded size in each worker,
+also inside one long text without spaces.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_automaton import SEGMENT, SPACE, PieceAutomaton, State, automaton, escaped
+from .piece_automaton import PieceAutomaton, State, as_segments, automaton, marked_pieces
+from .runs import distinct, slices
 
 LIMIT = 4096
-CHUNK = 1 << 16
+#: Bytes of a chunk.
+CHUNK = 1 << 12
 
 
 class ChunkMap(NamedTuple):
@@ -34,33 +38,33 @@ class ChunkMap(NamedTuple):
     after: State | None
 
 
-def run(auto: PieceAutomaton, state: State, text: str) -> tuple[int, State]:
-    total = 0
-    for ch in text:
-        added, state = state.trans.get(ch) or auto.step(state, ch)
-        total += added
-    return total, state
-
-
-def chunk_map(auto: PieceAutomaton, chunk: str) -> ChunkMap:
-    """``chunk`` has its spaces marked."""
-    for k in range(1, len(chunk)):
-        if chunk[k] == SPACE and chunk[k - 1] != SPACE:
-            total, segments = 0, SEGMENT.findall(chunk, k)
-            last = segments.pop()
-            for s in segments:
-                n = auto.counts.new.get(s)
-                total += auto.count_segment(s) if n is None else n
-            more, state = run(auto, auto.start, last)
-            return ChunkMap(chunk[:k], total + more, state)
-    return ChunkMap(chunk, 0, None)
+def chunk_maps(auto: PieceAutomaton, pieces: pa.Array, first: np.ndarray) -> list[ChunkMap]:
+    """``pieces`` are cut at segment starts and chunk starts, ``first`` has the number of each chunk's first piece.
+
+    Whole segments inside a chunk count the same whatever came before, each distinct one once; a chunk's first
+    piece stays symbolic, and its last one, which the next chunk may continue, gives the state.
+    """
+    number, words = distinct(pieces)
+    known, miss = auto.counts.new.get, auto.count_segment
+    counts = np.array([known(s) or miss(s) for s in as_segments(words)], np.int64)  # no segment has 0 tokens
+    before = np.concatenate([[0], np.cumsum(counts[number])])
+    last = np.append(first[1:], len(pieces))[: len(first)] - 1
+    inside = before[last] - before[np.minimum(first + 1, last)]
+    out = []
+    for head, tail, n, one in zip(as_segments(pieces.take(first)), as_segments(pieces.take(last)), inside.tolist(), (first == last).tolist(), strict=True):
+        if one:
+            out.append(ChunkMap(head, 0, None))
+        else:
+            more, state = auto.run(auto.start, tail)
+            out.append(ChunkMap(head, n + more, state))
+    return out
 
 
 def compose(auto: PieceAutomaton, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """First ``a``, then ``b``.  Associative."""
     if a.after is None:
         return ChunkMap(a.head + b.head, b.count, b.after)
-    more, state = run(auto, a.after, b.head)
+    more, state = auto.run(a.after, b.head)
     return ChunkMap(a.head, a.count + more + b.count, state if b.after is None else b.after)
 
 
@@ -76,16 +80,20 @@ def prefix_scan(auto: PieceAutomaton, maps: Sequence[ChunkMap]) -> list[ChunkMap
     return out
 
 
-def count_tokens(auto: PieceAutomaton, text: str | None, chunk: int = CHUNK) -> int:
-    if not text:
-        return 0
-    marked = escaped(text)
-    if len(marked) <= chunk:
-        known, miss = auto.counts.new.get, auto.count_segment
-        return sum([known(s) or miss(s) for s in SEGMENT.findall(marked)])  # no segment has 0 tokens
-    whole = prefix_scan(auto, [chunk_map(auto, marked[k : k + chunk]) for k in range(0, len(marked), chunk)])[-1]
-    more, state = run(auto, auto.start, whole.head)
-    return more + whole.count
+def count_tokens(auto: PieceAutomaton, texts: pa.Array, chunk: int = CHUNK) -> list[int]:
+    """Every text takes the same way: the maps of its chunks, their scan, and the whole's map applied to the start state."""
+    out: list[int] = []
+    for some in slices(texts):
+        pieces, first, ends = marked_pieces(some, chunk)
+        maps, start = chunk_maps(auto, pieces, first), 0
+        for stop in ends.tolist():
+            if stop == start:
+                out.append(0)
+                continue
+            whole = prefix_scan(auto, maps[start:stop])[-1]
+            out.append(auto.run(auto.start, whole.head)[0] + whole.count)
+            start = stop
+    return out
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -94,8 +102,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model_path)
         for b in batches:
-            n = [count_tokens(auto, t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count_tokens(auto, b.column(1)), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
