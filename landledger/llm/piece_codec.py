@@ -17,14 +17,16 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_automaton import MOST_SEGMENTS, MOST_STATES, SEGMENT, SPACE, PieceAutomaton, Remembered, automaton, escaped
+from .piece_automaton import MOST_SEGMENTS, MOST_STATES, SPACE, PieceAutomaton, Remembered, as_segments, automaton, marked_pieces
+from .runs import Runs, distinct, runs_of, slices
 
 
 class StreamingEncoder:
@@ -36,12 +38,18 @@ class StreamingEncoder:
 
     def _path(self, end: int) -> list[int]:
         """Ids of the path that ends after ``end`` of the held positions."""
-        parts = []
+        ids: list[int] = []
+        known, back = self.auto.ids.get, self.back
         while end:
-            token = self.back[end - 1]
-            parts.append(token)
+            token = back[end - 1]
             end -= len(token)
-        return [i for token in reversed(parts) for i in self.auto.tokens_of(token)]
+            one = known(token)
+            if one is None:
+                ids += reversed(self.auto.tokens_of(token))
+            else:
+                ids.append(one)
+        ids.reverse()
+        return ids
 
     def _meet(self) -> int:
         """The latest boundary that the paths of all surviving positions share."""
@@ -55,13 +63,20 @@ class StreamingEncoder:
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        auto, window = self.auto, 2 * self.auto.longest
+        auto, back, state = self.auto, self.back, self.state
+        step, window = auto.step, 2 * auto.longest
         for ch in text:
-            self.state = auto.step(self.state, ch)[1]
-            self.back.append(self.state.last)
-            if len(self.back) >= window and (at := self._meet()):
-                out += self._path(at)
-                del self.back[:at]
+            state = (state.trans.get(ch) or step(state, ch))[1]
+            back.append(state.last)
+            if len(back) >= window:
+                self.state = state
+                if at := self._meet():
+                    out += self._path(at)
+                    del back[:at]
+                if len(auto.states) > MOST_STATES:
+                    auto.reset()
+                    state = auto.state_like(state)
+        self.state = state
         return out
 
     def close(self) -> list[int]:
@@ -73,49 +88,35 @@ class StreamingEncoder:
 class Codec:
     def __init__(self, auto: PieceAutomaton):
         self.auto = auto
-        self.table: list[bytes] | None = None
         self.known = Remembered(MOST_SEGMENTS)
+        byte_of = {i: bytes([b]) for b, i in auto.bytes.items()}
+        self.table = runs_of([byte_of.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(auto.pieces)], "u1")
 
     def _segment(self, segment: str) -> bytes:
         """At the end of a segment all paths meet, so its ids can be kept for the next time."""
         known = self.known.older(segment)
-        if known is not None:
-            return known
-        if len(self.auto.states) > MOST_STATES:
-            self.auto.reset()
-        if len(segment) > 40:
+        if known is None:
+            if len(self.auto.states) > MOST_STATES:
+                self.auto.reset()
             one = StreamingEncoder(self.auto)
-            return array("i", one.feed(segment) + one.close()).tobytes()
-        # The window holds a short segment whole: only its end, where all paths meet, is followed back.
-        state, step, back = self.auto.start, self.auto.step, []
-        for ch in segment:
-            state = (state.trans.get(ch) or step(state, ch))[1]
-            back.append(state.last)
-        ids, end = [], len(back)
-        while end:
-            token = back[end - 1]
-            end -= len(token)
-            known = self.auto.ids.get(token)
-            if known is None:
-                ids += reversed(self.auto.tokens_of(token))
-            else:
-                ids.append(known)
-        ids.reverse()
-        out = array("i", ids).tobytes()
-        self.known.put(segment, out)
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
+            known = array("i", one.feed(segment) + one.close()).tobytes()
+            if len(segment) <= 40:
+                self.known.put(segment, known)
+        return known
+
+    def encode(self, texts: pa.Array) -> Runs:
+        """The ids of each text (one slice of them).  Each distinct segment goes through the streaming encoder once."""
+        pieces, first, ends = marked_pieces(texts)
+        number, words = distinct(pieces)
         get, miss = self.known.new.get, self._segment
-        return np.frombuffer(b"".join([get(s) or miss(s) for s in SEGMENT.findall(escaped(text))]), "<i4")
+        found = runs_of([get(s) or miss(s) for s in as_segments(words)], "<i4").take(number)
+        stops = np.append(first, len(pieces))
+        return found.joined(stops[1:]).joined(ends)
 
-    def decode(self, ids: np.ndarray | Sequence[int]) -> str:
-        if self.table is None:
-            byte_of = {i: bytes([b]) for b, i in self.auto.bytes.items()}
-            self.table = [byte_of.get(i) or p.encode() for i, p in enumerate(self.auto.pieces)]
-        table = self.table
-        text = b"".join([table[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: Runs) -> list[str]:
+        raw = self.table.take(ids.flat).joined(ids.ends)
+        texts = [b.decode("utf-8", "replace") for b in raw.bytes()]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 _codecs: dict[str, Codec] = {}
@@ -133,11 +134,12 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            parts = [None if (s := t.as_py()) is None else c.encode(s) for t in b.column(1)]
-            ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
-            offsets = pa.array(ends.astype("int32"), mask=np.array([p is None for p in parts] + [False]))
-            flat = pa.array(np.concatenate([p for p in parts if p is not None and len(p)] or [np.empty(0, "<i4")]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "ids"])
+            done = 0
+            for some in slices(b.column(1)):
+                ids, missing = c.encode(some), b.column(1).slice(done, len(some)).is_null().to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.append(0, ids.ends).astype("int32"), mask=np.append(missing, False))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)), pa.ListArray.from_arrays(offsets, pa.array(ids.flat))], names=["id", "ids"])
+                done += len(some)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -150,8 +152,9 @@ def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            texts = [c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+            lists = b.column(1)
+            texts = c.decode(Runs(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], names=["id", "text"])
 
     rows = encoded.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -165,14 +168,13 @@ def codec_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            n, crc, same = [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                ids = c.encode(text)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                same.append(c.decode(ids) == text.replace(SPACE, " "))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["id", "n_ids", "ids_crc32", "round_trip"])
+            done = 0
+            for some in slices(b.column(1)):
+                ids = c.encode(some)
+                crc = [zlib.crc32(x) for x in ids.bytes()]
+                same = pc.equal(pa.array(c.decode(ids), pa.large_string()), pc.replace_substring(some, SPACE, " "))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)), pa.array(ids.lengths, pa.int64()), pa.array(crc, pa.int64()), same], names=["id", "n_ids", "ids_crc32", "round_trip"])
+                done += len(some)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -1,11 +1,15 @@
 import random
+import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from landledger.llm import piece_codec, token_counts
-from landledger.llm.piece_automaton import automaton
+from landledger.llm.piece_automaton import PieceAutomaton, automaton
+from landledger.llm.runs import slices
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 LONG = ["a" * 5000, "ab" * 3000, "漢" * 1000, "=" * 4000, " " * 3000 + "x", "th" * 4000 + "e"]
@@ -24,22 +28,56 @@ def texts(n=600):
 
 def test_counts_and_ids_equal_the_library(library):
     auto, c = automaton(PATH), piece_codec.codec(PATH)
-    for t in texts() + LONG:
-        ids = library.encode(t)
-        assert token_counts.count_tokens(auto, t) == token_counts.count_tokens(auto, t, 7) == len(ids)
-        assert list(c.encode(t)) == ids
-        assert c.decode(ids) == library.decode(ids)
+    some = [*texts(), *LONG, "", None]
+    want = [library.encode(t or "") for t in some]
+    column = pa.array(some, pa.string())
+    for chunk in (1, 7, 64, token_counts.CHUNK):
+        assert token_counts.count_tokens(auto, column, chunk) == [len(x) for x in want], chunk
+    for part in slices(column, 1 << 30):
+        ids = c.encode(part)
+        assert [np.frombuffer(x, "<i4").tolist() for x in ids.bytes()] == want
+        assert c.decode(ids) == [library.decode(x) for x in want]
+
+
+def test_neighbours_tolerate_each_other_by_definition():
+    auto = automaton(PATH)
+    rng, pieces = random.Random(5), sorted(auto.ids)
+    some = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(4000)]
+    for word in rng.sample(pieces, 1500):  # neighbours that share a longer piece are the hard cases
+        k = rng.randint(1, max(1, len(word) - 1))
+        some += [(word[:k], word[k:]), (word, word[-k:]), (word[:k], word)]
+    some += [("ab", "b"), ("s", "ss"), ("▁sports", "ss"), ("▁▁", "▁"), ("▁", "▁a"), ("***", "**"), ("漢", "𝄞")]
+    for left, token in some:
+        if left in auto.ids and token in auto.ids:
+            assert auto._tolerates(left, token) == (auto.merge(left + token) == [left, token]), (left, token)
+
+
+def test_models_that_change_texts_are_refused(library, monkeypatch):
+    class Squeezing(sentencepiece.SentencePieceProcessor):
+        def encode(self, text):
+            return super().encode(" ".join(text.split()))
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Squeezing)
+    with pytest.raises(ValueError, match="alters texts"):
+        PieceAutomaton(PATH)
+
+
+def maps_of(auto, *chunks):
+    """A map for each chunk (spaces marked)."""
+    pieces = [re.split("(?<=[^▁])(?=▁)", c.replace(" ", "▁")) for c in chunks]
+    first = np.cumsum([0] + [len(p) for p in pieces])[:-1]
+    return token_counts.chunk_maps(auto, pa.array([x.replace("▁", " ") for p in pieces for x in p], pa.large_string()), first)
 
 
 def test_chunk_maps_compose_associatively(library):
     auto = automaton(PATH)
     rng = random.Random(2)
     same = lambda x, y: x[:2] == y[:2] and (x.after is None) == (y.after is None)
-    for t in texts(200):
-        a, b, c = (token_counts.chunk_map(auto, "".join(rng.choice("▁▁aeth") for _ in range(rng.randint(1, 9)))) for _ in range(3))
+    for _ in range(200):
+        a, b, c = maps_of(auto, *("".join(rng.choice("▁▁aeth") for _ in range(rng.randint(1, 9))) for _ in range(3)))
         left = token_counts.compose(auto, token_counts.compose(auto, a, b), c)
         assert same(left, token_counts.compose(auto, a, token_counts.compose(auto, b, c)))
-    maps = [token_counts.chunk_map(auto, "▁the▁ration"[k % 5 : k % 5 + 4]) for k in range(13)]
+    maps = maps_of(auto, *("▁the▁ration"[k % 5 : k % 5 + 4] for k in range(13)))
     scan = token_counts.prefix_scan(auto, maps)
     one = maps[0]
     for k in range(1, 13):
@@ -61,8 +99,11 @@ def test_small_tables_forget_but_stay_right(library, monkeypatch):
     monkeypatch.setattr("landledger.llm.piece_codec.MOST_STATES", 50)
     auto, c = automaton(PATH), piece_codec.codec(PATH)
     monkeypatch.setattr(auto.counts, "most", 20)
-    for t in texts(100):
-        assert token_counts.count_tokens(auto, t) == len(c.encode(t)) == len(library.encode(t))
+    some = [*texts(100), *LONG]
+    want = [len(library.encode(t)) for t in some]
+    assert token_counts.count_tokens(auto, pa.array(some)) == want
+    assert c.encode(next(slices(pa.array(some), 1 << 30))).lengths.tolist() == want
+    assert len(auto.states) < 9000
 
 
 def test_frames(spark, library):
