@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..workspace import materialise
 
-#: Rounds after which chains of 2^20 links are resolved.
-MOST_ROUNDS = 20
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -18,15 +16,15 @@ def _cut(df: DataFrame) -> DataFrame:
 def double_pointers(links: DataFrame) -> DataFrame:
     """property_id, survivor_id.  ``links``: property_id, merged_into_id (null or own id: none)."""
     now = _cut(links.filter("merged_into_id is not null and merged_into_id <> property_id").select("property_id", F.col("merged_into_id").alias("to")))
-    low = F.least("property_id", "to")
-    now = now.withColumn("low", low)
-    for _ in range(MOST_ROUNDS):
+    now = now.withColumn("low", F.least("property_id", "to"))
+    # Each round doubles how far a pointer reaches: after so many a chain of all links is resolved, and what still moves is a cycle.
+    for _ in range(now.count().bit_length() + 1):
         nxt = now.select(F.col("property_id").alias("to"), F.col("to").alias("_far"), F.col("low").alias("_low"))
         step = now.join(nxt, "to", "left").select("property_id", F.coalesce("_far", "to").alias("new"), "to", F.least("low", F.coalesce("_low", "low")).alias("low"))
         step = _cut(step)
-        changed = step.filter("new <> to").isEmpty()
+        settled = step.filter("new <> to").isEmpty()
         now = step.select("property_id", F.col("new").alias("to"), "low")
-        if changed:
+        if settled:
             break
     # Whoever still points at a merged property is in a cycle: its smallest id survives.
     ends = now.select(F.col("property_id").alias("to"), F.lit(1).alias("_c"))

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``.  Only where a session does not name one (tests on one machine) a folder of this process is made."""
+    """A folder of this application in ``spark.checkpoint.dir``.  A session on one machine that names none gets a folder of
+    this process, removed at its end; a cluster must name one, as its machines don't share local folders."""
     global _own_dir
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
-        return set_by_cluster.rstrip("/")
+        return f"{set_by_cluster.rstrip('/')}/landledger-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="landledger-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
@@ -25,12 +33,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """Through the file system of the path, so any store that Spark writes to."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def materialise(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     That cuts the lineage: what follows survives the loss of any executor without redoing ``df``, and the planner knows its size.
+    ``instead_of`` is an earlier table that nothing else will read; it is deleted once the new one is there.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    if instead_of is not None and instead_of in _paths:
+        delete(spark, _paths.pop(instead_of))
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of this application's tables.  Results that read them must have been written by then."""
+    delete(spark, shared_dir(spark))
