@@ -2,12 +2,16 @@
 
 1. Pivots: of a bounded sample (the ``SAMPLE`` vectors with the smallest hashes of their ids) the first ``PIVOTS`` that aren't near
    one chosen before, so that a large group of near-copies gives one pivot.  Every row is indexed.
-2. A vector is represented by the order of the pivots by nearness to it.  Each segment of up to ``SEGMENT`` vectors posts the place that
-   each pivot takes in its vectors' orders in the pivot's inverted file.
-3. A query walks the inverted files and adds up, for each vector, how far each pivot's place is from its place in
-   the query's own order: Spearman's footrule.
-4. The ``SHARE`` of a segment with the least footrule, and all others below ``CLOSE`` of the segment's median (groups of
-   near-copies, however large, come whole), are reranked by exact cosine in double precision.
+2. A vector is represented by its ``PREFIX`` nearest pivots in order.  Each segment of up to ``SEGMENT`` vectors posts, in the inverted
+   file of each of these pivots, the vector and the place the pivot takes for it.
+3. A query walks the files of its own nearest pivots only.  Pivots that just one of two prefixes holds count as if they came right after
+   the other's end, so Spearman's footrule is a constant less a sum over common pivots: each posting adds to its vector
+   how far before the end the later of the two places is.
+4. The ``SHARE`` of a segment with the least footrule, and all below ``CLOSE`` of the greatest (groups of near-copies, however large,
+   come whole), are reranked by exact cosine in double precision.  The sum of products has one order, whatever the
+   row's place, so equal vectors have equal scores.
+
+Of equal vectors in a segment the k + 1 with the smallest ids are kept, as no others can be among a query's nearest k.
 
 Data stay where they are: a task indexes what it reads and keeps the best few per query, so what is shuffled is queries x
 tasks x k rows.  Queries go to the tasks in blocks of ``BLOCK`` rows (16 MB for 64 components), one pass over the data for each block.
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-PIVOTS, SAMPLE, APART, SEGMENT, SHARE, LEAST, CLOSE = 256, 4096, 0.7, 4096, 0.15, 200, 0.4
+PIVOTS, PREFIX, SAMPLE, APART, SEGMENT = 1024, 64, 4096, 0.7, 65_536
+#: Reranked: this share of a segment, this many at least, and all whose footrule is below this part of the greatest.
+SHARE, LEAST, CLOSE = 0.05, 200, 0.5
 BLOCK = 32_768
 
 
@@ -37,18 +43,78 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which changes no cosine, so that no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))[1])
 
 
-def places(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector and pivot the pivot's place in the vector's order; equally near ones by their numbers."""
-    order = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")
-    out = np.empty_like(order, np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :].repeat(len(order), 0), 1)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
+
+
+def prefixes(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each vector its nearest pivots, nearest first; equally near ones by their numbers."""
+    m = min(PREFIX, len(pivots))
+    out = np.empty((len(vectors), m), np.int16)
+    for at in range(0, len(vectors), 4096):
+        near = -(vectors[at : at + 4096] @ pivots.T)
+        some = np.sort(np.argpartition(near, m - 1, axis=1)[:, :m], axis=1)
+        order = np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable")
+        out[at : at + 4096] = np.take_along_axis(some, order, 1)
     return out
 
 
+def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Each row's products are added in the same order, wherever it stands (a matrix product's aren't)."""
+    dot = (vectors * query).sum(1)
+    return dot / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query[None] * query).sum(1)))
+
+
+class Segment:
+    """Vectors and the inverted files of the pivots."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, keep: int):
+        order = np.lexsort((ids, *vectors.T))
+        ids, vectors = ids[order], vectors[order]
+        change = np.append(True, (vectors[1:] != vectors[:-1]).any(1))
+        new = change | np.append(True, ids[1:] != ids[:-1])  # neither a repeated row
+        ids, vectors, change = ids[new], vectors[new], change[new]
+        first = np.flatnonzero(change)
+        place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+        self.ids, self.vectors = ids[place < keep], vectors[place < keep]
+        self.ids_repeat = len(np.unique(self.ids)) < len(self.ids)
+        prefix = prefixes(self.vectors, pivots)
+        self.m = prefix.shape[1]
+        flat = prefix.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        self.rows, self.places = (by_pivot // self.m).astype(np.int32), (by_pivot % self.m).astype(np.int32)
+        self.ends = np.cumsum(np.bincount(flat, minlength=len(pivots)))
+
+    def possible(self, prefix: np.ndarray) -> np.ndarray:
+        """Rows to be reranked for a query with this prefix."""
+        rows, gains = [], []
+        for place, p in enumerate(prefix.tolist()):
+            file = slice(self.ends[p - 1] if p else 0, self.ends[p])
+            rows.append(self.rows[file])
+            gains.append(self.m - np.maximum(self.places[file], place))
+        common = np.bincount(np.concatenate(rows), np.concatenate(gains), len(self.ids))
+        take = min(len(common), max(LEAST, int(np.ceil(SHARE * len(common)))))
+        most = self.m * (self.m + 1) / 2
+        edge = min(np.partition(common, -take)[-take], (1 - CLOSE) * most)
+        return np.flatnonzero(common >= edge)
+
+    def scores(self, query_id: int, query: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, each once, and their cosines."""
+        near = self.possible(prefix)
+        near = near[self.ids[near] != query_id]
+        ids, score = self.ids[near], cosines(self.vectors[near], query)
+        if self.ids_repeat:
+            order = np.lexsort((-score, ids))
+            first = order[np.diff(ids[order], prepend=ids[order][:1] - 1) != 0]
+            ids, score = ids[first], score[first]
+        return ids, score
+
+
 def spread_pivots(sample: np.ndarray) -> np.ndarray:
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen, passed = [], []
@@ -79,19 +145,6 @@ class Best:
         self.ids[q], self.score[q] = ids[order], score[order]
 
 
-def search_segment(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, query_ids: np.ndarray, query_unit: np.ndarray, query_places: np.ndarray, best: Best) -> None:
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / norm
-    inverted = np.ascontiguousarray(places(unit, pivots).T)  # row p: the file of pivot p
-    take = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
-    for q in range(len(query_ids)):
-        footrule = np.abs(inverted - query_places[q][:, None]).sum(0, dtype=np.int32)
-        edge = max(np.partition(footrule, take - 1)[take - 1], CLOSE * np.median(footrule))
-        near = np.flatnonzero((footrule <= edge) & (ids != query_ids[q]))
-        if len(near):
-            best.offer(q, ids[near], unit[near] @ query_unit[q])
-
-
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Columns: query_id, rank (from 1), vec_id, score.  ``is_query`` is a condition on the column ``id``."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
@@ -103,7 +156,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     width = widths["w"]
     rows = rows.filter(F.size("v") == width)
     some = rows.groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    pivots = spread_pivots(np.stack(some["v"].to_list()).astype(float))
+    pivots = spread_pivots(scaled(np.stack(some["v"].to_list()).astype(float)))
 
     queries = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // BLOCK))
@@ -115,9 +168,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         if not len(block):
             continue
         query_ids = block["id"].to_numpy(np.int64)
-        query_unit = np.stack(block["v"].to_list()).astype(float)
-        query_unit /= np.linalg.norm(query_unit, axis=1, keepdims=True)
-        found.append(_search(rows, pivots, query_ids, query_unit, places(query_unit, pivots), width, k))
+        query_vectors = scaled(np.stack(block["v"].to_list()).astype(float))
+        found.append(_search(rows, pivots, query_ids, query_vectors, width, k))
         if blocks > 1:
             found[-1] = materialise(found[-1], "ann-block")
     if not found:
@@ -128,7 +180,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     return out
 
 
-def _search(rows: DataFrame, pivots: np.ndarray, query_ids: np.ndarray, query_unit: np.ndarray, query_places: np.ndarray, width: int, k: int) -> DataFrame:
+def _search(rows: DataFrame, pivots: np.ndarray, query_ids: np.ndarray, query_vectors: np.ndarray, width: int, k: int) -> DataFrame:
+    query_prefixes = prefixes(query_vectors, pivots)
+
     def per_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(query_ids), k)
         ids, held, n = [], [], 0
@@ -136,7 +190,9 @@ def _search(rows: DataFrame, pivots: np.ndarray, query_ids: np.ndarray, query_un
         def search() -> None:
             i, v = np.concatenate(ids), np.concatenate(held)
             for at in range(0, len(i), SEGMENT):
-                search_segment(i[at : at + SEGMENT], v[at : at + SEGMENT], pivots, query_ids, query_unit, query_places, best)
+                part = Segment(i[at : at + SEGMENT], v[at : at + SEGMENT], pivots, k + 1)
+                for q in range(len(query_ids)):
+                    best.offer(q, *part.scores(query_ids[q], query_vectors[q], query_prefixes[q]))
             ids.clear()
             held.clear()
 
