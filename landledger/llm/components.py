@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
-        e = materialise(_small_star(_large_star(e)), "edges")
+        e = materialise(_small_star(_large_star(e)), "edges", instead_of=e)
         mark = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == before or not mark[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import materialise, new_path, shared_dir  # noqa: F401
+from ..workspace import clear, materialise, new_path, shared_dir  # noqa: F401
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
