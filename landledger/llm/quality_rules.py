@@ -6,7 +6,8 @@ their language and source, and those at a great Mahalanobis distance are rejecte
 
 MCD by concentration steps: start from the medians and absolute deviations of each group, then
 repeat: put the squared distances in bins, take the nearest bins until they hold ``SUBSET`` of the
-group, and estimate from those rows alone.  Bins carry their own sums, so one step is one aggregation
+group, and estimate from those rows alone.  A step never raises a covariance's determinant but for the bins' width;
+steps end when no group's determinant falls any more.  Bins carry their own sums, so one step is one aggregation
 with map-side sums (groups x bins rows at most are shuffled, however hot a group is) and no group is
 ever gathered.  Three components keep the inverse in closed form.
 
@@ -31,19 +32,39 @@ from .shared import materialise, nested
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUBSET = 0.75
-STEPS = 3
+#: Steps end when no group's determinant falls by more than this part; a handful do, more than ``MOST_STEPS`` are never made.
+SETTLED, MOST_STEPS = 0.02, 10
 #: Passing documents from which a group stands on its own estimate alone.
 FULL_GROUP = 60
-#: Squared Mahalanobis distance beyond which a document is rejected (chi-square with 3 degrees: one in 800,000).
-CUTOFF = 31.0
+#: Share of the documents of a normal group that would be rejected.
+TAIL = 1e-7
 #: Least standard deviations of the three components, so that groups of equal documents reject no neighbours.
 FLOORS = (0.05, 0.06, 1.0)
-#: The covariance of the nearest three quarters of a normal sample understates its own: 1 / P(chi2_5 <= q) * SUBSET, q the 0.75 quantile of chi2_3.
-CONSISTENCY = 1.8
 BINS_PER_E, MOST_BINS = 12, 160
 PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
+def _chi_square(x: float, degrees: int) -> float:
+    """Probability of at most x, for 3 or 5 degrees of freedom."""
+    three = math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    return three if degrees == 3 else three - math.sqrt(2 / math.pi) * x**1.5 * math.exp(-x / 2) / 3
+
+
+def _quantile(share: float) -> float:
+    """Of chi-square with 3 degrees, by halving."""
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi_square(mid, 3) < share else (low, mid)
+    return high
+
+
+#: Squared Mahalanobis distance beyond which a document is rejected.
+CUTOFF = _quantile(1 - TAIL)
+#: The covariance of the nearest SUBSET of a normal sample understates its own by this factor.
+CONSISTENCY = SUBSET / _chi_square(_quantile(SUBSET), 5)
+
+
 def _counts(df: DataFrame, text: str, prefix: str = "_q_") -> DataFrame:
     """Add the counts as columns that start with ``prefix``.  ``text`` is a column expression."""
     p = prefix
@@ -91,6 +112,11 @@ def _distance(x: list[Column], m: list[Column], s: dict[tuple[int, int], Column]
     return F.when(det.isNotNull(), F.greatest(total / det, F.lit(0.0)))
 
 
+def _determinant() -> Column:
+    a, b, c, d, f, g = (F.col(f"_m_{i}{j}") for i, j in PAIRS)
+    return a * (d * g - f * f) - b * (b * g - c * f) + c * (b * f - c * d)
+
+
 def _with_estimate(rows: DataFrame, est: DataFrame, lang: Column, source: Column) -> DataFrame:
     """``est`` has a row for each group at most; a hot group's rows are split by the planner where it doesn't broadcast."""
     return rows.join(est, lang.eqNullSafe(est["_m_lang"]) & source.eqNullSafe(est["_m_source"]), "left")
@@ -135,7 +161,8 @@ def fit_groups(points: DataFrame) -> DataFrame:
     dev = near.groupBy(*keys).agg(*[F.percentile_approx(F.abs(x - F.col(f"_m_{i}")), 0.5, 1000).alias(f"_d{i}") for i, x in enumerate(xs)], *[F.first(f"_m_{i}").alias(f"_m_{i}") for i in range(3)])
     est = dev.select(*keys, *[f"_m_{i}" for i in range(3)], *[(F.pow(1.4826 * F.col(f"_d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
     est = materialise(est, "mcd-start")
-    for step in range(STEPS):
+    before_step = None
+    for step in range(MOST_STEPS):
         e = points.join(est, of_group)
         binned = e.select(*keys, *xs, F.least(F.floor(BINS_PER_E * F.log1p(_estimate_distance(xs))), F.lit(MOST_BINS)).cast("int").alias("bin"))
         sums = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"s{i}{j}") for i, j in PAIRS])
@@ -148,6 +175,12 @@ def fit_groups(points: DataFrame) -> DataFrame:
         m = [F.col(f"s{i}") / F.col("n") for i in range(3)]
         est = tot.select(*keys, F.col("all").alias("_n"), *[m[i].alias(f"_m_{i}") for i in range(3)], *[((F.col(f"s{i}{j}") / F.col("n") - m[i] * m[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
         est = materialise(est, f"mcd-step{step}")
+        if before_step is not None:
+            old = before_step.select(*keys, _determinant().alias("_old"))
+            fell = est.join(old, [est[k].eqNullSafe(old[k]) for k in keys]).agg(F.max(1 - _determinant() / F.col("_old"))).first()[0]
+            if fell is None or fell <= SETTLED:  # one number, whatever the groups
+                break
+        before_step = est
     return _shrunk(est)
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from landledger.llm import quality_rules as q
 
 
@@ -72,3 +74,60 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert q.judge_documents(df).count() == 0
     assert q.keep_good(df).count() == 0
+
+
+def numpy_distances(rows):
+    """The method by its definition, without bins: (language, source, vector) to squared distances."""
+    x = np.array([v for *_, v in rows])
+    floors = np.diag(np.array(q.FLOORS) ** 2)
+
+    def distance(m, s, y):
+        e = y - m
+        return np.einsum("ni,ij,nj->n", e, np.linalg.inv(s), e)
+
+    def mcd(y):
+        m = np.median(y, axis=0)
+        s = np.diag((1.4826 * np.median(np.abs(y - m), axis=0)) ** 2) + floors
+        for _ in range(30):
+            near = y[np.argsort(distance(m, s, y), kind="stable")[: int(np.ceil(q.SUBSET * len(y)))]]
+            m, s = near.mean(0), np.cov(near.T, bias=True).reshape(3, 3) * q.CONSISTENCY + floors
+        return m, s
+
+    whole, out = mcd(x), np.zeros(len(x))
+    for lang, source in {r[:2] for r in rows}:
+        at = np.array([r[:2] == (lang, source) for r in rows])
+        of_lang = np.array([r[0] == lang for r in rows])
+        weights = [min(1.0, a.sum() / q.FULL_GROUP) for a in (at, of_lang)]
+        own, language = mcd(x[at]), mcd(x[of_lang])
+        m, s = (weights[0] * a + (1 - weights[0]) * (weights[1] * b + (1 - weights[1]) * c) for a, b, c in zip(own, language, whole, strict=True))
+        out[at] = distance(m, s, x[at])
+    return out
+
+
+def test_verdicts_equal_an_estimate_without_bins(spark):
+    rng = random.Random(11)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    rows = []
+    for lang, source, n, most in (("en", "a", 400, 9), ("en", "b", 150, 12), ("de", "a", 90, 14), ("de", "b", 25, 14), ("fr", "c", 6, 8)):
+        for k in range(n):
+            odd = k % 23 == 0
+            rows.append((len(rows), " ".join(word("abcdefgh" if not odd else "ab#$%", most * (4 if odd and k % 2 else 1)) for _ in range(int(rng.lognormvariate(5, 0.8)) + 12)), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in q.judge_documents(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+
+    def vector(r):
+        n, chars, symbols = r["n_words"], max(r["word_chars"], 1), r["n_symbols"]
+        return [(np.log(chars / n) - np.log(5.5)) * np.sqrt(n / (n + 100)), np.sqrt(symbols / chars) * np.sqrt(n / (n + 20)), np.log(n)]
+
+    want = numpy_distances([(lang, source, vector(got[i])) for i, _, lang, source in rows])
+    have = np.array([got[i]["distance"] for i, *_ in rows])
+    assert np.quantile(np.abs(np.log((have + 1) / (want + 1))), 0.99) < 0.25
+    clear = np.abs(np.log(want / q.CUTOFF)) > 0.25
+    assert clear.mean() > 0.9 and 10 < (want > q.CUTOFF).sum() < len(rows) / 5
+    assert all(got[rows[k][0]]["kept"] == (want[k] <= q.CUTOFF) for k in np.flatnonzero(clear))
+
+
+def test_constants():
+    assert abs(q._chi_square(7.815, 3) - 0.95) < 1e-4 and abs(q._chi_square(11.070, 5) - 0.95) < 1e-4
+    assert abs(q._quantile(0.95) - 7.815) < 1e-3 and 35 < q.CUTOFF < 36 and 1.6 < q.CONSISTENCY < 1.62
