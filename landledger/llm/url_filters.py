@@ -54,18 +54,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     names = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels))), lambda k: F.array_join(F.slice(names, F.size(names) - k + 1, k), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    # Position 0 is the row itself: it counts repeated rows and keeps URLs that no rule fits.
-    expansions = F.concat(F.array(F.lit(None).cast("string")), F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
-    wide = parts.select("id", "host", "path", F.posexplode(expansions).alias("pos", "text"))
-    wide = wide.select("id", "host", "path", "pos", F.sha2("text", 256).alias("full"))
+    expansions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    wide = parts.select("id", "host", "path", F.explode(expansions).alias("text"))
+    wide = wide.select("id", "host", "path", F.sha2("text", 256).alias("full"))
     wide = wide.select("*", F.substring("full", 1, PREFIX_HEX).alias("key"))
 
     table = _hashed(rules)
     if shape["n"] <= BROADCAST_RULES:
         table = F.broadcast(table)
-    found = wide.join(table, "key", "left").select("id", "host", "path", "pos", F.when(F.col("digest") == F.col("full"), F.struct("rule_length", "verdict", "rule")).alias("hit"))
-    found = found.filter((F.col("pos") == 0) | F.col("hit").isNotNull())
-    best = found.groupBy("id", "host", "path").agg(F.max("hit").alias("hit"), F.count_if(F.col("pos") == 0).alias("times"))
+    else:
+        # Rules that some page asks for: hot expansions (``com/``) are one row each by then, and partial sets are made before the shuffle.
+        asked = wide.select("key", "full").distinct()
+        table = table.join(asked, (table["key"] == asked["key"]) & (table["digest"] == asked["full"]), "left_semi")
+    hit = F.struct("rule_length", "verdict", "rule")
+    found = wide.join(table, "key").filter(F.col("digest") == F.col("full")).select("id", "host", "path", hit.alias("hit"), F.lit(0).alias("row"))
+    # Every row itself, whether or not a rule fits; it counts repeated rows.
+    every = parts.select("id", "host", "path", F.lit(None).cast(found.schema["hit"].dataType).alias("hit"), F.lit(1).alias("row"))
+    best = every.union(found).groupBy("id", "host", "path").agg(F.max("hit").alias("hit"), F.sum("row").alias("times"))
     out = best.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("one"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 

@@ -33,3 +33,9 @@ def test_empty_tables_and_equal_rules(spark):
     twice = u.rule_table(spark, [("allow", "a.com", "/"), ("block", "a.com", "/"), ("allow", "com", "/x")])
     r = u.judge_urls(df, twice).collect()[0]
     assert (r["rule"], r["verdict"]) == ("a.com/", "block")
+
+
+def test_rule_tables_that_are_shuffled_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(u, "BROADCAST_RULES", 0)
+    test_equals_brute_force_with_repeats_and_clashes(spark)
+    test_empty_tables_and_equal_rules(spark)
