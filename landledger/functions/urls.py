@@ -28,6 +28,11 @@ def is_web_url(c: Column) -> Column:
     return F.coalesce(c.rlike("^https?://"), F.lit(False))
 
 
+# Path segments of a portal's functions.
+UTILITY_SEGMENTS = ("merkliste", "merkzettel", "favoriten", "suchagent", "login", "logout", "anmelden", "abmelden", "register", "registrieren", "impressum", "datenschutz", "agb", "kontakt", "suche", "search")
+
+
 def looks_like_utility(c: Column) -> Column:
-    """Portal functions rather than listings."""
-    return F.coalesce(F.lower(c).rlike(r"/(login|register|registrieren|merkliste|suche|search|impressum|datenschutz|agb|kontakt|hilfe|faq)(/|$|\?)"), F.lit(False))
+    """Portal functions rather than listings, by a segment of the path (with or without an ending)."""
+    path = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    return F.coalesce(F.lower(path).rlike("(^|/)(" + "|".join(UTILITY_SEGMENTS) + r")(\.[a-z0-9]+)?(/|$)"), F.lit(False))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DORMANT = ("removed", "expired", "stale")
-ELIGIBLE_FOR_STALE = ("active", "discovered", "verified", "price_changed")
+ELIGIBLE_FOR_STALE = ("active", "discovered", "verified", "price_changed", "expired")
 LEAST_MOVE = 1.0
 
 
@@ -26,13 +26,18 @@ def fold_facts(log: DataFrame, fields: list[str], order: str = "seq") -> DataFra
 
     Verifying sources overwrite, others only fill what is empty.  One aggregation with map-side parts.
     """
+    return log.groupBy("property_id").agg(*fact_columns(log, fields, order))
+
+
+def fact_columns(log: DataFrame, fields: list[str], order: str = "seq") -> list[Column]:
+    """The aggregates of ``fold_facts``."""
     aggs = []
     for f in fields:
         known = _filled(F.col(f)) if dict(log.dtypes)[f] == "string" else F.col(f)
         strong = F.max_by(F.when(F.col("verifies"), known), F.when(F.col("verifies") & known.isNotNull(), F.col(order)))
         weak = F.min_by(known, F.when(~F.col("verifies") & known.isNotNull(), F.col(order)))
         aggs.append(F.coalesce(strong, weak).alias(f))
-    return log.groupBy("property_id").agg(*aggs)
+    return aggs
 
 
 def running_fact(field: str, order: str = "seq") -> Column:
@@ -131,8 +136,10 @@ def changes_since(journal: DataFrame, prices: DataFrame, props: DataFrame, since
     j = journal.filter(F.col("ts") >= since)
     if kinds is not None:
         j = j.filter(F.col("change_kind").isin(*kinds))
-    j = j.withColumnRenamed("ts", "at").withColumnRenamed("seq", "event_id")
-    out = prices_as_of(j, prices.withColumnRenamed("seq", "price_id")).join(props, "property_id")
+    j = j.withColumnRenamed("ts", "at")
+    j = j if "event_id" in j.columns else j.withColumnRenamed("seq", "event_id")
+    prices = prices if "price_id" in prices.columns else prices.withColumnRenamed("seq", "price_id")
+    out = prices_as_of(j, prices).join(props, "property_id")
     return out.orderBy(F.col("at").desc(), F.col("event_id").desc())
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import german_format as de
 from ..functions.text import fold, matches_search
 
 
@@ -98,24 +97,10 @@ def change_chips() -> Column:
     ))
 
 
-def why(most: int = 5) -> Column:
-    return F.slice(F.array_compact(F.array(
-        F.when(F.col("fit_geography") >= 13, F.concat(F.lit("nah: "), de.kilometres(F.col("air_km")))), F.when(F.col("fit_price") >= 16, F.concat(F.lit("günstig: "), de.euro(F.col("price")))), F.when(F.col("fit_land") >= 13, F.concat(F.lit("viel Grund: "), de.square_metres(F.col("land_sqm")))),
-        F.when(F.col("fit_seclusion") == 10, "Alleinlage"), F.when(F.col("fit_development") >= 7, "Baurecht genannt"), F.when(F.col("fit_outbuildings") >= 7, "Nebengebäude"),
-    )), 1, most)
-
-
-def risks(most: int = 6) -> Column:
-    return F.slice(F.array_compact(F.array(
-        F.when(F.col("capital_risk").isin("high", "extreme"), "Kapitalrisiko"), F.when(F.array_contains("flags", "SANIERUNGSRISIKO"), "Sanierungsrisiko"), F.when(F.col("driving_km").isNull(), "Fahrstrecke ungeprüft"),
-        F.when(F.col("is_stale"), "lange online"), F.when(F.col("price").isNull(), "Preis unbekannt"), F.when(F.col("land_sqm").isNull(), "Grundstück unbekannt"), F.when(F.col("renovation_evidence") == "inferred", "Zustand geschätzt"),
-    )), 1, most)
-
-
 def best_url(rows: DataFrame) -> DataFrame:
     """Per property: the best-marked row, then verifying, visible, reliable, then the smaller source and URL."""
-    key = F.struct(F.col("is_best"), F.col("verifies"), F.col("visible"), F.coalesce("reliability", F.lit(0.0)), -F.col("source_id"))
-    return rows.filter(F.col("url").rlike("^https?://")).groupBy("property_id").agg(F.max_by("url", key).alias("url"))
+    key = F.struct(~F.col("is_best"), ~F.col("verifies"), ~F.col("visible"), -F.coalesce("reliability", F.lit(0.0)), "source_id", "url")
+    return rows.filter(F.col("url").rlike("^https?://")).groupBy("property_id").agg(F.min_by("url", key).alias("url"))
 
 
 def map_points(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +126,6 @@ def long_facts(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select("property_id", F.inline(pairs))
 
 
-def write_export(rows: DataFrame, path: str) -> None:
-    """Semicolon-separated files with a header; a mark is 1 or empty."""
-    rows.write.option("sep", ";").option("header", True).option("emptyValue", "").csv(path)
-
-
 def write_log(rows: DataFrame, path: str, day: str = "run_date") -> None:
     """Append-only log, one folder per day."""
     rows.write.mode("append").partitionBy(day).parquet(path)
@@ -167,10 +147,3 @@ def cache_hits(keys: DataFrame, cache: DataFrame, now: Column, days: dict[str, i
     ttl = F.element_at(F.create_map(*[F.lit(x) for kv in days.items() for x in kv]), F.col("kind"))
     fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= ttl * F.lit(86_400_000_000)
     return keys.join(latest_wins(cache, ["kind", "key"], "ts").filter(fresh), ["kind", "key"], "left")
-
-
-def digest_markdown(title: str, counts: dict[str, int], top: list[dict]) -> str:
-    """The written digest from one row of counters and at most a shortlist of rows."""
-    lines = [f"# {title}", "", *[f"- {k}: {v}" for k, v in counts.items()], ""]
-    lines += [f"{n}. {r['title']} – {r['final_score']}" for n, r in enumerate(top, 1)]
-    return "\n".join(lines)

@@ -204,7 +204,7 @@ def with_gates(scored: DataFrame, profile: Profile) -> DataFrame:
         F.when(F.col("air_km") > r.air_km_max, "AIR_DISTANCE_OVER_LIMIT"), F.when(drive > r.effective_hard, "DRIVING_DISTANCE_OVER_LIMIT"), F.when(unrouted & F.lit(g.reject_unrouted), "DRIVING_UNVERIFIED"),
         F.when((price != 0) & (price > b.purchase_hard_max), "PRICE_OVER_HARD_MAX"), F.when(over_hard & ~carve & ~guess, "TOTAL_COST_OVER_HARD_MAX"), F.when(over_band & ~carve & ~guess, "EXCEPTIONAL_BUDGET_WITHOUT_DEVELOPMENT"),
         F.when(F.col("confidence_score") < g.keep_confidence, "OBSERVATION_ONLY"), F.when(F.col("listing_status").isin(*GONE) & F.lit(g.reject_removed), "LISTING_REMOVED_OR_SOLD"),
-        F.when(excluded & ~farm, "EXCLUDED_PROPERTY_TYPE"), F.when(F.lower("price_type") == "rent", "RENTAL_NOT_FOR_SALE"),
+        F.when(excluded & ~farm, "EXCLUDED_PROPERTY_TYPE"), F.when(F.lower("price_type") == "rent", "RENTAL_NOT_FOR_SALE"), F.col("triage_reason") if "triage_reason" in scored.columns else F.lit(None).cast("string"),
     ))
     flags = F.array_compact(F.array(
         F.when(F.col("is_stale"), "STALE_LISTING"), F.when(F.col("no_evidence_date"), "NO_EVIDENCE_DATE"), F.when(unrouted & ~F.lit(g.reject_unrouted), "DRIVING_UNVERIFIED"),
@@ -224,7 +224,9 @@ def score_properties(props: DataFrame, facts: DataFrame, profile: Profile, now:
     out = out.withColumn("confidence_score", F.when(capped, F.least(F.col("confidence_score"), F.lit(UNROUTED_CAP))).otherwise(F.col("confidence_score")))
     w = profile.weights
     final = w.fit * F.col("fit_score") + w.deal * F.col("deal_score") + w.hidden * F.col("hidden_score") + w.freshness * F.col("freshness_score") + w.confidence * F.col("confidence_score")
-    return with_gates(out.withColumn("final_score", F.round(final, 2)), profile).withColumn("profile_hash", F.lit(profile.profile_hash)).drop("_text")
+    out = with_gates(out.withColumn("final_score", F.round(final, 2)), profile).withColumns({"profile_hash": F.lit(profile.profile_hash), "_row": F.monotonically_increasing_id()}).drop("_text")
+    # Filters and sort keys can't move below a row number; there they would write out the scores' expressions again, once for each use.
+    return out.filter("_row >= 0").drop("_row")
 
 
 #: Filters that a ranking takes; others are refused.
@@ -258,7 +260,7 @@ def apply_filters(scored: DataFrame, **filters) -> DataFrame:
     if "flags" in f:
         tests.append(F.size(F.array_except(F.array(*map(F.lit, f["flags"])), F.col("flags"))) == 0)
     if "q" in f:
-        tests.append(matches_search(f["q"], F.col("town"), F.col("title")))
+        tests.append(matches_search(f["q"], *[F.col(c) for c in ("town", "postcode", "district", "title", "user_title") if c in scored.columns]))
     if f.get("shortlisted"):
         tests.append(F.col("shortlisted_at").isNotNull())
     for t in tests:
@@ -297,3 +299,23 @@ WEB_SORTS = {
 
 def web_sorted(rows: DataFrame, by: str, limit: int = 60) -> DataFrame:
     return rows.orderBy(*WEB_SORTS[by](), F.col("property_id").asc()).limit(min(limit, 500))
+
+
+def stored_scores(props: DataFrame, scores: DataFrame, profile_hash: str) -> DataFrame:
+    """Properties with the scores that are kept for a profile; those without one are left out."""
+    own = scores.filter(F.col("profile_hash") == profile_hash)
+    return props.drop(*[c for c in own.columns if c != "property_id"]).join(own, "property_id")
+
+
+def dirty(props: DataFrame, scores: DataFrame, costs: DataFrame, profile_hash: str) -> DataFrame:
+    """Properties whose score or cost is missing, or older than their last update."""
+    s = scores.filter(F.col("profile_hash") == profile_hash).select("property_id", F.col("updated_at").alias("_s"))
+    c = costs.select("property_id", F.lit(True).alias("_c"))
+    out = props.join(s, "property_id", "left").join(c, "property_id", "left")
+    return out.filter(F.col("_s").isNull() | F.col("_c").isNull() | (F.col("_s") < F.col("updated_at"))).drop("_s", "_c")
+
+
+def rescore_all(props: DataFrame, facts: DataFrame, profile: Profile, now: Column, scores: DataFrame | None = None, costs: DataFrame | None = None) -> DataFrame:
+    """Scores of all properties, or of the dirty ones where the kept tables are given; ``updated_at`` is ``now``.  ``report.write_scores`` keeps them."""
+    todo = props if scores is None or costs is None else dirty(props, scores, costs, profile.profile_hash)
+    return score_properties(todo, facts, profile, now).withColumn("updated_at", now)

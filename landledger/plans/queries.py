@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, german_format, listings, numbers, text, towns, urls
@@ -123,7 +123,7 @@ def status_fold(spark, d):
 @query
 def change_kinds(spark, d):
     j = lifecycle.change_kinds(roles.sightings(spark, d))
-    return j.groupBy("change_kind", "new_status").agg(F.count(F.lit(1)).alias("n"))
+    return j.select("property_id", *[F.col(f"seq.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "supplier")], "old_status", "new_status", "change_kind")
 
 
 @query
@@ -137,8 +137,10 @@ def price_asof_status(spark, d):
 @query
 def change_feed(spark, d):
     log = roles.sightings(spark, d)
-    j = lifecycle.change_kinds(log).filter("change_kind in ('removed', 'reactivated')")
-    return j.filter(F.col("ts") >= _since(200)).select("property_id", "ts", "old_status", "new_status", "change_kind")
+    moves = lifecycle.price_journal(log).withColumn("price_id", F.row_number().over(Window.partitionBy("property_id").orderBy("seq"))).select("property_id", "ts", "price_id", F.col("new_price").alias("price_then"))
+    j = lifecycle.change_kinds(log).withColumn("event_id", F.col("seq.l_orderkey")).drop("seq")
+    out = lifecycle.changes_since(j, moves, roles.properties(spark, d).select("property_id", "title"), _since(200), ["removed", "reactivated"])
+    return out.select("property_id", "title", F.col("at").alias("ts"), "old_status", "new_status", "change_kind", "price_then")
 
 
 @query
@@ -149,7 +151,7 @@ def visible_semi(spark, d):
 
 @query
 def unscored_anti(spark, d):
-    have = _scored(spark, d).filter("final_score >= 40").select("property_id")
+    have = _scored(spark, d).filter("final_score >= 60").select("property_id")
     return roles.properties(spark, d).select("property_id").join(have, "property_id", "left_anti")
 
 
@@ -213,9 +215,12 @@ def merge_chain(spark, d):
 
 @query
 def phash_near(spark, d):
-    bits = lambda k: F.conv(F.array_join(F.transform(F.slice("embedding", 4 * k + 1, 4), lambda x: F.when(x > 0, "1").otherwise("0")), ""), 2, 16)
-    e = roles.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lower(F.concat(*[bits(k) for k in range(16)])).alias("phash"))
-    return resolve.near_images(e, 14)
+    """Signs of the embeddings as hashes, and of each a copy with one to eight bits turned, one in each byte at most."""
+    e = roles.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("v"))
+    turned = F.transform("v", lambda x, i: F.when((i % 8 == 0) & (i <= 8 * (F.col("id") % 8)), 1 - x).otherwise(x))
+    both = e.union(e.select(F.col("id") + 10_000_000, turned))
+    bits = lambda k: F.conv(F.array_join(F.slice("v", 4 * k + 1, 4), ""), 2, 16)
+    return resolve.near_images(both.select("id", F.lower(F.concat(*[bits(k) for k in range(16)])).alias("phash")), 14)
 
 
 @query

@@ -93,3 +93,17 @@ def property_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROPERTY_SOURCE_CTE = """property_source AS (SELECT l_partkey AS property_id, l_suppkey AS source_id, max(l_shipdate) AS source_date,
   min(CASE WHEN l_linenumber = 1 THEN 'private' WHEN l_linenumber = 2 THEN 'broker' END) AS contact_kind, max(CASE WHEN l_discount > 0.05 THEN 'x' END) AS contact_detail,
   min(l_linenumber) = 1 AS is_best, bool_or(l_returnflag <> 'R') AS visible, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1, 2)"""
+
+#: Where a sighting places its property, and when the listing is dated.
+SIGHTING_PLACE = {
+    "lat": "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 47.0 + CAST(l_suppkey % 100 AS DOUBLE) / 100 END", "lon": "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 11.0 + CAST(l_orderkey % 100 AS DOUBLE) / 100 END",
+    "geo_precision": "CASE l_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'street' WHEN 2 THEN 'town' WHEN 3 THEN 'postcode' ELSE NULL END", "air_km": "CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE CAST(l_orderkey % 200 AS DOUBLE) END",
+    "driving_km": "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey % 300 AS DOUBLE) END", "driving_minutes": "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey % 400 AS DOUBLE) END", "routed": "l_orderkey % 3 = 0",
+    "source_date": "CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE l_shipdate END",
+}
+PLACED_CTE = cte("placed0", {**SIGHTING, **SIGHTING_PLACE}, "lineitem") + ", placed AS (SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY ts, l_orderkey, l_linenumber, supplier) AS seq FROM placed0)"
+
+
+def placed_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings with places and dates."""
+    return _as(table(spark, sf_dir, "lineitem"), {**SIGHTING, **SIGHTING_PLACE}).withColumn("seq", F.struct(*ORDER))

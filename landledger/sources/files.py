@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
         head = spark.read.text(path).limit(1).collect()
         first = head[0][0] if head else ""
         sep = max(",;\t", key=first.count)
-    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", False).csv(path)
+    raw = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
     used: dict[str, str] = {}
     extra = []
     for c in raw.columns:
@@ -54,18 +55,52 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     return out.filter(F.coalesce(F.col("url"), F.lit("")) != "")
 
 
-def read_feed(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
-    """RSS items or Atom entries as raw listings; entries without a link are dropped."""
+#: Raw fields that a feed's own element may fill.
+MAPPABLE = ("postcode", "town", "location_raw", "price_raw", "land_raw", "living_raw", "usable_raw", "rooms_raw", "year_raw", "contact_name", "contact_detail")
+
+
+def read_feed(spark: SparkSession, path: str, atom: bool = False, fields: dict[str, str] | None = None) -> DataFrame:
+    """RSS items or Atom entries as raw listings with their images; entries without a link or with a portal function's are dropped.
+
+    ``fields``: an element's name to the raw field that its text fills, of ``MAPPABLE`` only.
+    """
+    from ..functions.urls import looks_like_utility
+
+    wanted = {k: v for k, v in (fields or {}).items() if v in MAPPABLE}
+    more = "".join(f", `{k}` struct<_VALUE: string>" for k in wanted)
+    media = "enclosure array<struct<_url: string, _type: string>>, `media:content` array<struct<_url: string, _medium: string>>, `media:thumbnail` array<struct<_url: string>>"
     if atom:
-        schema = "title string, id string, updated string, summary string, link array<struct<_href: string, _rel: string>>"
+        schema = f"title string, id string, updated string, summary string, link array<struct<_href: string, _rel: string>>, {media}{more}"
         raw = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
-        link = F.coalesce(F.element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 1)["_href"], F.get("link", 0)["_href"])
-        out = raw.select(link.alias("url"), "title", F.col("summary").alias("description"), F.col("updated").alias("source_date_raw"), F.col("id").alias("external_id"))
+        link = F.coalesce(F.try_element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"], F.get("link", 0)["_href"])
+        cols = {"url": link, "title": F.col("title"), "description": F.col("summary"), "source_date_raw": F.col("updated"), "external_id": F.col("id")}
     else:
-        schema = "title string, link string, guid string, description string, pubDate string"
+        schema = f"title string, link string, guid struct<_VALUE: string, _isPermaLink: string>, description string, pubDate string, {media}{more}"
         raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-        out = raw.select(F.trim(F.coalesce("link", F.when(F.col("guid").rlike("^https?://"), F.col("guid")))).alias("url"), "title", "description", F.col("pubDate").alias("source_date_raw"), F.col("guid").alias("external_id"))
-    return out.filter(F.coalesce(F.col("url"), F.lit("")) != "")
+        guid = F.col("guid._VALUE")
+        cols = {"url": F.coalesce("link", F.when(guid.rlike("^https?://"), guid)), "title": F.col("title"), "description": F.col("description"), "source_date_raw": F.col("pubDate"), "external_id": guid}
+    none = F.array().cast("array<string>")
+    pictures = F.concat(
+        F.coalesce(F.transform(F.filter("enclosure", lambda x: F.coalesce(x["_type"], F.lit("image/")).startswith("image/")), lambda x: x["_url"]), none),
+        F.coalesce(F.transform(F.filter("`media:content`", lambda x: F.coalesce(x["_medium"], F.lit("image")) == "image"), lambda x: x["_url"]), none), F.coalesce(F.transform("`media:thumbnail`", lambda x: x["_url"]), none),
+    )
+    own = {v: F.trim(F.col(f"`{k}`._VALUE")) for k, v in wanted.items()}
+    out = raw.select(*[(F.trim(c) if n == "url" else c).alias(n) for n, c in cols.items()], F.array_distinct(F.array_compact(pictures)).alias("image_urls"), *[c.alias(n) for n, c in own.items()])
+    return out.filter((F.coalesce(F.col("url"), F.lit("")) != "") & ~looks_like_utility(F.col("url")))
+
+
+# A detail page fills what its feed entry leaves open; the entry keeps its identity, headline and date.
+FEED_OWNS = ("url", "external_id", "title", "source_date_raw")
+
+
+def merge_details(entries: DataFrame, details: DataFrame) -> DataFrame:
+    """``details``: url and raw fields of the pages.  An entry whose page is missing gets a warning."""
+    names = [c for c in details.columns if c not in FEED_OWNS]
+    d = details.select("url", *[F.col(c).alias(f"_d_{c}") for c in names], F.lit(True).alias("_found"))
+    out = entries.join(d, "url", "left")
+    cols = [F.coalesce(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)), F.col(f"_d_{c}")).alias(c) if c in entries.columns else F.col(f"_d_{c}").alias(c) for c in names]
+    kept = [c for c in entries.columns if c not in names]
+    return out.select(*kept, *cols, F.array_compact(F.array(F.when(F.col("_found").isNull(), "detail page not read"))).alias("warnings"))
 
 
 def read_sitemap(spark: SparkSession, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +114,117 @@ def sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select(F.trim("loc").alias("url"))
 
 
-LABELS = {"kaufpreis": "price_raw", "preis": "price_raw", "verkehrswert": "price_raw", "grundstücksfläche": "land_raw", "grundstück": "land_raw", "wohnfläche": "living_raw", "nutzfläche": "usable_raw", "zimmer": "rooms_raw", "baujahr": "year_raw", "ort": "location_raw", "lage": "location_raw", "plz": "postcode"}
+# Labels of a page's facts and the field each stands for.
+LABELS = {
+    "kaufpreis": "price_raw", "preis": "price_raw", "verkaufspreis": "price_raw", "kaufpreisvorstellung": "price_raw", "preisvorstellung": "price_raw", "angebotspreis": "price_raw", "verhandlungsbasis": "price_raw", "verkauf": "price_raw", "price": "price_raw",
+    "verkehrswert": "price_raw", "kaltmiete": "price_raw", "warmmiete": "price_raw", "nettokaltmiete": "price_raw", "monatsmiete": "price_raw", "mietpreis": "price_raw", "miete": "price_raw",
+    "grundstück": "land_raw", "grundstueck": "land_raw", "grundstücksfläche": "land_raw", "grundstuecksflaeche": "land_raw", "grundstücksgröße": "land_raw", "grundstuecksgroesse": "land_raw", "grundstücksgrösse": "land_raw", "grundstücksfl": "land_raw", "land": "land_raw",
+    "wohnfläche": "living_raw", "wohnflaeche": "living_raw", "wohnfl": "living_raw", "gesamtwohnfläche": "living_raw", "gesamtwohnflaeche": "living_raw", "living": "living_raw",
+    "nutzfläche": "usable_raw", "nutzflaeche": "usable_raw", "gesamtnutzfläche": "usable_raw", "gesamtnutzflaeche": "usable_raw", "wohn-/nutzfläche": "usable_raw", "wohn-/nutzflaeche": "usable_raw", "wohn- und nutzfläche": "usable_raw", "wohn- und nutzflaeche": "usable_raw", "usable": "usable_raw",
+    "zimmer": "rooms_raw", "zimmeranzahl": "rooms_raw", "anzahl zimmer": "rooms_raw", "anzahl der zimmer": "rooms_raw", "anzahl räume": "rooms_raw", "rooms": "rooms_raw", "baujahr": "year_raw", "year": "year_raw",
+    "ort": "location_raw", "lage": "location_raw", "standort": "location_raw", "adresse": "location_raw", "address": "location_raw", "plz": "postcode",
+}
+#: Their meaning is lost if only the value is kept.
+KEPT_LABELS = ("kaltmiete", "warmmiete", "nettokaltmiete", "monatsmiete", "mietpreis", "miete", "verhandlungsbasis")
+#: As often a value as a label: only before a colon.
+COLON_ONLY = ("verkauf", "land", "living", "usable", "ort", "lage")
+#: What a value must look like to be one.
+SHAPES = {
+    "price_raw": re.compile(r"\d|anfrage|\bvb\b|\bvhb\b", re.I), "land_raw": re.compile(r"\d.*(?:m²|m2|qm|ha\b|hektar|tagwerk)", re.I), "living_raw": re.compile(r"\d.*(?:m²|m2|qm)", re.I), "usable_raw": re.compile(r"\d.*(?:m²|m2|qm)", re.I),
+    "rooms_raw": re.compile(r"^\D{0,4}\d{1,2}(?:[.,]\d)?\b"), "year_raw": re.compile(r"\b1[0-9]{3}\b|\b20[0-9]{2}\b"), "location_raw": re.compile(r"[A-Za-zÄÖÜäöü]{3}"), "postcode": re.compile(r"\b\d{5}\b"),
+}
+MOST_BLANKS, MOST_VALUE = 4, 120
+_ROOMS = re.compile(r"^(\d{1,2}(?:[.,]5)?)[ -](?:Zimmer|Zi\.?)(?:\b|$)")
+_INLINE = re.compile("^(" + "|".join(sorted((re.escape(k) for k in LABELS if k not in COLON_ONLY), key=len, reverse=True)) + r")[ \t]+(?=\S)(.*)$", re.I)
+
+
+def labelled_fields(lines: list[str]) -> dict[str, str]:
+    """Facts of a page's lines in four layouts, the surest first: "label: value", "label value" on a line, the value on the next line that
+    isn't blank, and a bare number of rooms.  A value must have its field's shape; the first of a field counts.  ``lines`` may hold blank ones."""
+    out: dict[str, str] = {}
+
+    def take(label: str, value: str) -> None:
+        field = LABELS.get(label)
+        value = " ".join(value.split())
+        if field and field not in out and value and len(value) <= MOST_VALUE and SHAPES[field].search(value):
+            out[field] = f"{label.capitalize()}: {value}" if label in KEPT_LABELS else value
+
+    clean = [" ".join(x.split()) for x in lines]
+    for x in clean:
+        label, colon, value = x.partition(":")
+        if colon:
+            take(label.strip().lower(), value)
+    for x in clean:
+        m = _INLINE.match(x)
+        if m:
+            take(m[1].lower(), m[2])
+    for k, x in enumerate(clean):
+        label = x.rstrip(":").strip().lower()
+        if label in LABELS and label not in COLON_ONLY or (x.endswith(":") and label in LABELS):
+            take(label, next((y for y in clean[k + 1 : k + 2 + MOST_BLANKS] if y), ""))
+    for x in clean:
+        m = _ROOMS.match(x)
+        if m and "rooms_raw" not in out:
+            out["rooms_raw"] = m[1]
+    return out
+
+
+def join_url(base: str | None, href: str) -> str | None:
+    """The address of a link, or nothing where it isn't one (a page's bad link must not fail the rest)."""
+    try:
+        return urljoin(base or "", href)
+    except ValueError:
+        return None
+
+
+# What pages declare themselves to be.
+LISTING_TYPES = ("realestatelisting", "product", "offer", "singlefamilyresidence", "house", "apartment", "residence", "accommodation")
+INDEX_TYPES = ("searchresultspage", "collectionpage", "itemlist")
+NESTED = ("@graph", "mainEntity", "mainEntityOfPage")
+LD_DEPTH = 6
+
+
+def declared(blobs: list[str]) -> tuple[set[str], str]:
+    """Types that a page's JSON-LD names for itself, and the first name of a thing on offer.  What a list's entries are doesn't count."""
+    types: set[str] = set()
+    name = ""
+    for blob in blobs:
+        try:
+            todo = [(json.loads(blob), 0)]
+        except ValueError:
+            continue
+        while todo:
+            x, depth = todo.pop(0)
+            if depth > LD_DEPTH:
+                continue
+            if isinstance(x, list):
+                todo = [(y, depth + 1) for y in x] + todo
+            elif isinstance(x, dict):
+                kinds = x.get("@type")
+                own = {k.casefold() for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}
+                types |= own
+                if not name and own & set(LISTING_TYPES) and isinstance(x.get("name"), str):
+                    name = x["name"].strip()
+                todo = [(x[k], depth + 1) for k in NESTED if k in x] + todo
+    return types, name
+
+
+_SUFFIX = re.compile(r"^(.+?)\s*[|–—·-]\s*([^|–—·-]+)$")
+LONGEST_SUFFIX, LEAST_TITLE = 40, 8
+
+
+def _bare(s: str) -> str:
+    return re.sub("[^a-z0-9]", "", s.casefold().translate(str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"})))
+
+
+def without_site_name(title: str, site: str, host: str) -> str:
+    """A headline without the site's own name behind its last dash or bar; other endings are part of it."""
+    m = _SUFFIX.match(title)
+    if not m:
+        return title
+    head, tail = m[1].strip(), _bare(m[2])
+    named = tail and (tail == _bare(site) or tail in _bare(host.removeprefix("www.")))
+    return head if named and len(m[2].strip()) <= LONGEST_SUFFIX and len(head) >= LEAST_TITLE else title
 
 
 class _Page(HTMLParser):
@@ -90,12 +235,17 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.skip, self.where, self.parts = 0, [], []
-        self.title, self.h1, self.og, self.links, self.images = "", "", {}, [], []
+        self.title, self.h1, self.og, self.links, self.images, self.ld, self.next = "", "", {}, [], [], [], None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in self.SKIP:
             self.skip += 1
+        if tag == "script" and (a.get("type") or "").lower() == "application/ld+json":
+            self.ld.append("")
+            self.where.append("ld")
+        if tag == "link" and (a.get("rel") or "").lower() == "next" and a.get("href"):
+            self.next = a["href"]
         if tag in self.BLOCK:
             self.parts.append("\n")
         if tag in ("title", "h1"):
@@ -112,10 +262,12 @@ class _Page(HTMLParser):
             self.skip -= 1
         if tag in self.BLOCK:
             self.parts.append("\n")
-        if self.where and self.where[-1] == tag:
+        if self.where and self.where[-1] in (tag, "ld" if tag == "script" else tag):
             self.where.pop()
 
     def handle_data(self, data):
+        if self.where and self.where[-1] == "ld":
+            self.ld[-1] += data
         if self.skip:
             return
         if self.where and self.where[-1] == "title":
@@ -125,8 +277,8 @@ class _Page(HTMLParser):
             self.h1 += data
         self.parts.append(data)
 
-    def lines(self) -> list[str]:
-        return [s for s in (" ".join(x.split()) for x in "".join(self.parts).split("\n")) if s]
+    def lines(self, blank: bool = False) -> list[str]:
+        return [s for s in (" ".join(x.split()) for x in "".join(self.parts).split("\n")) if s or blank]
 
 
 def page_facts(url: str, html: str) -> dict:
@@ -134,21 +286,23 @@ def page_facts(url: str, html: str) -> dict:
     p.feed(html)
     p.close()
     one = lambda s: " ".join(s.split())
-    lines = p.lines()
-    fields: dict[str, str] = {}
-    for k, line in enumerate(lines):
-        label, colon, value = line.partition(":")
-        field = LABELS.get(label.strip().lower())
-        if field and field not in fields:
-            value = value.strip() if colon else (lines[k + 1] if k + 1 < len(lines) else "")
-            if value and any(c.isdigit() for c in value) or field == "location_raw" and value:
-                fields[field] = value
+    types, name = declared(p.ld)
+    try:
+        host = urlsplit(url or "").hostname or ""
+    except ValueError:
+        host = ""
+    title = one(name) or one(p.h1) or one(p.og.get("title", "")) or one(p.title)
     groups: dict[str, set] = {}
     for h in p.links:
-        full = urljoin(url or "", h).split("#")[0].split("?")[0].rstrip("/")
-        groups.setdefault(full.rpartition("/")[0], set()).add(full)
-    images = list(dict.fromkeys(urljoin(url or "", i) for i in ([p.og["image"]] if "image" in p.og else []) + p.images))
-    return {"title": one(p.h1) or one(p.og.get("title", "")) or one(p.title), "text": "\n".join(lines), "n_links": len(p.links), "siblings": max(map(len, groups.values()), default=0), "images": images, "fields": fields}
+        full = join_url(url, h)
+        if full is not None:
+            full = full.split("#")[0].split("?")[0].rstrip("/")
+            groups.setdefault(full.rpartition("/")[0], set()).add(full)
+    images = list(dict.fromkeys(i for i in (join_url(url, i) for i in ([p.og["image"]] if "image" in p.og else []) + p.images) if i))
+    return {
+        "title": without_site_name(title, p.og.get("site_name", ""), host), "text": "\n".join(p.lines()), "n_links": len(p.links), "siblings": max(map(len, groups.values()), default=0), "images": images,
+        "fields": labelled_fields(p.lines(blank=True)), "declared": "index" if types & set(INDEX_TYPES) else "listing" if types & set(LISTING_TYPES) else None,
+    }
 
 
 def lift_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -157,11 +311,11 @@ def lift_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def per_batch(batches):
         for b in batches:
             facts = [page_facts(u, h or "") for u, h in zip(b["url"], b["html"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "url": b["url"], **{k: [f[k] for f in facts] for k in ("title", "text", "n_links", "siblings", "images", "fields")}})
+            yield pd.DataFrame({"id": b["id"], "url": b["url"], **{k: [f[k] for f in facts] for k in ("title", "text", "n_links", "siblings", "images", "fields", "declared")}})
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    out = rows.mapInPandas(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, url string, title string, text string, n_links int, siblings int, images array<string>, fields map<string,string>")
-    return out.withColumn("page_kind", page_kind(F.col("url"), F.col("title"), F.col("siblings"))).withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, url string, title string, text string, n_links int, siblings int, images array<string>, fields map<string,string>, declared string")
+    return out.withColumn("page_kind", page_kind(F.col("url"), F.col("title"), F.col("siblings"), F.col("declared"))).withColumnRenamed("id", id_col)
 
 
 class _Tables(HTMLParser):
@@ -191,6 +345,7 @@ class _Tables(HTMLParser):
             self.cell[1] += data
 
 
+# Headers of court tables.
 COURT_HEADERS = {"aktenzeichen": "external_id", "amtsgericht": "court", "objekt": "title", "verkehrswert": "price_raw", "termin": "auction_date", "versteigerungstermin": "auction_date", "ort": "town", "lage": "town"}
 
 
@@ -208,9 +363,9 @@ def court_rows(html: str, base: str) -> list[dict]:
         for row in table[1:]:
             got = {n: " ".join(c[1].split()) for n, c in zip(names, row, strict=False) if n and c[1].strip()}
             link = next((c[2] for c in row if c[2]), None)
-            if not got or not (link or got.get("external_id")):
+            if not got.get("external_id"):
                 continue
-            url = urljoin(base or "", link) if link else f"{(base or '').rstrip('/')}/index.php?az={got['external_id'].replace(' ', '%20')}"
+            url = (join_url(base, link) if link else None) or f"{(base or '').rstrip('/')}/index.php?az={got['external_id'].replace(' ', '%20')}"
             out.append({"url": url, **{k: got.get(k) for k in ("external_id", "title", "price_raw", "auction_date")}, "location_raw": ", ".join(x for x in (got.get("court"), got.get("town")) if x) or None})
     return out
 
@@ -246,14 +401,25 @@ def enabled(config: DataFrame) -> DataFrame:
 INDEX_LINKS = 10
 
 
-def page_kind(url: Column, title: Column, siblings: Column) -> Column:
-    """Utility by address or headline before index by ten sibling links before listing."""
+# Headlines of a portal's functions.
+UTILITY_HEADINGS = (
+    "merkliste", "merkzettel", "favoriten", "suchagent", "login", "anmelden", "abmelden", "registrieren", "registrierung", "impressum", "datenschutz", "datenschutzerklaerung", "agb", "kontakt", "benutzermenue", "menue", "navigation", "startseite", "homepage",
+    "suche", "seite nicht gefunden",
+)
+
+
+def page_kind(url: Column, title: Column, siblings: Column, declares: Column | None = None) -> Column:
+    """Utility by address or headline, then what the page declares (index before listing), then index by ten sibling links, else listing."""
     from ..functions.urls import looks_like_utility
 
-    heading = normalize_text(title).rlike("^(login|anmelden|registrieren|impressum|datenschutz|merkliste|suche|kontakt|seite nicht gefunden)$")
-    return F.when(looks_like_utility(url) | F.coalesce(heading, F.lit(False)), "utility").when(siblings >= INDEX_LINKS, "index").otherwise("listing")
+    heading = normalize_text(title).isin(*UTILITY_HEADINGS)
+    out = F.when(looks_like_utility(url) | F.coalesce(heading, F.lit(False)), "utility")
+    if declares is not None:
+        out = out.when(declares.isNotNull(), declares)
+    return out.when(siblings >= INDEX_LINKS, "index").otherwise("listing")
 
 
+# What a page says when its listing is gone.
 GONE_WORDS = "nicht mehr verfügbar|nicht mehr online|wurde deaktiviert|bereits verkauft|no longer available"
 
 

@@ -29,14 +29,15 @@ OUTPUT = "property_id bigint, ts timestamp, status string"
 def running_status(log: DataFrame, stale_after_days: int = 45) -> DataFrame:
     """The status fold over a stream of sightings (property_id, source_id, verifies, visible, ts, seq): a row per sighting, and one when silence makes it stale.
 
-    State per property: the verifying sources that show it, its status, its last sighting.
+    State per property: the verifying sources that show it, its status, its last sighting.  It stays when a property falls silent, so that a
+    later sighting is folded into what its sources showed.  Rows older than the watermark (a day behind the latest) are dropped by the engine.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         shown, status, last = (set(state.get[0]), state.get[1], state.get[2]) if state.exists else (set(), None, None)
         if state.hasTimedOut:
-            state.remove()
-            if status not in (None, "removed"):
+            if status not in (None, "removed", "stale"):
+                state.update(([int(s) for s in shown], "stale", last))
                 yield pd.DataFrame({"property_id": [key[0]], "ts": [last], "status": ["stale"]})
             return
         rows = pd.concat(list(batches)).sort_values("seq")
@@ -58,3 +59,34 @@ def running_status(log: DataFrame, stale_after_days: int = 45) -> DataFrame:
 
     rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").select("property_id", "source_id", "verifies", "visible", "ts", "seq")
     return rows.groupBy("property_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Rows of a key that follow each other within ``gap`` as one row: session_start, session_end, key, n.  With ``late`` as a stream."""
+    e = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    e = e if late is None else e.withWatermark("_ts", late)
+    out = e.groupBy(F.session_window("_ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
+
+
+def upsert_batches(stream: DataFrame, log_path: str, snapshot_path: str, checkpoint: str):
+    """Each micro-batch appends its sightings as one partition of the log (written again, not twice, if the batch is retried) and refolds the
+    properties it touches into a partition of the snapshot; ``latest_snapshot`` reads it.  Returns the writer, to be started."""
+    from ..operators.ingest import snapshot
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        wide = batch.withColumn("batch_id", F.lit(batch_id))
+        wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path)
+        log = spark.read.schema(wide.schema).parquet(log_path).drop("batch_id")
+        touched = log.join(batch.select("property_id").distinct(), "property_id", "left_semi")
+        snapshot(touched).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(snapshot_path)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+
+
+def latest_snapshot(snapshots: DataFrame) -> DataFrame:
+    """The last fold of each property."""
+    from ..operators.report import latest_wins
+
+    return latest_wins(snapshots, ["property_id"], "batch_id").drop("batch_id")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from landledger.operators import lifecycle, report, resolve, score
+from landledger.operators import digest, lifecycle, report, resolve, score
 from landledger.operators.links import components
 from landledger.search_profile import BUILT_IN, SHIPPED, Renovation
 
@@ -136,10 +136,9 @@ def test_sinks(spark, tmp_path):
     for day in ("2026-09-01", "2026-09-02"):
         report.write_log(spark.createDataFrame([(1, day)], "x int, run_date string"), f"{base}/log")
     assert spark.read.parquet(f"{base}/log").count() == 2
-    report.write_export(spark.createDataFrame([(1, "a;b", None)], "x int, y string, mark string").coalesce(1), f"{base}/export")
-    lines = next((tmp_path / "export").glob("part-*")).read_text().splitlines()
-    assert lines[0] == "x;y;mark" and lines[1].startswith('1;"a;b";')
-    assert "# W\n" in report.digest_markdown("W", {"tracked": 1}, [{"title": "Hof", "final_score": 70}])
+    digest.write_export(spark.createDataFrame([(1, "a;b", None, "x")], "property_id int, title string, town string, shortlisted_at string").coalesce(1), f"{base}/export")
+    lines = next((tmp_path / "export").glob("part-*")).read_text(encoding="utf-8").splitlines()
+    assert lines[0].startswith("\ufeffrank;property_id;title") and '"a;b"' in lines[1] and lines[1].endswith(";1")
 
 
 def test_evidence_and_tags(spark):
