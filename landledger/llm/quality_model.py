@@ -1,7 +1,8 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
-1. Texts are cut into words, punctuation runs and shape marks (capitals, a word repeated at once).  Each
-   token gets a slot by hash (``SLOTS`` of them) and each slot a sparse random index vector that depends on the slot alone.
+1. Texts are cut into words, punctuation runs and shape marks (capitals, a word repeated at once); Arrow kernels find the distinct
+   words of a slice of texts, which are looked at once.  Each token gets a slot by hash (``SLOTS`` of them; a slot stands for several
+   words where the vocabulary is larger) and each slot a sparse random index vector that depends on the slot alone.
 2. Every document of the corpus adds, for each token, the index vectors of its neighbours to the token's
    context vector: one pass, partial sums per task, one row per slot and task shuffled.  The slots bound the vectors'
    memory whatever the vocabulary is; no word is dropped.
@@ -10,51 +11,61 @@
    hashes of their ids; a held-out part of that sample calibrates a temperature and a bias.
 
 Labels, language, source and id are never inputs of a score.  Odd inputs: null and empty texts get the score
-of the empty pool.  With fewer than ``LEAST_LABELS`` usable labels, or one class only, every score is 0.5.  Repeated rows get
-the same score each.  Other columns are ignored (in the filter kept).  Null ids are never trained on.
+of the empty pool.  With labels of one class only, or none, every score is 0.5; with so few that no held-out row of each class is left,
+all are learned from and the temperature is ``FEW_HEAT``.  Repeated rows get the same score each.  Other columns are ignored (in the filter kept).  Null ids are never trained on.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_automaton import Remembered
+from .runs import Runs, distinct, list_ends, runs_of, slices, strings
 from .shared import materialise
 
-SLOTS, WIDTH, NONZERO, REACH = 4096, 32, 4, 2
+SLOTS, WIDTH, NONZERO, REACH = 16_384, 32, 4, 2
 #: Labelled documents that are learned from, at most.
 MOST_LABELS = 6000
-LEAST_LABELS = 40
+FEW_HEAT = 2.0
 HIDDEN, EPOCHS, BATCH, STEP, DECAY = 24, 60, 64, 0.01, 1e-4
 PRIOR_TOKENS = 6
 MOST_WORDS = 120_000
+#: Tokens whose vectors are in memory at a time (unless one text has more).
+POOL_TOKENS = 100_000
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 UPPER, REPEATED, EMPTY = SLOTS - 1, SLOTS - 2, SLOTS - 3
 
 
 def index_vectors() -> np.ndarray:
-    rng = np.random.default_rng(20240229)
     out = np.zeros((SLOTS, WIDTH), np.float32)
-    for s in range(SLOTS):
-        at = rng.choice(WIDTH, NONZERO, replace=False)
-        out[s, at] = rng.choice([-1.0, 1.0], NONZERO)
+    at, sign = _sparse_index()
+    np.put_along_axis(out, at, sign.astype(np.float32), 1)
     return out
 
 
+def _sparse_index() -> tuple[np.ndarray, np.ndarray]:
+    """For each slot the places of its components that aren't 0, and their signs."""
+    rng = np.random.default_rng(20240229)
+    at = rng.random((SLOTS, WIDTH)).argsort(1)[:, :NONZERO]
+    return at, rng.choice([-1.0, 1.0], (SLOTS, NONZERO))
+
+
 class Slots:
-    """Texts to arrays of slots, with a bounded memory of words."""
+    """Texts to runs of slots, with a bounded memory of words."""
 
     def __init__(self) -> None:
         self.known = Remembered(MOST_WORDS)
 
-    def _slots(self, chunk: str) -> tuple[int, ...]:
+    def _slots(self, chunk: str) -> bytes:
         found = self.known.older(chunk)
         if found is None:
             out = []
@@ -66,31 +77,39 @@ class Slots:
                 else:
                     # a run of one mark counts as that mark, doubled where it is longer
                     out.append(SLOTS - 64 + zlib.crc32((token[0] * min(len(token), 2)).encode()) % 60)
-            found = tuple(out) or (EMPTY,)
+            found = array("H", out or [EMPTY]).tobytes()
             if len(chunk) <= 40:
                 self.known.put(chunk, found)
         return found
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, texts: pa.Array) -> Runs:
+        """The slots of each text (one slice of them); a text without words has ``EMPTY``."""
+        split = pc.utf8_split_whitespace(texts)
+        number, words = distinct(split.flatten())
         get, miss = self.known.new.get, self._slots
-        out: list[int] = []
-        before = None
-        for chunk in text.split():
-            out += get(chunk) or miss(chunk)
-            if chunk == before:
-                out.append(REPEATED)
-            before = chunk
-        return np.array(out or [EMPTY], np.int64)
-
-
-def _neighbours(slots: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each token the sum of the index vectors of up to REACH tokens on either side."""
-    v = index[slots]
-    out = np.zeros_like(v)
-    for k in range(1, min(REACH, len(slots) - 1) + 1):
-        out[k:] += v[:-k]
-        out[:-k] += v[k:]
-    return out
+        plain = [(get(w) or miss(w)) if w else b"" for w in strings(words)]
+        # Each word twice: as it is, and as it counts behind itself.
+        again, n = array("H", [REPEATED]).tobytes(), len(plain)
+        table = runs_of([*plain, *[p + again for p in plain], array("H", [EMPTY]).tobytes()], "<u2")
+        ends = list_ends(split)
+        same = np.append(False, number[1:] == number[:-1])[: len(number)] & (np.diff(table.ends, prepend=0)[number] > 0)
+        same[ends[:-1][ends[:-1] < len(number)]] = False
+        flat = table.take(number + n * same).joined(ends)
+        bare = np.flatnonzero(flat.lengths == 0)
+        if len(bare):  # put EMPTY where a text has nothing
+            flat = Runs(np.insert(flat.flat, flat.ends[bare], EMPTY), flat.ends + np.cumsum(flat.lengths == 0))
+        return flat
+
+
+def _add_contexts(total: np.ndarray, slots: Runs, at: np.ndarray, sign: np.ndarray) -> None:
+    """Add to each token's row the index vectors of up to REACH tokens on either side in its text."""
+    flat, owner = slots.flat.astype(np.int64), np.repeat(np.arange(len(slots.ends)), slots.lengths)
+    for k in range(1, REACH + 1):
+        inside = owner[k:] == owner[:-k]
+        left, right = flat[:-k][inside], flat[k:][inside]
+        for a, b in ((left, right), (right, left)):
+            for j in range(NONZERO):
+                total += np.bincount(a * WIDTH + at[b, j], sign[b, j], total.size)
 
 
 def context_vectors(texts: DataFrame) -> np.ndarray:
@@ -101,29 +120,12 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, slots = index_vectors(), Slots()
-        total = np.zeros((SLOTS, WIDTH), np.float64)
-        held: list[np.ndarray] = []
-
-        def add() -> None:
-            ids = np.concatenate(held)
-            near = np.concatenate([_neighbours(h, index) for h in held])
-            order = np.argsort(ids, kind="stable")
-            firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            total[ids[order][firsts]] += np.add.reduceat(near[order].astype(np.float64), firsts)
-            held.clear()
-
-        n = 0
+        (at, sign), slots = _sparse_index(), Slots()
+        total = np.zeros(SLOTS * WIDTH)
         for b in batches:
-            for t in b.column(0):
-                if t.is_valid:
-                    held.append(slots.of(t.as_py()))
-                    n += len(held[-1])
-                    if n > 200_000:
-                        add()
-                        n = 0
-        if held:
-            add()
+            for some in slices(b.column(0).drop_null()):
+                _add_contexts(total, slots.of(some), at, sign)
+        total = total.reshape(SLOTS, WIDTH)
         used = np.flatnonzero(np.abs(total).sum(1))
         vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), WIDTH).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), vectors], names=["slot", "v"])
@@ -136,10 +138,21 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    v = vectors[slots]
-    mean = v.mean(0)
-    return np.concatenate([mean, np.sqrt(np.maximum((v * v).mean(0) - mean * mean, 0)), [np.log1p(len(slots)) / 10]])
+def pooled(slots: Runs, vectors: np.ndarray) -> np.ndarray:
+    """A row for each text: its tokens' mean, their spread, and their number."""
+    out = np.empty((len(slots.ends), 2 * WIDTH + 1))
+    lengths = slots.lengths
+    starts = slots.ends - lengths
+    done = 0
+    while done < len(starts):  # some tokens at a time
+        stop = max(done + 1, int(np.searchsorted(slots.ends, starts[done] + POOL_TOKENS, "right")))
+        v = vectors[slots.flat[starts[done] : slots.ends[stop - 1]]]
+        at, n = starts[done:stop] - starts[done], lengths[done:stop, None]
+        mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / n
+        square = np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / n
+        out[done:stop] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(n) / 10])
+        done = stop
+    return out
 
 
 class Network:
@@ -165,6 +178,8 @@ class Network:
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Network:
         rng = np.random.default_rng(5)
         held = np.arange(len(y)) % 5 == 4
+        if len({*y[held]}) < 2 or len({*y[~held]}) < 2:  # too few labels to hold some back
+            held[:] = False
         xs, ys = x[~held], y[~held]
         net = cls(xs.mean(0), xs.std(0) + 1e-3, [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)])
         z = net._input(xs)
@@ -185,7 +200,10 @@ class Network:
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     net.w[i] = net.w[i] - STEP * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        net._calibrate(x[held], y[held])
+        if held.any():
+            net._calibrate(x[held], y[held])
+        else:
+            net.heat = FEW_HEAT
         return net
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -204,11 +222,10 @@ class Model:
     def __init__(self, vectors: np.ndarray, net: Network | None):
         self.vectors, self.net = vectors, net
 
-    def scores(self, texts: Iterable[str | None], slots: Slots) -> list[float]:
-        x = [pooled(slots.of(t or ""), self.vectors) for t in texts]
-        if not x:
-            return []
-        return [0.5] * len(x) if self.net is None else self.net.probability(np.array(x)).tolist()
+    def scores(self, texts: pa.Array, slots: Slots) -> np.ndarray:
+        if self.net is None:
+            return np.full(len(texts), 0.5)
+        return np.concatenate([np.zeros(0), *(self.net.probability(pooled(slots.of(some), self.vectors)) for some in slices(texts))])
 
 
 def held_out(id_col: str):
@@ -228,14 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for b in batches:
-            x = [pooled(slots.of(t.as_py() or ""), vectors).tolist() for t in b.column(1)]
+            x = [row for some in slices(b.column(1)) for row in pooled(slots.of(some), vectors)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["id", "x", "y"])
 
     kind = got.schema["id"].dataType.simpleString()
     rows = got.select("id", "text", F.col("y").cast("int").alias("y")).mapInArrow(features, f"id {kind}, x array<double>, y int")
     table = rows.groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas().sort_values("id")
     y = table["y"].to_numpy(float) if len(table) else np.zeros(0)
-    if len(y) < LEAST_LABELS or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Model(vectors, None)
     order = np.random.default_rng(11).permutation(len(y))
     return Model(vectors, Network.fit(np.stack(table["x"].to_list())[order], y[order]))
@@ -248,7 +265,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores((t.as_py() for t in b.column(1)), slots), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1), slots), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, score double")
@@ -263,6 +280,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for b in batches:
-            yield b.filter(pa.array(np.array(model.scores((t.as_py() for t in b.column(at)), slots), float) >= least))
+            yield b.filter(pa.array(model.scores(b.column(at), slots) >= least))
 
     return docs.mapInArrow(per_batch, docs.schema)

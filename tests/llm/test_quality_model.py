@@ -1,7 +1,9 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from landledger.llm import quality_model as q
 
@@ -43,15 +45,65 @@ def test_accuracy_on_held_out_rows(spark):
 
 
 def test_context_vectors_equal_brute_force(spark):
-    texts = ["a b c a", "b c", "", "d d d"]
+    texts = ["a b c a", "b c", "", "d d d", " \n", "A! a_b WORD word word!", "x" * 5000 + " y"]
     got = q.context_vectors(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3))
-    index, slots = q.index_vectors(), q.Slots()
+    index, slots = q.index_vectors().astype(float), q.Slots()
     want = np.zeros((q.SLOTS, q.WIDTH))
     for t in texts:
-        s = slots.of(t)
+        s = slots.of(pa.array([t], pa.large_string())).flat
         for i in range(len(s)):
             for j in range(max(0, i - q.REACH), min(len(s), i + q.REACH + 1)):
                 if i != j:
                     want[s[i]] += index[s[j]]
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
     assert np.abs(got - want).max() < 1e-5
+
+
+def slots_by_definition(text):
+    out, before = [], None
+    for chunk in text.split():
+        for token in re.findall(r"[^\W_]+|[^\w\s]+|_+", chunk):
+            if token[0].isalnum():
+                out.append(zlib.crc32(token.lower().encode()) % (q.SLOTS - 64))
+                if len(token) > 1 and token.isupper():
+                    out.append(q.UPPER)
+            else:
+                out.append(q.SLOTS - 64 + zlib.crc32((token[0] * min(len(token), 2)).encode()) % 60)
+        if chunk == before:
+            out.append(q.REPEATED)
+        before = chunk
+    return out or [q.EMPTY]
+
+
+def test_slots_and_pools_equal_brute_force():
+    rng = random.Random(2)
+    texts = ["", " ", "a a", "a", "a a a b b a", "x!! x!! Y_Y __ 9", "Ünï ÜNÏ", "\u00a0a\u2003b"] + [" ".join(rng.choice(["a", "b", "B!", "--", "AA"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    vectors = np.random.default_rng(1).normal(size=(q.SLOTS, q.WIDTH)).astype(np.float32)
+    runs = q.Slots().of(pa.array(texts, pa.large_string()))
+    x = q.pooled(runs, vectors)
+    start = 0
+    for k, t in enumerate(texts):
+        want = slots_by_definition(t)
+        assert runs.flat[start : runs.ends[k]].tolist() == want, t
+        start = runs.ends[k]
+        v = vectors[want].astype(float)
+        assert np.abs(x[k] - np.concatenate([v.mean(0), v.std(0), [np.log1p(len(want)) / 10]])).max() < 1e-3
+
+
+def test_few_labels(spark):
+    docs, labels = corpus(120)
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    learned = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    few = [next(r for r in learned if r[1] == 1), next(r for r in learned if r[1] == 0)]
+    out = q.score_documents(df, spark.createDataFrame(few, "doc_id long, quality int")).collect()
+    scores = {r["doc_id"]: r["score"] for r in out}
+    assert scores[few[0][0]] > 0.5 > scores[few[1][0]]
+    one = q.score_documents(df, spark.createDataFrame(few[:1], "doc_id long, quality int"))
+    assert {r["score"] for r in one.select("score").distinct().collect()} == {0.5}
+
+
+def test_one_very_long_word(spark):
+    docs, labels = corpus(60)
+    df = spark.createDataFrame([*docs, (999, "x" * 3_000_000, "x"), (998, "y " * 400_000, "x")], "doc_id long, text string, score string")
+    out = {r["doc_id"]: r["score"] for r in q.score_documents(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert len(out) == 62 and 0 <= out[999] <= 1 and 0 <= out[998] <= 1
