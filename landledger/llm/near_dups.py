@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .components import connected_components
 from .shared import materialise
@@ -262,9 +261,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: int = 80, id_col: st
     h = F.col("halves")
     tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda j: F.xxhash64(i, j, F.get(h, i), F.get(h, j + HALVES)))))
     keyed = classes.select("rep", F.explode(tables).alias("key"))
-    by_key = Window.partitionBy("key")
-    members = keyed.select("key", "rep", F.min("rep").over(by_key).alias("first"), F.max("rep").over(by_key).alias("last"))
-    members = materialise(members.filter("first < last").drop("last"), "members")
+    # Grouped minima have partial results before the shuffle, and in the join back a hot key's rows can be split.
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last").drop("last")
+    members = materialise(keyed.join(materialise(shared, "shared-keys"), "key").select("key", "rep", "first"), "members")
 
     slim = classes.select("rep", "n", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH // 64)])
     pairs = members.filter("rep > first").select("rep", "first").distinct()
