@@ -4,6 +4,8 @@ import re
 
 from landledger.llm import pii
 
+from pii_cases import CASES
+
 
 def brute(text):
     """The definition, with the plain patterns."""
@@ -55,3 +57,33 @@ def test_frames(spark):
     assert red.columns == df.columns
     got = {(r["doc_id"], r["text"], r["n_chars"]) for r in red.collect() if r["doc_id"] in (0, None)}
     assert got == {(0, None, None), (None, "<EMAIL>", 7)}
+
+
+def evaluated(judge):
+    """Per kind: spans found rightly, found wrongly, missed, over the sentences written by hand."""
+    found = {k: [0, 0, 0] for k in pii.KINDS}
+    for case in CASES:
+        want, text = set(), ""
+        for part in re.split(r"(\[\[\w+:.*?\]\](?!\]))", case):
+            m = re.fullmatch(r"\[\[(\w+):(.*)\]\]", part)
+            if m:
+                want.add((len(text), len(text) + len(m[2]), pii.KINDS.index(m[1])))
+            text += m[2] if m else part
+        base = pii.base_spans(text)
+        got = {s for s in judge.accepted(text, base)}
+        assert not base, text
+        for s in want | got:
+            found[pii.KINDS[s[2]]][0 if s in want & got else 1 if s in got else 2] += 1
+    return found
+
+
+def test_judge_on_sentences_of_another_hand():
+    """The figures in README come from here."""
+    found = evaluated(pii.trained_judge())
+    right, wrong, missed = (sum(c[k] for c in found.values()) for k in range(3))
+    assert right / (right + wrong) >= 0.85 and right / (right + missed) >= 0.7, found
+
+
+def test_thresholds_follow_the_calibration():
+    strict, loose = pii.trained_judge(0.999), pii.trained_judge(0.6)
+    assert all(a >= b for a, b in zip(strict.thresholds, loose.thresholds, strict=True)) and strict.thresholds != loose.thresholds
