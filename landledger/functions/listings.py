@@ -104,12 +104,18 @@ def parse_location(text: Column) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) != "", F.struct(F.when(is_street, _some(head)).alias("street"), code.alias("postcode"), town.alias("town"), county.alias("district")))
 
 
+# A postcode with a town behind it, and the county that may follow.
+PLACE_IN_TEXT = r"\b(?!00)(\d{5})[ \t]+([A-ZÄÖÜ][a-zäöüß]+(?:[- ][A-ZÄÖÜ][a-zäöüß]+)*)"
+COUNTY_BEHIND = r"(\s*[,(]?\s*(?:Landkreis|Lkr\.?|Kreis)[ \t]+[A-ZÄÖÜ][a-zäöüß]+\)?)?"
+
+
 def find_location(text: Column) -> Column:
-    """The first postcode and town in running text that can be one, as a place line."""
-    p = r"\b(?!00)(\d{5})[ \t]+([A-ZÄÖÜ][a-zäöüß]+(?:[- ][A-ZÄÖÜ][a-zäöüß]+)*)"
-    hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    ok = F.filter(hits, lambda h: ~F.lower(F.regexp_extract(h, r"^\d{5}[ \t]+([^ -]+)", 1)).isin(*NO_TOWNS))
-    return F.regexp_replace(F.get(ok, 0), r"[ \t]+", " ")
+    """The first postcode and town in running text that can be one, with the county that may follow, as a place line."""
+    hits = F.regexp_extract_all(text, F.lit(PLACE_IN_TEXT + COUNTY_BEHIND), F.lit(0))
+    first = F.get(F.filter(hits, lambda h: ~F.lower(F.regexp_extract(h, r"^\d{5}[ \t]+([^\s-]+)", 1)).isin(*NO_TOWNS)), 0)
+    place = F.regexp_replace(F.regexp_extract(first, PLACE_IN_TEXT, 0), r"[ \t]+", " ")
+    county = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(first, PLACE_IN_TEXT + COUNTY_BEHIND, 3), r"[,()]", " "), r"\s+", " "))
+    return F.when(county != "", F.concat(place, F.lit(", "), county)).otherwise(place)
 
 
 def slug(c: Column) -> Column:

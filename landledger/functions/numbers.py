@@ -85,7 +85,23 @@ def prices_equivalent(a: Column, b: Column, percent: float) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close)
 
 
-def to_number(text: Column, default: float) -> Column:
-    """A query parameter: German decimal comma, anything else that isn't a finite number gives the default."""
-    v = F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default)).otherwise(v)
+def to_number(text: Column, default: float | None) -> Column:
+    """A query parameter: German decimal comma (with one, points group thousands), anything else that isn't a finite number gives the default."""
+    t = F.regexp_replace(F.trim(text), r"[\s\u00a0]", "")
+    comma = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) == 1
+    t = F.replace(F.when(comma, F.replace(t, F.lit("."), F.lit(""))).otherwise(t), F.lit(","), F.lit("."))
+    v = t.try_cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(default).cast("double")).otherwise(v)
+
+
+def to_int(text: Column, default: int | None) -> Column:
+    """Towards zero."""
+    return F.coalesce(to_number(text, None).cast("bigint"), F.lit(default).cast("bigint"))
+
+
+def to_bool(text: Column, default: bool = False) -> Column:
+    return F.when(text.isNull(), F.lit(default)).otherwise(F.lower(F.trim(text)).isin("1", "true", "on", "yes", "ja", "an"))
+
+
+def clamp(c: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))

@@ -162,7 +162,9 @@ def with_freshness(props: DataFrame, now: Column) -> DataFrame:
     best = F.greatest(F.col("source_date"), proved, F.when(_or_false("verifying"), F.col("verified_date")))
     base = up_to(days_since(best, now), FRESHNESS)
     score = F.when(best.isNull(), 0.0).when(online_days(now) >= STALE_ONLINE, F.greatest(F.lit(0.0), base - STALE_PENALTY)).otherwise(base)
-    return props.withColumns({"best_evidence_date": best, "freshness_score": F.round(score, 2), "no_evidence_date": best.isNull()})
+    dates = {"source date": F.col("source_date"), "verified": proved, "source row": F.when(_or_false("verifying"), F.col("verified_date"))}
+    named = F.coalesce(*[F.when(best.cast("timestamp") == c.cast("timestamp"), F.lit(n)) for n, c in dates.items()])
+    return props.withColumns({"best_evidence_date": best, "best_evidence": named, "freshness_score": F.round(score, 2), "no_evidence_date": best.isNull()})
 
 
 def with_confidence(props: DataFrame, now: Column) -> DataFrame:
@@ -319,3 +321,21 @@ def rescore_all(props: DataFrame, facts: DataFrame, profile: Profile, now: Colum
     """Scores of all properties, or of the dirty ones where the kept tables are given; ``updated_at`` is ``now``.  ``report.write_scores`` keeps them."""
     todo = props if scores is None or costs is None else dirty(props, scores, costs, profile.profile_hash)
     return score_properties(todo, facts, profile, now).withColumn("updated_at", now)
+
+
+def flat_breakdown(rows: DataFrame, struct: str, key: str = "property_id") -> DataFrame:
+    """key, path, value: one row per leaf of a nested struct, its names joined; a list of plain values is one leaf."""
+    from pyspark.sql.types import ArrayType, StructType
+
+    def leaves(kind: StructType, at: Column, path: str) -> list[Column]:
+        out: list[Column] = []
+        for f in kind.fields:
+            name, c = f"{path} › {f.name}" if path else f.name, at[f.name]
+            if isinstance(f.dataType, StructType):
+                out += leaves(f.dataType, c, name)
+            else:
+                value = F.array_join(F.transform(c, lambda x: x.cast("string")), ", ") if isinstance(f.dataType, ArrayType) else c.cast("string")
+                out.append(F.struct(F.lit(name).alias("path"), value.alias("value")))
+        return out
+
+    return rows.select(key, F.inline(F.array(*leaves(rows.schema[struct].dataType, F.col(struct), ""))))

@@ -36,6 +36,26 @@ def to_evidence(verdict: Column, url: Column) -> Column:
     return F.when(verdict.isNotNull(), F.struct(F.lit("triage").alias("source"), url.alias("url"), F.round(sure, 4).alias("confidence"), verdict.alias("answer")))
 
 
+def from_evidence(evidence: Column) -> Column:
+    """The verdict back from the evidence map of a property, if its ``triage`` entry holds one."""
+    return F.try_element_at(evidence, F.lit("triage"))["answer"]
+
+
+# What the reviewer is told and asked.
+DOSSIER = {
+    "titel": "title", "ort": "town", "plz": "postcode", "typ": "property_type", "preis": "price", "preis_art": "price_type", "grundstueck_qm": "land_sqm", "wohnflaeche_qm": "living_sqm", "nutzflaeche_qm": "usable_sqm", "baujahr": "year_built", "zustand": "condition",
+    "nebengebaeude": "outbuildings", "merkmale": "building_features", "besonderheiten": "special_features", "entfernung_luftlinie_km": "air_km", "entfernung_fahrstrecke_km": "driving_km", "zwangsversteigerung": "is_foreclosure", "denkmal": "is_monument",
+    "privatverkauf": "is_private_seller", "erstmals_gesehen": "first_seen", "preisreduktionen": "price_reduction_count", "geschaetzte_gesamtkosten": "total_mid",
+}
+
+
+def review_prompt(rows: DataFrame, profile: Profile, most: int = STATE_CHARS) -> Column:
+    """The whole question to a reviewer: the dossier as JSON (what a row lacks is left out), then the shape of the answer."""
+    known = [F.col(c).alias(n) for n, c in DOSSIER.items() if c in rows.columns]
+    dossier = F.struct(*known, F.col("driving_km").isNotNull().alias("fahrstrecke_geprueft"), F.lit(profile.budget.total_max).alias("budget_gesamt"), F.substring(F.coalesce("description", F.lit("")), 1, most).alias("beschreibung"))
+    return F.concat(F.lit("Objektdossier:\n"), F.to_json(dossier, {"pretty": "true"}), F.lit("\n\nAntworte mit JSON nach diesem Schema:\n" + REVIEW))
+
+
 def decide(rows: DataFrame, verdict: str, profile: Profile) -> DataFrame:
     """Add triage_reason (or null) and triage_flags: a rental rejects on its probability; a flat unless outbuildings speak against it; else a flag."""
     v = F.col(verdict)
