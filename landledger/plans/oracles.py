@@ -6,7 +6,7 @@ import re
 
 from ..operators import cost, score
 from ..search_profile import BUILT_IN, SHIPPED
-from .queries import DATES, TERMS
+from .queries import TERMS
 from .roles import PROPERTY_CTE, PROPERTY_SOURCE_CTE, SIGHTING_CTE, SOURCE_CTE
 
 NOW = "TIMESTAMP '1998-12-01'"
@@ -190,9 +190,6 @@ def _by_position(values, key: str = "o_orderkey") -> str:
     return f"SELECT ([{', '.join(repr(v) if not isinstance(v, str) else chr(39) + v + chr(39) for v in values)}])[CAST({key} % {len(values)} + 1 AS INT)]"
 
 
-PRICE_ANSWERS = ((750000.0, "asking"), (750000.0, "asking"), (750000.0, "asking"), (None, "unknown"), (1250.0, "rent"), (450000.0, "negotiable"), (420000.0, "auction_min"), (None, "on_request"), (450000.0, "asking"), (750000.0, "asking"), (1200000.0, "asking"), (None, "unknown"))
-AREA_ANSWERS = (5000.0, 1608.0, 5000.0, 10000.0, 6814.0, 150.0, 180.0, 450.0, 125000.0, None)
-DATE_ANSWERS = ("2026-09-03", "2026-09-02", "2026-08-31", "2026-08-20", "2026-08-03", "2026-08-17", "2026-03-12", "2026-03-12", None, "2026-03-12", "2026-03-12", None)
 
 PLACE_ANSWERS = ((None, "83620", "Feldkirchen-Westerham", None), (None, None, "Vogtareuth", "Rosenheim"), (None, None, "Bad Aibling", None), (None, None, "Rosenheim", "Rosenheim"), ("Musterstraße 12", "83024", "Rosenheim", None), (None, None, None, None))
 TOWN_ANSWERS = (("Bad Aibling", "83043"), ("Bad Aibling", "83043"), (None, None), ("Rosenheim", "83022"), ("Vogtareuth", "83569"))
@@ -240,7 +237,7 @@ ORACLES: dict[str, str] = {
     "deal_score": _with(PROPERTY_CTE, _costed(SHIPPED), _dealt(SHIPPED, "costed")) + "SELECT property_id, deal_cost, deal_land, deal_living, deal_renovation, capital_risk, deal_score, deal_flags FROM dealt",
     "signal_scores": _scored(SHIPPED) + "SELECT property_id, hidden_score, freshness_score, confidence_score, is_stale FROM scored",
     "gates": _scored(SHIPPED) + "SELECT property_id, reject_reasons, rejected, shortlist_blocked, fit_score, deal_score FROM scored",
-    "gates_built_in": _scored(BUILT_IN) + "SELECT rejected, shortlist_blocked, capital_risk, count(*) AS n FROM scored GROUP BY 1, 2, 3",
+    "gates_built_in": _scored(BUILT_IN) + "SELECT property_id, rejected, shortlist_blocked, capital_risk FROM scored",
     "ranked_topk": _scored(SHIPPED) + "SELECT property_id, final_score, shortlist_blocked FROM scored WHERE NOT rejected AND (user_state IS NULL OR user_state <> 'archived') ORDER BY shortlist_blocked, final_score DESC, property_id LIMIT 10",
     "filters_nullsafe": _with(PROPERTY_CTE) + "SELECT property_id, land_sqm, listing_status FROM property WHERE (user_state IS NULL OR user_state = 'watch') AND land_sqm >= 3000 AND listing_status NOT IN ('removed', 'sold') AND sheds <> ''",
     "slider_pass": _scored(SHIPPED) + "SELECT property_id, total_mid FROM scored WHERE NOT coalesce(air_km > 80, FALSE) AND NOT coalesce(price > 900000, FALSE) AND NOT coalesce(total_mid > 1500000, FALSE)",
@@ -248,9 +245,9 @@ ORACLES: dict[str, str] = {
     "text_hash_groups": "SELECT n, first_id FROM (SELECT count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) WHERE n > 1",
     "canonical_urls": "WITH u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, rtrim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') AS p, list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) <> 'ref')) AS q, regexp_extract(url, '#(.*)$', 1) AS f FROM pages) SELECT page_id, 'https://' || regexp_replace(lower(h), '^www\\.', '') || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END || CASE WHEN f <> '' THEN '#' || f ELSE '' END AS canonical FROM u",
     "keyword_tags": "WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' AS t FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"'{t}'" for t in sorted(TERMS)) + "], lambda x: contains(t, ' ' || x || ' ')), ',') AS tags FROM n",
-    "parse_prices": f"WITH a(k, v, kind) AS (VALUES {_literal_table((i, v, k) for i, (v, k) in enumerate(PRICE_ANSWERS))}) SELECT CAST(v AS DOUBLE) AS value, kind, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(PRICE_ANSWERS)} GROUP BY 1, 2",
-    "parse_areas": f"WITH a(k, v) AS (VALUES {_literal_table((i, v) for i, v in enumerate(AREA_ANSWERS))}) SELECT CAST(v AS DOUBLE) AS sqm, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(AREA_ANSWERS)} GROUP BY 1",
-    "parse_dates": f"WITH a(k, raw, v) AS (VALUES {_literal_table((i, r, v) for i, (r, v) in enumerate(zip(DATES, DATE_ANSWERS, strict=True)))}) SELECT raw, CAST(v AS DATE) AS day, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(DATE_ANSWERS)} GROUP BY 1, 2",
+    "parse_prices": "WITH v AS (SELECT o_orderkey, o_orderkey % 7 AS k, CAST(floor(o_totalprice) AS BIGINT) + 1000 AS v FROM orders) SELECT o_orderkey, CASE k WHEN 1 THEN (v // 1000) * 1000.0::DOUBLE WHEN 5 THEN v + 0.5::DOUBLE WHEN 6 THEN NULL ELSE v * 1.0::DOUBLE END AS value, CASE k WHEN 2 THEN 'negotiable' WHEN 3 THEN 'auction_min' WHEN 4 THEN 'rent' WHEN 6 THEN 'on_request' ELSE 'asking' END AS kind FROM v",
+    "parse_areas": "WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 9000 + 1 AS n FROM orders) SELECT o_orderkey, CASE k WHEN 0 THEN n * 1.0::DOUBLE WHEN 1 THEN round(n * 1000.0::DOUBLE, 3) WHEN 2 THEN n * 3407.0::DOUBLE WHEN 3 THEN n * 1.0::DOUBLE END AS sqm FROM v",
+    "parse_dates": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN CAST(date_trunc('week', o_orderdate) AS DATE) WHEN 4 THEN DATE '2026-09-03' - CAST(o_orderkey % 40 + 2 AS INT) WHEN 5 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders",
     "german_numbers": _with(PROPERTY_CTE) + "SELECT property_id, CASE WHEN price IS NULL THEN 'k. A.' ELSE replace(format('{:,}', CAST(floor(price) AS BIGINT)), ',', '.') || ' €' END AS price, CASE WHEN land_sqm IS NULL THEN 'k. A.' ELSE replace(format('{:,}', CAST(land_sqm AS BIGINT)), ',', '.') || ' m²' END AS land FROM property",
     "iso_week_digest": "SELECT 'KW ' || lpad(CAST(week(o_orderdate) AS VARCHAR), 2, '0') || ' / ' || CAST(isoyear(o_orderdate) AS VARCHAR) AS week, count(*) AS n FROM orders GROUP BY 1",
     "timeline_islands": "WITH a AS (SELECT *, CASE WHEN role = 'assistant' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN 0 ELSE 1 END AS new FROM conversations), b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM a) SELECT conv_id AS property_id, CAST(island AS BIGINT) AS island, role AS kind, min(turn) AS first_ts, max(turn) AS last_ts, count(*) AS n FROM b GROUP BY 1, 2, 3",
@@ -258,17 +255,17 @@ ORACLES: dict[str, str] = {
     "stale_clock": _with(PROPERTY_CTE, PROPERTY_SOURCE_CTE) + f"SELECT p.property_id, listing_status, 'stale' AS new_status FROM property p LEFT JOIN (SELECT property_id, bool_or(source_id NOT BETWEEN 0 AND 59) AS reports FROM property_source GROUP BY 1) r USING (property_id) WHERE listing_status IN ('active', 'discovered', 'verified', 'price_changed') AND epoch_us({NOW}) - epoch_us(last_seen) > CASE WHEN coalesce(reports, FALSE) THEN 45 ELSE 180 END * 86400000000",
     "yield_tumbling": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "source_row_sync": _with(SIGHTING_CTE) + "SELECT property_id, source_id, url, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(visible, seq) AS visible, arg_max(contact_kind, seq) FILTER (contact_kind IS NOT NULL) AS contact_kind FROM sighting GROUP BY 1, 2, 3",
-    "categorise": _with(SIGHTING_CTE, _KINDS, PROPERTY_CTE) + f", j AS (SELECT property_id, bool_or(change_kind = 'reactivated') AS r, bool_or(change_kind = 'price_change') AS p FROM kinds WHERE ts >= {NOW} - INTERVAL 300 DAY GROUP BY 1) SELECT CASE WHEN r THEN 'reactivated' WHEN first_seen >= {NOW} - INTERVAL 300 DAY THEN 'new' WHEN p THEN 'price_change' ELSE 'known' END AS category, count(*) AS n FROM property LEFT JOIN j USING (property_id) GROUP BY 1",
+    "categorise": _with(SIGHTING_CTE, _KINDS, PROPERTY_CTE) + f", j AS (SELECT property_id, bool_or(change_kind = 'reactivated') AS r, bool_or(change_kind = 'price_change') AS p FROM kinds WHERE ts >= {NOW} - INTERVAL 300 DAY GROUP BY 1) SELECT property_id, CASE WHEN r THEN 'reactivated' WHEN first_seen >= {NOW} - INTERVAL 300 DAY THEN 'new' WHEN p THEN 'price_change' ELSE 'known' END AS category FROM property LEFT JOIN j USING (property_id)",
     "cache_lookup": "WITH c AS (SELECT event_type AS kind, user_id AS key, value, TIMESTAMP '2024-01-01' + to_seconds(event_id) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1) SELECT kind, count(*) AS n, count(CASE WHEN epoch_us(TIMESTAMP '2024-02-15') - epoch_us(ts) <= CASE kind WHEN 'click' THEN 45 WHEN 'view' THEN 40 WHEN 'purchase' THEN 60 END * 86400000000 THEN value END) AS fresh FROM c GROUP BY 1",
     "liveness_check": "WITH p AS (SELECT ([200, 404, 410, 503, NULL])[page_id % 5 + 1] AS s, html FROM pages) SELECT CASE WHEN s IS NULL THEN 'alive' WHEN s IN (404, 410) THEN 'gone' WHEN s >= 400 THEN 'unknown_alive' WHEN regexp_matches(lower(html), 'nicht mehr verfügbar|nicht mehr online|wurde deaktiviert|bereits verkauft|no longer available') THEN 'gone' ELSE 'alive' END AS state, regexp_matches(lower(substr(html, 1, 5000)), 'captcha|are you a robot|access denied|zugriff verweigert|checking your browser|cf-challenge') AS wall, count(*) AS n FROM p GROUP BY 1, 2",
-    "keyword_hits": "SELECT term, count(*) AS n FROM documents, (VALUES ('license'), ('gpl')) t(term) WHERE contains(lower(text), term) GROUP BY 1",
+    "keyword_hits": "WITH h AS (SELECT doc_id, term, text, strpos(lower(text), term) AS p FROM documents, (VALUES ('license'), ('gpl')) t(term)) SELECT 'u#page=' || doc_id AS url, doc_id AS page, term, substr(text, greatest(1, p - 80), least(p, 81) - 1 + length(term) + 80) AS snippet FROM h WHERE p > 0",
     "marked_list": _scored(SHIPPED) + "SELECT property_id, final_score, rejected FROM scored WHERE property_id % 31 = 0",
     "dossier_facts": _with(PROPERTY_CTE) + "SELECT property_id, 'town' AS field, town AS value FROM property UNION ALL SELECT property_id, 'price_type', price_type FROM property UNION ALL SELECT property_id, 'year_built', CAST(year_built AS VARCHAR) FROM property",
     "parse_places": f"WITH a(k, street, postcode, town, district) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(PLACE_ANSWERS))}) SELECT street, postcode, town, district, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(PLACE_ANSWERS)} GROUP BY 1, 2, 3, 4",
     "town_lookup": f"WITH a(k, name, postcode) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TOWN_ANSWERS))}) SELECT name, postcode, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(TOWN_ANSWERS)} GROUP BY 1, 2",
     "listing_tags": f"WITH a(k, outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TAG_ANSWERS))}) SELECT outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type, count(*) AS n FROM part JOIN a ON k = p_partkey % 10 GROUP BY ALL",
     "best_urls": _with(SOURCE_CTE, PROPERTY_SOURCE_CTE) + "SELECT property_id, 'https://x/' || source_id AS url FROM property_source JOIN source USING (source_id) WHERE source_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY is_best DESC, role <> 'discovery' DESC, visible DESC, reliability DESC, source_id) = 1",
-    "review_states": _with(PROPERTY_CTE) + "SELECT CASE property_id % 3 WHEN 0 THEN 'TRIAGE_SAYS_RENTAL' WHEN 1 THEN CASE WHEN sheds = '' THEN 'TRIAGE_SAYS_FLAT' END END AS triage_reason, CASE WHEN property_id % 3 = 1 AND sheds <> '' THEN 'TRIAGE_DOUBT' ELSE '' END AS flags, count(*) AS n FROM property GROUP BY 1, 2",
+    "review_states": _with(PROPERTY_CTE) + f"SELECT property_id, CASE WHEN property_id % 3 = 0 AND (property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} THEN 'TRIAGE_SAYS_RENTAL' WHEN property_id % 3 = 1 AND (property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} AND sheds = '' THEN 'TRIAGE_SAYS_FLAT' END AS triage_reason, CASE WHEN property_id % 3 < 2 AND NOT ((property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} AND (property_id % 3 = 0 OR sheds = '')) THEN 'TRIAGE_DOUBT' ELSE '' END AS flags FROM property",
     "merge_survivors": _with(PROPERTY_CTE) + ", " + MERGED,
     "map_split": _with(PROPERTY_CTE) + "SELECT CASE WHEN lat IS NULL THEN NULL ELSE geo_precision IN ('exact', 'street') END AS precise, count(*) AS n FROM property GROUP BY 1",
 }

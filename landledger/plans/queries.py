@@ -267,7 +267,7 @@ def gates(spark, d):
 
 @query
 def gates_built_in(spark, d):
-    return _scored(spark, d, BUILT_IN).groupBy("rejected", "shortlist_blocked", "capital_risk").agg(F.count(F.lit(1)).alias("n"))
+    return _scored(spark, d, BUILT_IN).select("property_id", "rejected", "shortlist_blocked", "capital_risk")
 
 
 @query
@@ -312,32 +312,45 @@ def keyword_tags(spark, d):
     return t.select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-PRICES = ("750.000 €", "750k", "0,75 Mio", "750", "Kaltmiete 1.250 € VB", "VB 450 000 EUR", "Verkehrswert 420.000 EUR", "Preis auf Anfrage", "3,57 % Provision, Kaufpreis 450.000 €", "750 T€", "1,2 Mio. €", "")
+def _dotted(c):
+    return F.translate(F.format_number(c, 0), ",", ".")
 
 
 @query
 def parse_prices(spark, d):
-    o = roles.table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, PRICES)), (F.col("o_orderkey") % len(PRICES) + 1).cast("int")).alias("raw"))
-    v = numbers.parse_price(F.col("raw"))
-    return o.select("o_orderkey", v["value"].alias("value"), v["kind"].alias("kind")).groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-AREAS = ("5.000 m²", "1,608 m²", "0,5 ha", "1 Hektar", "2 Tagwerk", "150 m2", "180 qm", "450", "ca. 12,5 ha", "keine Angabe")
+    """Every order's total, written in one of seven ways."""
+    o = roles.table(spark, d, "orders")
+    v, k = F.floor("o_totalprice") + 1000, F.col("o_orderkey") % 7
+    spaced = F.translate(F.format_number(v, 0), ",", " ")
+    raw = (
+        F.when(k == 0, F.concat(_dotted(v), F.lit(" €"))).when(k == 1, F.concat(F.floor(v / 1000).cast("string"), F.lit("k"))).when(k == 2, F.concat(F.lit("VB "), spaced, F.lit(" EUR"))).when(k == 3, F.concat(F.lit("Verkehrswert "), _dotted(v), F.lit(" EUR")))
+        .when(k == 4, F.concat(F.lit("Kaltmiete "), _dotted(v), F.lit(" €"))).when(k == 5, F.concat(F.lit("3,57 % Provision, Kaufpreis "), v.cast("string"), F.lit(",50 €"))).otherwise("Preis auf Anfrage")
+    )
+    p = numbers.parse_price(raw)
+    return o.select("o_orderkey", p["value"].alias("value"), p["kind"].alias("kind"))
 
 
 @query
 def parse_areas(spark, d):
-    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, AREAS)), (F.col("o_orderkey") % len(AREAS) + 1).cast("int")).alias("raw"))
-    return o.select(numbers.parse_area(F.col("raw")).alias("sqm")).groupBy("sqm").agg(F.count(F.lit(1)).alias("n"))
-
-
-DATES = ("heute", "gestern", "vor 3 Tagen", "vor 2 Wochen", "vor 1 Monat", "KW 34/2026", "12. März 2026", "12.03.26", "31.02.2026", "2026-03-12", "2026-03-12T10:00:00Z", "irgendwann")
+    """A number from every order, written in one of five units."""
+    o = roles.table(spark, d, "orders")
+    n, k = F.col("o_orderkey") % 9000 + 1, F.col("o_orderkey") % 5
+    tenth = F.translate(F.format_number(n / 10, 1), ",.", ".,")
+    raw = F.when(k == 0, F.concat(_dotted(n), F.lit(" m²"))).when(k == 1, F.concat(F.lit("ca. "), tenth, F.lit(" ha"))).when(k == 2, F.concat(n.cast("string"), F.lit(" Tagwerk Grund"))).when(k == 3, F.concat(F.lit("Fläche: "), n.cast("string"), F.lit(" qm"))).otherwise("keine Angabe")
+    return o.select("o_orderkey", F.round(numbers.parse_area(raw), 3).alias("sqm"))
 
 
 @query
 def parse_dates(spark, d):
-    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, DATES)), (F.col("o_orderkey") % len(DATES) + 1).cast("int")).alias("raw"))
-    return o.select("raw", dates.german_date(F.col("raw"), F.lit("2026-09-03").cast("date")).alias("day")).groupBy("raw", "day").agg(F.count(F.lit(1)).alias("n"))
+    """Every order's date, written in one of six ways."""
+    o = roles.table(spark, d, "orders")
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    month = F.element_at(F.array(*map(F.lit, german_format.MONTH_NAMES)), F.month(t))
+    raw = (
+        F.when(k == 0, F.date_format(t, "dd.MM.yyyy")).when(k == 1, F.concat(F.dayofmonth(t).cast("string"), F.lit(". "), month, F.lit(" "), F.year(t).cast("string"))).when(k == 2, F.date_format(t, "yyyy-MM-dd"))
+        .when(k == 3, F.concat(F.lit("KW "), F.weekofyear(t).cast("string"), F.lit("/"), F.extract(F.lit("YEAROFWEEK"), t).cast("string"))).when(k == 4, F.concat(F.lit("vor "), (F.col("o_orderkey") % 40 + 2).cast("string"), F.lit(" Tagen"))).otherwise("irgendwann")
+    )
+    return o.select("o_orderkey", dates.german_date(raw, F.lit("2026-09-03").cast("date")).alias("day"))
 
 
 @query
@@ -387,8 +400,7 @@ def source_row_sync(spark, d):
 def categorise(spark, d):
     log = roles.sightings(spark, d)
     p = roles.properties(spark, d).select("property_id", F.col("first_seen").cast("timestamp_ntz").alias("earliest"))
-    out = report.categorise(p, lifecycle.change_kinds(log), _since(300))
-    return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return report.categorise(p, lifecycle.change_kinds(log), _since(300)).select("property_id", "category")
 
 
 @query
@@ -408,7 +420,7 @@ def liveness_check(spark, d):
 @query
 def keyword_hits(spark, d):
     t = roles.table(spark, d, "documents").select(F.lit("u").alias("url"), F.col("doc_id").alias("page"), "text")
-    return files.bulletin_hits(t, ["license", "gpl"]).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return files.bulletin_hits(t, ["license", "gpl"]).select("url", "page", "term", "snippet")
 
 
 @query
@@ -479,6 +491,7 @@ def best_urls(spark, d):
 
 @query
 def review_states(spark, d):
-    p = roles.properties(spark, d).withColumn("answer", F.when(F.col("property_id") % 3 == 0, F.lit('Sure:\n```json\n{"offer_kind": "rent", "offer_probabilities": {"rent": 0.9}}\n```')).when(F.col("property_id") % 3 == 1, F.lit('{"offer_kind": "sale", "dwelling_kind": "flat", "dwelling_probabilities": {"flat": 0.95}}')).otherwise("no idea"))
+    share = (F.col("property_id") % 100).cast("double") / 100
+    p = roles.properties(spark, d).withColumn("answer", F.when(F.col("property_id") % 3 == 0, F.format_string('Sure:\n```json\n{"offer_kind": "rent", "offer_probabilities": {"rent": %.2f}}\n```', share)).when(F.col("property_id") % 3 == 1, F.format_string('{"offer_kind": "sale", "dwelling_kind": "flat", "dwelling_probabilities": {"flat": %.2f}}', share)).otherwise("no idea"))
     out = triage.decide(p.withColumn("v", triage.parse_verdict(F.col("answer"))), "v", SHIPPED)
-    return out.select(F.col("triage_reason"), F.array_join("triage_flags", ",").alias("flags")).groupBy("triage_reason", "flags").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("property_id", "triage_reason", F.array_join("triage_flags", ",").alias("flags"))
