@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, german_format
 from ..operators import digest, ingest, lifecycle, report, resolve, score
 from ..search_profile import SHIPPED
+from ..sources import files
 from . import oracles, roles
 from .queries import Query, _facts, _now, _scored, _since
 
@@ -326,3 +327,20 @@ def newest_runs(spark, d):
 @query(oracles._scored(SHIPPED) + "SELECT property_id, coalesce(CAST(final_score AS VARCHAR), '') <> '' AS scored, title, coalesce(town, '') AS town, '' AS marked FROM scored")
 def export_table(spark, d):
     return digest.export_rows(_scored(spark, d)).select(F.col("property_id").cast("long").alias("property_id"), (F.col("final_score") != "").alias("scored"), "title", "town", "marked")
+
+
+_SEGMENTS = "merkliste|merkzettel|favoriten|suchagent|login|logout|anmelden|abmelden|register|registrieren|impressum|datenschutz|agb|kontakt|suche|search"
+
+
+@query(
+    f"WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') || CASE page_id % 9 WHEN 0 THEN '/Suche.html' WHEN 1 THEN '/forschungssuche' ELSE '' END AS path FROM pages) "
+    f"SELECT page_id, CASE WHEN regexp_matches(lower(path), '(^|/)({_SEGMENTS})(\\.[a-z0-9]+)?(/|$)') OR page_id % 7 = 3 THEN 'utility' WHEN page_id % 5 = 1 THEN 'index' WHEN page_id % 5 = 2 THEN 'listing' WHEN page_id % 20 >= 10 THEN 'index' ELSE 'listing' END AS kind FROM p"
+)
+def page_kinds(spark, d):
+    """Kinds of pages by address, headline, declaration and sibling links."""
+    p = roles.table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("u"))
+    n = F.col("page_id")
+    url = F.concat("u", F.when(n % 9 == 0, "/Suche.html").when(n % 9 == 1, "/forschungssuche").otherwise(""))
+    title = F.when(n % 7 == 3, "Datenschutzerklärung").otherwise("Hof")
+    declares = F.when(n % 5 == 1, "index").when(n % 5 == 2, "listing")
+    return p.select("page_id", files.page_kind(url, title, (n % 20).cast("int"), declares).alias("kind"))
