@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .components import connected_components
 from .shared import materialise
@@ -261,9 +262,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: int = 80, id_col: st
     h = F.col("halves")
     tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda j: F.xxhash64(i, j, F.get(h, i), F.get(h, j + HALVES)))))
     keyed = classes.select("rep", F.explode(tables).alias("key"))
-    # Grouped minima have partial results before the shuffle, and in the join back a hot key's rows can be split.
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last").drop("last")
-    members = materialise(keyed.join(materialise(shared, "shared-keys"), "key").select("key", "rep", "first"), "members")
+    # Sorted by key, 16 bytes a row, spilling: a grouped minimum instead would hash every key on the map side, and nearly all occur once.
+    by_key = Window.partitionBy("key")
+    members = keyed.select("key", "rep", F.min("rep").over(by_key).alias("first"), F.max("rep").over(by_key).alias("last"))
+    members = materialise(members.filter("first < last").drop("last"), "members")
 
     slim = classes.select("rep", "n", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH // 64)])
     pairs = members.filter("rep > first").select("rep", "first").distinct()
@@ -292,7 +294,23 @@ def near_duplicates(docs: DataFrame, words: int = 2, share: int = 80, id_col: st
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of one with a smaller id, all columns as they are."""
+    """``docs`` without the documents that are near-duplicates of one with a smaller id, all columns as they are.
+
+    Ids are taken to be keys: of rows that share an id all go if one of them is a near-duplicate of a smaller id's, and rows that repeat
+    the smallest id of a group stay, as do rows without an id.
+    """
     found = near_duplicates(docs, words, share, id_col, text_col)
     gone = found.filter("not kept").select(F.col(id_col)).distinct()
     return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
+k AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM s UNION SELECT k.a, r.m FROM k JOIN r ON r.d = k.b)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(m) AS component_id, s.doc_id = min(m) AS kept FROM s JOIN r ON r.d = s.doc_id GROUP BY s.doc_id, len(s)
+"""

@@ -181,7 +181,8 @@ def fit_groups(points: DataFrame) -> DataFrame:
             if fell is None or fell <= SETTLED:  # one number, whatever the groups
                 break
         before_step = est
-    return _shrunk(est)
+    # Written, so that the planner knows how small it is and leaves texts where they are.
+    return materialise(_shrunk(est), "mcd-groups")
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
