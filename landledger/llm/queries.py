@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_SQL, "op2_near_dups": near_dups.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
