@@ -18,18 +18,16 @@ all are learned from and the temperature is ``FEW_HEAT``.  Repeated rows get the
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_automaton import Remembered
-from .runs import Runs, distinct, list_ends, runs_of, slices, strings
+from .runs import Runs, chosen, cut, distinct, list_ends, runs_of, slices, strings
 from .shared import materialise
 
 SLOTS, WIDTH, NONZERO, REACH = 16_384, 32, 4, 2
@@ -38,10 +36,14 @@ MOST_LABELS = 6000
 FEW_HEAT = 2.0
 HIDDEN, EPOCHS, BATCH, STEP, DECAY = 24, 60, 64, 0.01, 1e-4
 PRIOR_TOKENS = 6
-MOST_WORDS = 120_000
+#: Texts are worked on together up to so many bytes.
+SLICE_BYTES = 1 << 20
 #: Tokens whose vectors are in memory at a time (unless one text has more).
 POOL_TOKENS = 100_000
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+#: Words of printable ASCII and accented Latin letters, and the same tokens in the form that Arrow's kernels take.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+PLAIN_TOKEN = "([0-9A-Za-zÀ-ÖØ-öø-ÿ]+|_+|[^0-9A-Za-zÀ-ÖØ-öø-ÿ_]+)"
 UPPER, REPEATED, EMPTY = SLOTS - 1, SLOTS - 2, SLOTS - 3
 
 
@@ -59,46 +61,44 @@ def _sparse_index() -> tuple[np.ndarray, np.ndarray]:
     return at, rng.choice([-1.0, 1.0], (SLOTS, NONZERO))
 
 
-class Slots:
-    """Texts to runs of slots, with a bounded memory of words."""
-
-    def __init__(self) -> None:
-        self.known = Remembered(MOST_WORDS)
-
-    def _slots(self, chunk: str) -> bytes:
-        found = self.known.older(chunk)
-        if found is None:
-            out = []
-            for token in _TOKENS.findall(chunk):
-                if token[0].isalnum():
-                    out.append(zlib.crc32(token.lower().encode()) % (SLOTS - 64))
-                    if len(token) > 1 and token.isupper():
-                        out.append(UPPER)
-                else:
-                    # a run of one mark counts as that mark, doubled where it is longer
-                    out.append(SLOTS - 64 + zlib.crc32((token[0] * min(len(token), 2)).encode()) % 60)
-            found = array("H", out or [EMPTY]).tobytes()
-            if len(chunk) <= 40:
-                self.known.put(chunk, found)
-        return found
-
-    def of(self, texts: pa.Array) -> Runs:
-        """The slots of each text (one slice of them); a text without words has ``EMPTY``."""
-        split = pc.utf8_split_whitespace(texts)
-        number, words = distinct(split.flatten())
-        get, miss = self.known.new.get, self._slots
-        plain = [(get(w) or miss(w)) if w else b"" for w in strings(words)]
-        # Each word twice: as it is, and as it counts behind itself.
-        again, n = array("H", [REPEATED]).tobytes(), len(plain)
-        table = runs_of([*plain, *[p + again for p in plain], array("H", [EMPTY]).tobytes()], "<u2")
-        ends = list_ends(split)
-        same = np.append(False, number[1:] == number[:-1])[: len(number)] & (np.diff(table.ends, prepend=0)[number] > 0)
-        same[ends[:-1][ends[:-1] < len(number)]] = False
-        flat = table.take(number + n * same).joined(ends)
-        bare = np.flatnonzero(flat.lengths == 0)
-        if len(bare):  # put EMPTY where a text has nothing
-            flat = Runs(np.insert(flat.flat, flat.ends[bare], EMPTY), flat.ends + np.cumsum(flat.lengths == 0))
-        return flat
+def token_slots(tokens: list[str]) -> Runs:
+    """Each token's slot, and behind that of a word in capitals the mark for it.  An empty token has none."""
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    word = np.fromiter((t[:1].isalnum() for t in tokens), bool, len(tokens))
+    capitals = np.fromiter((len(t) > 1 and t[0].isalnum() and t.isupper() for t in tokens), bool, len(tokens))
+    # a run of one mark counts as that mark, doubled where it is longer
+    keys = np.array([t.lower() if w else t[:1] * min(len(t), 2) for t, w in zip(tokens, word.tolist(), strict=True)], object)
+    hashed = hash_array(keys, categorize=False) if len(keys) else np.zeros(0, np.uint64)
+    slot = np.where(word, hashed % np.uint64(SLOTS - 64), np.uint64(SLOTS - 64) + hashed % np.uint64(60)).astype(np.uint16)
+    lengths = (n > 0) + capitals.astype(np.int64)
+    ends = np.cumsum(lengths)
+    flat = np.full(int(lengths.sum()), UPPER, np.uint16)
+    flat[(ends - lengths)[n > 0]] = slot[n > 0]
+    return Runs(flat, ends)
+
+
+def slots_of(texts: pa.Array) -> Runs:
+    """The slots of each text (one slice of them); a text without words has ``EMPTY``."""
+    split = pc.utf8_split_whitespace(texts)
+    number, words = distinct(split.flatten())
+    plain = pc.match_substring_regex(words, PLAIN)
+    lists = cut(words.filter(plain), PLAIN_TOKEN)
+    token_number, tokens = distinct(lists.flatten())
+    of_plain = token_slots(strings(tokens)).take(token_number).joined(list_ends(lists))
+    odd = [_TOKENS.findall(w) for w in strings(words.filter(pc.invert(plain)))]
+    of_rest = token_slots([t for ts in odd for t in ts]).joined(np.cumsum(np.fromiter(map(len, odd), np.int64, len(odd))))
+    table, place = chosen(plain.to_numpy(zero_copy_only=False).astype(bool), of_plain, of_rest)
+    # Each word twice: as it is, and as it counts behind itself.
+    n = len(table.ends)
+    both = Runs(np.concatenate([table.flat, np.insert(table.flat, table.ends, REPEATED)]), np.concatenate([table.ends, len(table.flat) + table.ends + np.arange(1, n + 1)]))
+    ends = list_ends(split)
+    same = np.append(False, number[1:] == number[:-1])[: len(number)] & (table.lengths[place] > 0)[number]
+    same[ends[:-1][ends[:-1] < len(number)]] = False
+    flat = both.take(place[number] + n * same).joined(ends)
+    bare = np.flatnonzero(flat.lengths == 0)
+    if len(bare):  # put EMPTY where a text has nothing
+        flat = Runs(np.insert(flat.flat, flat.ends[bare], EMPTY), flat.ends + np.cumsum(flat.lengths == 0))
+    return flat
 
 
 def _add_contexts(total: np.ndarray, slots: Runs, at: np.ndarray, sign: np.ndarray) -> None:
@@ -120,11 +120,11 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (at, sign), slots = _sparse_index(), Slots()
+        at, sign = _sparse_index()
         total = np.zeros(SLOTS * WIDTH)
         for b in batches:
-            for some in slices(b.column(0).drop_null()):
-                _add_contexts(total, slots.of(some), at, sign)
+            for some in slices(b.column(0).drop_null(), SLICE_BYTES):
+                _add_contexts(total, slots_of(some), at, sign)
         total = total.reshape(SLOTS, WIDTH)
         used = np.flatnonzero(np.abs(total).sum(1))
         vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), WIDTH).cast(pa.list_(pa.float64()))
@@ -222,10 +222,10 @@ class Model:
     def __init__(self, vectors: np.ndarray, net: Network | None):
         self.vectors, self.net = vectors, net
 
-    def scores(self, texts: pa.Array, slots: Slots) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), 0.5)
-        return np.concatenate([np.zeros(0), *(self.net.probability(pooled(slots.of(some), self.vectors)) for some in slices(texts))])
+        return np.concatenate([np.zeros(0), *(self.net.probability(pooled(slots_of(some), self.vectors)) for some in slices(texts, SLICE_BYTES))])
 
 
 def held_out(id_col: str):
@@ -243,9 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = texts.join(F.broadcast(some), "id")  # MOST_LABELS rows of two numbers
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
         for b in batches:
-            x = [row for some in slices(b.column(1)) for row in pooled(slots.of(some), vectors)]
+            x = [row for some in slices(b.column(1), SLICE_BYTES) for row in pooled(slots_of(some), vectors)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["id", "x", "y"])
 
     kind = got.schema["id"].dataType.simpleString()
@@ -263,9 +262,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = model or train(docs, labels, id_col, text_col, label_col)
 
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1), slots), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1)), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, score double")
@@ -278,8 +276,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
         for b in batches:
-            yield b.filter(pa.array(model.scores(b.column(at), slots) >= least))
+            yield b.filter(pa.array(model.scores(b.column(at)) >= least))
 
     return docs.mapInArrow(per_batch, docs.schema)

@@ -48,6 +48,12 @@ class Runs(NamedTuple):
             start = stop
 
 
+def chosen(mask: np.ndarray, yes: Runs, no: Runs) -> tuple[Runs, np.ndarray]:
+    """Both behind each other, and for each place of ``mask`` the number of its run: the next of ``yes`` where it is true, else of ``no``."""
+    at = np.where(mask, np.cumsum(mask) - 1, len(yes.ends) + np.cumsum(~mask) - 1)
+    return Runs(np.concatenate([yes.flat, no.flat]), np.concatenate([yes.ends, no.ends + len(yes.flat)])), at
+
+
 def runs_of(parts: list[bytes], kind: str) -> Runs:
     size = np.dtype(kind).itemsize
     return Runs(np.frombuffer(b"".join(parts), kind), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // size)
@@ -77,5 +83,10 @@ def distinct(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def cut(words: pa.Array, pattern: str) -> pa.Array:
+    """Lists of the matches of ``pattern`` (one group around it) that follow each other in words without spaces; the last of a list is empty."""
+    return pc.split_pattern(pc.replace_substring_regex(words, pattern=pattern, replacement=r"\1 "), " ")
+
+
 def strings(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist

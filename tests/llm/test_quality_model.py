@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from landledger.llm import quality_model as q
@@ -47,10 +48,10 @@ def test_accuracy_on_held_out_rows(spark):
 def test_context_vectors_equal_brute_force(spark):
     texts = ["a b c a", "b c", "", "d d d", " \n", "A! a_b WORD word word!", "x" * 5000 + " y"]
     got = q.context_vectors(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3))
-    index, slots = q.index_vectors().astype(float), q.Slots()
+    index = q.index_vectors().astype(float)
     want = np.zeros((q.SLOTS, q.WIDTH))
     for t in texts:
-        s = slots.of(pa.array([t], pa.large_string())).flat
+        s = q.slots_of(pa.array([t], pa.large_string())).flat
         for i in range(len(s)):
             for j in range(max(0, i - q.REACH), min(len(s), i + q.REACH + 1)):
                 if i != j:
@@ -59,16 +60,20 @@ def test_context_vectors_equal_brute_force(spark):
     assert np.abs(got - want).max() < 1e-5
 
 
+def hashed(text):
+    return int(pd.util.hash_array(np.array([text], object), categorize=False)[0])
+
+
 def slots_by_definition(text):
     out, before = [], None
     for chunk in text.split():
         for token in re.findall(r"[^\W_]+|[^\w\s]+|_+", chunk):
             if token[0].isalnum():
-                out.append(zlib.crc32(token.lower().encode()) % (q.SLOTS - 64))
+                out.append(hashed(token.lower()) % (q.SLOTS - 64))
                 if len(token) > 1 and token.isupper():
                     out.append(q.UPPER)
             else:
-                out.append(q.SLOTS - 64 + zlib.crc32((token[0] * min(len(token), 2)).encode()) % 60)
+                out.append(q.SLOTS - 64 + hashed(token[0] * min(len(token), 2)) % 60)
         if chunk == before:
             out.append(q.REPEATED)
         before = chunk
@@ -79,7 +84,7 @@ def test_slots_and_pools_equal_brute_force():
     rng = random.Random(2)
     texts = ["", " ", "a a", "a", "a a a b b a", "x!! x!! Y_Y __ 9", "Ünï ÜNÏ", "\u00a0a\u2003b"] + [" ".join(rng.choice(["a", "b", "B!", "--", "AA"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     vectors = np.random.default_rng(1).normal(size=(q.SLOTS, q.WIDTH)).astype(np.float32)
-    runs = q.Slots().of(pa.array(texts, pa.large_string()))
+    runs = q.slots_of(pa.array(texts, pa.large_string()))
     x = q.pooled(runs, vectors)
     start = 0
     for k, t in enumerate(texts):
