@@ -6,7 +6,8 @@ of their own; what remains has a length below the window.  For a block of remain
 
 1. Enumerate shallow combinations (two or three lengths that occur) that fill a window exactly.
 2. Solve for non-negative repeat counts whose use of each length is nearest, in squares, to the block's
-   histogram (Gauss-Seidel), round, and take as many of each as the block has documents for.
+   histogram (Gauss-Seidel), round (largest remainders up), and take as many of each as the block has documents for; once more for
+   what is left.
 3. Pack the residual greedily: longest first, each time with the longest that still fits, keeping windows
    that are full up to ``GAP`` ids.
 4. Lay what is left end to end and cut it where windows end.  An incomplete last window is carried into the next
@@ -38,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_automaton import Remembered
-from .runs import Runs, distinct, list_ends, runs_of, slices, strings
+from .runs import Runs, chosen, cut, distinct, list_ends, runs_of, slices, strings
 
 WINDOW, END_ID = 4096, 2
 BLOCK_IDS = 6_000_000
 #: Ids of padding that a greedily packed window may have.
 GAP = 2
 TRIPLES_PER_LENGTH, SWEEPS = 6, 4
+#: The counts are solved for once more on what the first round leaves.
+ROUNDS = 2
 #: Entries of the table of parts of words, two generations (about 150 bytes an entry).
 MOST_PARTS = 120_000
 #: Words of printable ASCII and accented Latin letters need no normalizer but lower case, and this form of the library's own pattern.
@@ -89,19 +92,14 @@ class WordTokenizer:
         plain = pc.match_substring_regex(words, PLAIN_WORD)
         if self.special:
             plain = pc.and_not(plain, pc.match_substring_regex(words, self.special))
-        # Marks between the parts, which no plain word holds; the last of each list is empty.
-        marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), pattern=PART, replacement=r"\1 ")
-        lists = pc.split_pattern(marked, " ")
+        lists = cut(pc.utf8_lower(words.filter(plain)), PART)
         part_number, parts = distinct(lists.flatten())
         get, miss = self.parts.new.get, self._part
         of_part = runs_of([(get(p) or self.parts.older(p) or miss(p)) if p else b"" for p in strings(parts)], "<u4")
         of_plain = of_part.take(part_number).joined(list_ends(lists))
         rest = pc.invert(plain)
         of_rest = runs_of([self._odd_word(w) if w else b"" for w in strings(words.filter(rest))], "<u4")
-        # Both kinds behind each other, and for each word its place among them.
-        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
-        place = np.where(is_plain, np.cumsum(is_plain) - 1, len(of_plain.ends) + np.cumsum(~is_plain) - 1)
-        both = Runs(np.concatenate([of_plain.flat, of_rest.flat]), np.concatenate([of_plain.ends, of_rest.ends + len(of_plain.flat)]))
+        both, place = chosen(plain.to_numpy(zero_copy_only=False).astype(bool), of_plain, of_rest)
         return both.take(place[number]).joined(list_ends(split))
 
 
@@ -143,13 +141,21 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[tuple[int,
     """Patterns with repeat counts, and (length, count) of what is to be laid end to end."""
     left = dict(histogram)
     chosen: list[tuple[tuple[int, ...], int]] = []
-    patterns = combinations(np.array(sorted(left), int), window)
-    for p, x in sorted(zip(patterns, repeat_counts(patterns, left), strict=True), key=lambda y: -y[1]):
-        k = min(int(x + 0.5), *(left[n] // c for n, c in Counter(p).items()))
+
+    def take(p: tuple[int, ...], most: int) -> None:
+        k = min(most, *(left[n] // c for n, c in Counter(p).items()))
         if k > 0:
             chosen.append((p, k))
             for n in p:
                 left[n] -= k
+
+    for _ in range(ROUNDS):
+        patterns = combinations(np.array(sorted(n for n, c in left.items() if c > 0), int), window)
+        solved = list(zip(patterns, repeat_counts(patterns, left), strict=True))
+        for p, x in sorted(solved, key=lambda y: -y[1]):
+            take(p, int(x))
+        for p, x in sorted(solved, key=lambda y: int(y[1]) - y[1]):  # the largest remainders are rounded up
+            take(p, int(x > int(x)))
     keys = sorted(n for n, c in left.items() if c > 0)
     end_to_end: list[tuple[int, int]] = []
     while keys:
