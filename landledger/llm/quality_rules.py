@@ -7,7 +7,7 @@ their language and source, and those at a great Mahalanobis distance are rejecte
 MCD by concentration steps: start from the medians and absolute deviations of each group, then
 repeat: put the squared distances in bins, take the nearest bins until they hold ``SUBSET`` of the
 group, and estimate from those rows alone.  A step never raises a covariance's determinant but for the bins' width;
-steps end when no group's determinant falls any more.  Bins carry their own sums, so one step is one aggregation
+steps end when determinants hardly fall any more.  Bins carry their own sums, so one step is one aggregation
 with map-side sums (groups x bins rows at most are shuffled, however hot a group is) and no group is
 ever gathered.  Three components keep the inverse in closed form.
 
@@ -32,8 +32,8 @@ from .shared import materialise, nested
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUBSET = 0.75
-#: Steps end when no group's determinant falls by more than this part; a handful do, more than ``MOST_STEPS`` are never made.
-SETTLED, MOST_STEPS = 0.02, 10
+#: Steps end when determinants fall by less than this part, on average over documents; more than ``MOST_STEPS`` are never made.
+SETTLED, MOST_STEPS = 0.01, 10
 #: Passing documents from which a group stands on its own estimate alone.
 FULL_GROUP = 60
 #: Share of the documents of a normal group that would be rejected.
@@ -177,7 +177,7 @@ def fit_groups(points: DataFrame) -> DataFrame:
         est = materialise(est, f"mcd-step{step}")
         if before_step is not None:
             old = before_step.select(*keys, _determinant().alias("_old"))
-            fell = est.join(old, [est[k].eqNullSafe(old[k]) for k in keys]).agg(F.max(1 - _determinant() / F.col("_old"))).first()[0]
+            fell = est.join(old, [est[k].eqNullSafe(old[k]) for k in keys]).agg(F.sum(F.col("_n") * F.greatest(1 - _determinant() / F.col("_old"), F.lit(0.0))) / F.sum("_n")).first()[0]
             if fell is None or fell <= SETTLED:  # one number, whatever the groups
                 break
         before_step = est
