@@ -170,14 +170,14 @@ def open_links(spark, d):
 
 
 @query(
-    "WITH d AS (SELECT l_partkey AS p, 'u' || (l_suppkey % 3) AS url, l_shipmode_ AS kind, CASE WHEN l_tax > 0.03 THEN 't' || l_linenumber END AS title, CASE WHEN l_discount > 0.05 THEN l_linenumber END AS pages, l_orderkey * 10 + l_linenumber AS seq FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem)) "
+    "WITH d AS (SELECT l_partkey AS p, 'u' || (l_suppkey % 3) AS url, l_shipmode_ AS kind, CASE WHEN l_tax > 0.03 THEN 't' || l_linenumber END AS title, CASE WHEN l_discount > 0.05 THEN l_linenumber END AS pages, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem)) "
     "SELECT p AS property_id, url, arg_max(kind, seq) AS kind, arg_max(title, seq) FILTER (title IS NOT NULL) AS title, arg_max(pages, seq) FILTER (pages IS NOT NULL) AS page_count FROM d GROUP BY 1, 2"
 )
 def document_upsert(spark, d):
     li = roles.table(spark, d, "lineitem")
     docs = li.select(
         F.col("l_partkey").alias("property_id"), F.concat(F.lit("u"), (F.col("l_suppkey") % 3).cast("string")).alias("url"), F.col("l_returnflag").alias("kind"), F.when(F.col("l_tax") > 0.03, F.concat(F.lit("t"), F.col("l_linenumber").cast("string"))).alias("title"),
-        F.when(F.col("l_discount") > 0.05, F.col("l_linenumber")).alias("page_count"), F.lit(None).cast("string").alias("local_path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.when(F.col("l_discount") > 0.05, F.col("l_linenumber")).alias("page_count"), F.lit(None).cast("string").alias("local_path"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("bigint")).alias("seq"),
     )
     return ingest.upsert_documents(docs.filter("seq % 2 = 0"), docs.filter("seq % 2 = 1")).select("property_id", "url", "kind", "title", "page_count")
 
