@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dups, packing, permutation_index, pii, piece_codec, quality_model, quality_rules, token_counts, url_filters, warc
+from . import (
+    importance_resampling,
+    license_scan,
+    near_dups,
+    packing,
+    periodic_runs,
+    permutation_index,
+    pii,
+    piece_codec,
+    quality_model,
+    quality_rules,
+    token_counts,
+    url_filters,
+    warc,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -57,6 +71,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), text=periodic_runs.with_planted_period())
+    return periodic_runs.run_report(found)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(license_scan.find_notices(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_dups": op2_near_dups,
@@ -68,6 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE_SQL, "op2_near_dups": near_dups.ORACLE_SQL, "op8_url_filters": url_filters.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE_SQL,
+    "op2_near_dups": near_dups.ORACLE_SQL,
+    "op8_url_filters": url_filters.ORACLE_SQL,
+    "op13_importance_resampling": importance_resampling.ORACLE_SQL,
+}
