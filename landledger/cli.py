@@ -47,9 +47,9 @@ def main(argv: list[str] | None = None) -> int:
         p = PROFILES[a.name]
         print(json.dumps({**asdict(p), "profile_hash": p.profile_hash}, indent=2, default=str))
         return 0
-    from .plans import history_queries, queries
+    from .plans import history_queries, queries, run_queries
 
-    known = {**queries.QUERIES, **history_queries.QUERIES}
+    known = {**queries.QUERIES, **history_queries.QUERIES, **run_queries.QUERIES}
     if a.command == "list":
         print("\n".join(known))
         return 0

@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 DEFINITIONS = (
     "ll_band(km DOUBLE, soft DOUBLE, hard DOUBLE) RETURNS STRING RETURN CASE WHEN km IS NULL THEN 'unknown' WHEN km <= soft THEN 'within_soft' WHEN km <= hard THEN 'within_hard' ELSE 'beyond' END",
     "ll_normalize(t STRING) RETURNS STRING RETURN trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(t), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '(?U)[^\\\\w\\\\s]', ' '), '(?U)\\\\s+', ' '))",
-    "ll_haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN 2 * 6371.0088D * asin(least(1.0D, sqrt(power(sin((radians(c) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(c)) * power(sin((radians(d) - radians(b)) / 2), 2))))",
+    "ll_haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN CASE WHEN a + b + c + d IS NOT NULL THEN 2 * 6371.0088D * "
+    "asin(least(1.0D, sqrt(power(sin((radians(c) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(c)) * power(sin((radians(d) - radians(b)) / 2), 2)))) END",
     "ll_slug(t STRING) RETURNS STRING RETURN replace(ll_normalize(t), ' ', '_')",
     "ll_text_hash(t STRING) RETURNS STRING RETURN sha2(ll_normalize(t), 256)",
     "ll_number(v DOUBLE, digits INT) RETURNS STRING RETURN coalesce(translate(format_number(bround(v, 0) + CASE WHEN digits > 0 THEN v - bround(v, 0) ELSE 0 END, digits), ',.', '.,'), 'k. A.')",

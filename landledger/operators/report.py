@@ -132,7 +132,7 @@ def write_log(rows: DataFrame, path: str, day: str = "run_date") -> None:
 
 
 def write_scores(scored: DataFrame, path: str) -> None:
-    """One folder per profile; a new run replaces its own profile's rows alone."""
+    """One folder per profile; a scoring of all properties replaces its own profile's rows alone.  Parts of a profile go to a ``ScoreStore``."""
     scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_hash").parquet(path)
 
 

@@ -318,7 +318,10 @@ def dirty(props: DataFrame, scores: DataFrame, costs: DataFrame, profile_hash: s
 
 
 def rescore_all(props: DataFrame, facts: DataFrame, profile: Profile, now: Column, scores: DataFrame | None = None, costs: DataFrame | None = None) -> DataFrame:
-    """Scores of all properties, or of the dirty ones where the kept tables are given; ``updated_at`` is ``now``.  ``report.write_scores`` keeps them."""
+    """Scores of all properties, or of the dirty ones where the kept tables are given; ``updated_at`` is ``now``.
+
+    ``report.write_scores`` keeps a scoring of all properties; dirty rows are appended to a ``score_store.ScoreStore``, where clean ones stay.
+    """
     todo = props if scores is None or costs is None else dirty(props, scores, costs, profile.profile_hash)
     return score_properties(todo, facts, profile, now).withColumn("updated_at", now)
 

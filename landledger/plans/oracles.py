@@ -138,8 +138,9 @@ k0 AS (SELECT *, lag(status) OVER p AS os, row_number() OVER p AS rn, row_number
   WINDOW p AS (PARTITION BY property_id ORDER BY seq), r AS (PARTITION BY property_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 k1 AS (SELECT *, lag(np) OVER (PARTITION BY property_id ORDER BY seq) AS op FROM k0),
 k2 AS (SELECT *, rn = 1 AS f, coalesce(status = 'removed' AND os <> 'removed', FALSE) AS rem, coalesce(abs(np - op) >= 1, FALSE) AS pr, coalesce(os = 'removed' AND status <> 'removed', FALSE) AS rev FROM k1),
-k3 AS (SELECT *, CASE WHEN f THEN 'first_seen' WHEN rem THEN 'removed' WHEN pr THEN 'price_change' WHEN rev THEN 'reactivated' WHEN sn = 1 THEN 'source_change' WHEN ot <> text_hash THEN 'description_change' WHEN status <> os THEN 'status_change' END AS main FROM k2),
-kinds AS (SELECT property_id, seq, ts, os AS old_status, status AS new_status, main AS change_kind FROM k3 WHERE main IS NOT NULL UNION ALL SELECT property_id, seq, ts, os, status, 'reactivated' FROM k3 WHERE pr AND rev AND NOT f AND NOT rem)"""
+k3 AS MATERIALIZED (SELECT *, CASE WHEN f THEN 'first_seen' WHEN rem THEN 'removed' WHEN pr THEN 'price_change' WHEN rev THEN 'reactivated' WHEN sn = 1 THEN 'source_change' WHEN ot <> text_hash THEN 'description_change' WHEN status <> os THEN 'status_change' END AS main FROM k2),
+kinds AS (SELECT property_id, seq, l_orderkey, l_linenumber, supplier, ts, os AS old_status, status AS new_status, main AS change_kind FROM k3 WHERE main IS NOT NULL
+  UNION ALL SELECT property_id, seq, l_orderkey, l_linenumber, supplier, ts, os, status, 'reactivated' FROM k3 WHERE pr AND rev AND NOT f AND NOT rem)"""
 
 _MISSING = _with(PROPERTY_CTE, SOURCE_CTE, PROPERTY_SOURCE_CTE) + f""",
 r AS (SELECT a.*, p.listing_status AS status FROM property_source a JOIN property p USING (property_id)),
@@ -168,7 +169,7 @@ def _delta(c: str) -> str:
 
 
 _PAIR = _BLOCKS + f""",
-j AS (SELECT x.property_id AS id_a, y.property_id AS id_b, CASE WHEN x.geo_precision IN ('exact', 'street') AND y.geo_precision IN ('exact', 'street') THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians(y.lat) - radians(x.lat)) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin((radians(y.lon) - radians(x.lon)) / 2), 2)))) END AS m,
+j AS (SELECT x.property_id AS id_a, y.property_id AS id_b, CASE WHEN x.geo_precision IN ('exact', 'street') AND y.geo_precision IN ('exact', 'street') AND x.lat + x.lon + y.lat + y.lon IS NOT NULL THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians(y.lat) - radians(x.lat)) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin((radians(y.lon) - radians(x.lon)) / 2), 2)))) END AS m,
   CASE WHEN x.land_sqm IS NOT NULL AND y.land_sqm IS NOT NULL THEN {_delta('land_sqm')} END AS dl, CASE WHEN x.living_sqm IS NOT NULL AND y.living_sqm IS NOT NULL THEN {_delta('living_sqm')} END AS dv, CASE WHEN x.price IS NOT NULL AND y.price IS NOT NULL THEN {_delta('price')} END AS dp,
   x.year_built AS ya, y.year_built AS yb, CASE WHEN x.postcode <> '' AND y.postcode <> '' THEN x.postcode = y.postcode WHEN x.town IS NOT NULL AND y.town IS NOT NULL THEN x.town = y.town END AS place, x.property_type = y.property_type AND x.property_type <> '' AS kind
   FROM blocks JOIN f x ON x.property_id = a JOIN f y ON y.property_id = b WHERE pass <= 3),
@@ -219,7 +220,7 @@ ORACLES: dict[str, str] = {
     "price_journal": _with(SIGHTING_CTE, _RUNNING) + "SELECT property_id, l_orderkey, ts, old_price, new_price, delta_abs, reductions FROM cuts",
     "price_reductions": _with(SIGHTING_CTE, _RUNNING) + "SELECT property_id, count(*) FILTER (delta_abs < 0) AS cuts, max(reductions) AS reductions FROM cuts GROUP BY 1",
     "status_fold": _with(SIGHTING_CTE, _STATUS) + "SELECT property_id, ts, l_orderkey, l_linenumber, supplier, status FROM st",
-    "change_kinds": _with(SIGHTING_CTE, _KINDS) + "SELECT property_id, l_orderkey, l_linenumber, supplier, old_status, new_status, change_kind FROM kinds JOIN sighting USING (property_id, seq)",
+    "change_kinds": _with(SIGHTING_CTE, _KINDS) + "SELECT property_id, l_orderkey, l_linenumber, supplier, old_status, new_status, change_kind FROM kinds",
     "change_feed": _with(SIGHTING_CTE, _RUNNING, _KINDS) + f"SELECT k.property_id, p_name AS title, k.ts, old_status, k.new_status, change_kind, c.new_price AS price_then FROM kinds k JOIN part ON p_partkey = k.property_id LEFT JOIN cuts c ON c.property_id = k.property_id AND c.ts <= k.ts WHERE change_kind IN ('removed', 'reactivated') AND k.ts >= {NOW} - INTERVAL 200 DAY QUALIFY row_number() OVER (PARTITION BY k.property_id, k.seq, change_kind ORDER BY c.ts DESC NULLS LAST, c.seq DESC NULLS LAST) = 1",
     "price_asof_status": "SELECT e.user_id AS property_id, e.ts AS at, e.event_id, p.event_id AS price_id, p.value AS price FROM events e LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts WHERE e.event_type <> 'purchase' QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC NULLS LAST, p.event_id DESC NULLS LAST) = 1",
     "visible_semi": "SELECT p_partkey AS property_id FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'R' AND l_suppkey % 3 <> 0)",
@@ -230,7 +231,7 @@ ORACLES: dict[str, str] = {
     "pair_evidence": _PAIR,
     "merge_chain": "SELECT p_partkey AS property_id, CASE WHEN p_partkey = 0 THEN -1 ELSE p_partkey - ((p_partkey - 1) % 8) END AS survivor_id FROM part WHERE p_partkey % 8 <> 1",
     "phash_near": "WITH b0 AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS v FROM embeddings), b AS (SELECT * FROM b0 UNION ALL SELECT vec_id + 10000000, list_transform(range(1, 65), lambda i: CASE WHEN i % 8 = 1 AND i <= 1 + 8 * (vec_id % 8) THEN 1 - v[i] ELSE v[i] END) FROM b0), p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.v[i] <> y.v[i] THEN 1 ELSE 0 END)) AS INT) AS bits FROM b x JOIN b y ON x.vec_id < y.vec_id) SELECT a, b, bits FROM p WHERE bits <= 14",
-    "haversine_bands": _with(PROPERTY_CTE) + f"SELECT property_id, round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(47.907)) / 2), 2) + cos(radians(47.907)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(11.84)) / 2), 2)))), 6) AS km, CASE WHEN driving_km IS NULL THEN 'unknown' WHEN driving_km <= 100 THEN 'within_soft' WHEN driving_km <= 116 THEN 'within_hard' ELSE 'beyond' END AS band, coalesce(air_km <= 80, FALSE) AS within_air, driving_km <= 116 AS within_driving FROM property",
+    "haversine_bands": _with(PROPERTY_CTE) + f"SELECT property_id, round(CASE WHEN lat + lon IS NOT NULL THEN 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(47.907)) / 2), 2) + cos(radians(47.907)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(11.84)) / 2), 2)))) END, 6) AS km, CASE WHEN driving_km IS NULL THEN 'unknown' WHEN driving_km <= 100 THEN 'within_soft' WHEN driving_km <= 116 THEN 'within_hard' ELSE 'beyond' END AS band, coalesce(air_km <= 80, FALSE) AS within_air, driving_km <= 116 AS within_driving FROM property",
     "threshold_sweep": "SELECT threshold, event_type AS grp, count(*) FILTER (value >= threshold) AS rejected, count(*) AS total FROM events, (VALUES (10.0::DOUBLE), (50.0), (90.0)) t(threshold) GROUP BY 1, 2",
     "cost_estimate": _with(PROPERTY_CTE, _costed(SHIPPED)) + "SELECT property_id, renovation_tier, renovation_evidence, acquisition_costs, renovation_low, renovation_mid, renovation_high, total_low, total_mid, total_high FROM costed",
     "fit_bands": _with(PROPERTY_CTE, _fitted(SHIPPED, "property")) + "SELECT property_id, " + ", ".join(score.FIT) + ", fit_score FROM fitted",

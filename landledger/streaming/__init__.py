@@ -69,24 +69,12 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
 
 
-def upsert_batches(stream: DataFrame, log_path: str, snapshot_path: str, checkpoint: str):
-    """Each micro-batch appends its sightings as one partition of the log (written again, not twice, if the batch is retried) and refolds the
-    properties it touches into a partition of the snapshot; ``latest_snapshot`` reads it.  Returns the writer, to be started."""
-    from ..operators.ingest import snapshot
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64, order: str = "seq"):
+    """Each micro-batch is folded into the state of the buckets it touches (``fold_state.Store`` at ``path``); a batch that is retried changes
+    nothing.  Returns the writer, to be started."""
+    from ..operators.fold_state import Store
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        wide = batch.withColumn("batch_id", F.lit(batch_id))
-        wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path)
-        log = spark.read.schema(wide.schema).parquet(log_path).drop("batch_id")
-        touched = log.join(batch.select("property_id").distinct(), "property_id", "left_semi")
-        snapshot(touched).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(snapshot_path)
+        Store(batch.sparkSession, path, buckets, order).apply(batch, batch_id)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-
-
-def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The last fold of each property."""
-    from ..operators.report import latest_wins
-
-    return latest_wins(snapshots, ["property_id"], "batch_id").drop("batch_id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landledger import streaming
-from landledger.operators import digest, ingest, resolve, score
+from landledger.operators import digest, fold_state, ingest, resolve, score
 from landledger.search_profile import SHIPPED
 
 DAY = datetime(2026, 9, 1)
@@ -172,8 +172,8 @@ def test_stream_upserts_and_silence(spark, tmp_path):
     for k, r in enumerate(rows):
         spark.createDataFrame([r], LOG).write.mode("append").parquet(f"{base}/in/{k}")
     stream = spark.readStream.schema(LOG).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    streaming.upsert_batches(stream, f"{base}/log", f"{base}/snap", f"{base}/check").trigger(availableNow=True).start().awaitTermination(180)
-    last = streaming.latest_snapshot(spark.read.parquet(f"{base}/snap")).collect()
+    streaming.upsert_batches(stream, f"{base}/fold", f"{base}/check", 4).trigger(availableNow=True).start().awaitTermination(180)
+    last = fold_state.Store(spark, f"{base}/fold", 4).snapshot().collect()
     whole = ingest.snapshot(spark.createDataFrame(rows, LOG)).first()
     assert len(last) == 1 and last[0]["n_sightings"] == 4 and {c: last[0][c] for c in ("title", "price", "listing_status", "last_seen")} == {c: whole[c] for c in ("title", "price", "listing_status", "last_seen")}
     e = spark.createDataFrame([(1, DAY), (1, DAY + timedelta(hours=1)), (1, DAY + timedelta(days=2))], "k long, ts timestamp")
