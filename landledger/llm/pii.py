@@ -6,15 +6,17 @@ r"""Personal data by candidate generation and gradient boosting.
    without a plus sign (every run of digit groups of a plausible length, also inside longer rows of numbers), card numbers
    with other separators, IPv6 addresses, whole or with ``::``.
 3. Boosted trees judge each proposal by its format and by the words around it; the scores are calibrated, and the threshold
-   is the lowest on held-out examples with the precision asked for.  Of proposals that overlap a base span none is
+   is the lowest with the precision asked for.  Trees, calibration and thresholds have examples of their own, parted by text.  Of proposals that overlap a base span none is
    kept; of those that overlap each other the likeliest.
 
 The trees are trained on examples made here from a seeded grammar (no labelled spans exist), once, on
 the driver; the model is a few kilobytes and goes out with the function.
 
 Offsets are code points, ends exclusive.  All scans are linear in the text, also on long runs of
-digits or letters.  Odd inputs: a null text counts as empty; the pipeline form leaves it null.
-Repeated rows and ids are all returned.  Other columns are ignored (in the pipeline form kept).
+digits or letters; hits in great number are kept in sorted lists.  Odd inputs: a null text counts as empty; the pipeline form leaves it null.
+An empty table gives an empty table.  Repeated rows and ids are all returned.  Other columns are ignored (in the pipeline form kept, whatever their
+names).  Of proposals with equal scores the first counts.  Memory: one text and its proposals, ``BATCH`` of them with their features at a time.
+Only a proposed domain of more than ``MOST_DOMAIN`` characters (no such name exists) ends early.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosted_trees import BoostedTrees
+from .shared import numbered
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.99
+#: Proposals that are judged together.
+BATCH = 20_000
 Span = tuple[int, int, int]  # start, end, index of the kind
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -86,7 +93,8 @@ def base_spans(text: str) -> list[Span]:
 _AT_WORD = re.compile(r"[\[({<]\s?(?:at|AT|At|arroba|arobase|ät)\s?[\])}>]|\s@\s|(?<=[A-Za-z0-9])\s(?:at|AT|arroba|arobase|klammeraffe)\s(?=[A-Za-z0-9])")
 _LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|DOT|Dot|punkt|punto|point)\s?[\])}>]\s?|\s(?:dot|DOT|punkt|punto|point)\s|\s?\.\s?")
-MOST_LABELS = 5
+#: Characters of a whole domain name, at most.
+MOST_DOMAIN = 253
 _AT_SIGN = re.compile(r"\s@\s|[\[({<]")
 _DOT_WORD = re.compile(r"[\s\[({<](?:dot|DOT|Dot|punkt|punto|point)[\s\])}>]")
 _COMMON_END = re.compile(r"[\s.\])}>](?:com|org|net|edu|info|de|at|ch|fr|es|uk|eu|io|mx|be)$", re.I)
@@ -103,19 +111,16 @@ def proposals(text: str) -> list[Span]:
         start = m.start()
         stop = start - 1 if start and text[start - 1] == " " and m[0][0] != " " else start
         start = stop
-        while start > max(0, stop - 64) and text[start - 1] in _LOCAL_CHARS:
+        while start and text[start - 1] in _LOCAL_CHARS:  # up to the blank or bracket behind the mark before, so no character is read twice
             start -= 1
-        at = m.end() + (text[m.end() : m.end() + 1] == " ")
-        for k in range(MOST_LABELS if start < stop else 0):  # the domain may end after each label but the first
-            label = _LABEL.match(text, at)
-            if not label:
-                break
-            if k:
+        at = first = m.end() + (text[m.end() : m.end() + 1] == " ")
+        label = _LABEL.match(text, at) if start < stop else None
+        while label and label.end() - first <= MOST_DOMAIN:  # the domain may end after each label but the first
+            if at > first:
                 out.append((start, label.end(), 0))
             dot = _DOT.match(text, label.end())
-            if not dot:
-                break
-            at = dot.end()
+            at = dot.end() if dot else at
+            label = _LABEL.match(text, at) if dot else None
     for m in _REGION.finditer(text):
         groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
         sizes = [len(_NOT_DIGIT.sub("", text[x:y])) for x, y in groups]
@@ -235,26 +240,58 @@ class Judge:
         self.model, self.thresholds = model, thresholds
 
     def accepted(self, text: str, base: list[Span]) -> list[Span]:
-        found = proposals(text)
-        found = [p for p in found if not any(p[0] < b[1] and b[0] < p[1] for b in base)] if base else found
+        """Of the proposals beside the base spans those above their threshold; of overlapping ones the likeliest.  In sorted lists, so hits in great number cost little."""
+        taken = _joined(base)
+        found = [p for p in proposals(text) if not taken.meets(p)]
         if not found:
             return []
-        score = self.model.probability(np.array([features(text, p) for p in found]))
-        out: list[Span] = []
-        for k in sorted(range(len(found)), key=lambda k: (-score[k], found[k])):
-            p = found[k]
-            if score[k] >= self.thresholds[p[2]] and not any(p[0] < o[1] and o[0] < p[1] for o in out):
-                out.append(p)
+        score = np.concatenate([self.model.probability(np.array([features(text, p) for p in found[k : k + BATCH]])) for k in range(0, len(found), BATCH)])
+        least = np.array(self.thresholds)[[p[2] for p in found]]
+        out, own = [], _Intervals([], [])
+        for k in sorted(np.flatnonzero(score >= least).tolist(), key=lambda k: (-score[k], found[k])):
+            if not own.meets(found[k]):
+                own.add(found[k])
+                out.append(found[k])
         return out
 
 
+class _Intervals(NamedTuple):
+    """Stretches that don't overlap, in order."""
+
+    starts: list[int]
+    ends: list[int]
+
+    def meets(self, span: Span) -> bool:
+        k = bisect_left(self.starts, span[1]) - 1  # the last that starts before the span's end
+        return k >= 0 and self.ends[k] > span[0]
+
+    def add(self, span: Span) -> None:
+        k = bisect_left(self.starts, span[0])
+        self.starts.insert(k, span[0])
+        self.ends.insert(k, span[1])
+
+
+def _joined(spans: list[Span]) -> _Intervals:
+    """Spans in order of their starts, overlapping ones as one stretch."""
+    out = _Intervals([], [])
+    for s, e, _ in spans:
+        if out.ends and s < out.ends[-1]:
+            out.ends[-1] = max(out.ends[-1], e)
+        else:
+            out.starts.append(s)
+            out.ends.append(e)
+    return out
+
+
 @lru_cache(maxsize=1)
 def trained_judge(precision: float = PRECISION) -> Judge:
     data = examples()
     x = np.array([features(t, s) for t, s, _ in data])
     y = np.array([r for *_, r in data], float)
-    model = BoostedTrees().fit(x, y)
-    held = np.arange(len(y)) % 4 == 3
+    # Proposals of one text follow each other; all of a text are in one part: two to learn from, one to calibrate, one for the thresholds.
+    part = np.cumsum([k == 0 or data[k][0] != data[k - 1][0] for k in range(len(data))]) % 4
+    model = BoostedTrees().fit(x[part < 2], y[part < 2], x[part == 2], y[part == 2])
+    held = part == 3
     p, y, kind = model.probability(x[held]), y[held], x[held, 0]
     thresholds = []
     for k in range(len(KINDS)):
@@ -313,6 +350,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     judge = judge or trained_judge()
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    rows = numbered(docs)
 
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,4 +369,4 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
                 arrays[length_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind)
             yield pa.RecordBatch.from_arrays(arrays, names=b.schema.names)
 
-    return docs.mapInArrow(per_batch, docs.schema)
+    return rows.mapInArrow(per_batch, rows.schema).toDF(*docs.columns)

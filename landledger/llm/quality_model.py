@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs, chosen, cut, distinct, list_ends, runs_of, slices, strings
-from .shared import materialise
+from .shared import materialise, numbered
 
 SLOTS, WIDTH, NONZERO, REACH = 16_384, 32, 4, 2
 #: Labelled documents that are learned from, at most.
@@ -279,4 +279,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at)) >= least))
 
-    return docs.mapInArrow(per_batch, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(per_batch, rows.schema).toDF(*docs.columns)

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
 
 from landledger.llm import pii
 
@@ -87,3 +90,34 @@ def test_judge_on_sentences_of_another_hand():
 def test_thresholds_follow_the_calibration():
     strict, loose = pii.trained_judge(0.999), pii.trained_judge(0.6)
     assert all(a >= b for a, b in zip(strict.thresholds, loose.thresholds, strict=True)) and strict.thresholds != loose.thresholds
+
+
+def test_hits_in_great_number():
+    """Sorted lists give what comparing everything with everything would, and take time in proportion."""
+    j = pii.trained_judge()
+    rng = random.Random(9)
+    for t in texts(60):
+        base = pii.base_spans(t)
+        found = [p for p in pii.proposals(t) if not any(p[0] < b[1] and b[0] < p[1] for b in base)]
+        score = j.model.probability(np.array([pii.features(t, p) for p in found])) if found else []
+        want = []
+        for k in sorted(range(len(found)), key=lambda k: (-score[k], found[k])):
+            p = found[k]
+            if score[k] >= j.thresholds[p[2]] and not any(p[0] < o[1] and o[0] < p[1] for o in want):
+                want.append(p)
+        assert sorted(want) == sorted(j.accepted(t, base))
+    took = []
+    for n in (12_500, 50_000):
+        t = " ".join(f"user{k}@mail.example.com +49 89 {1_000_000 + k % 900_000} b{k} at mail{rng.randrange(99)}.example dot com" for k in range(n))
+        began = time.time()
+        base = pii.base_spans(t)
+        more = j.accepted(t, base)
+        took.append(time.time() - began)
+        assert len(base) == 2 * n and len(more) >= 0.9 * n
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_a_long_address_is_whole():
+    t = f"write to {'x' * 200} [at] a.b.c.d.e.f.example.org now"
+    j = pii.Judge(pii.trained_judge().model, [0.0] * 4)
+    assert (9, len(t) - 4, 0) in pii.proposals(t) and j.accepted(t, [])[0][0] == 9

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from landledger.llm import pii
 from landledger.llm.shared import materialise
@@ -26,7 +28,7 @@ def fixture():
 def test_stages_take_effect(spark, tmp_path):
     docs, labels = fixture()
     sf = f"file://{tmp_path}"
-    spark.createDataFrame(docs, COLUMNS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(docs, COLUMNS).withColumn("a.b", F.lit(1)).withColumn("component", F.lit("x")).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     now = spark.read.parquet(f"{sf}/documents.parquet")
     names = now.columns
