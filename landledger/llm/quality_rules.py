@@ -7,12 +7,13 @@ their language and source, and those at a great Mahalanobis distance are rejecte
 MCD by concentration steps: start from the medians and absolute deviations of each group, then
 repeat: put the squared distances in bins, take the nearest bins until they hold ``SUBSET`` of the
 group, and estimate from those rows alone.  A step never raises a covariance's determinant but for the bins' width;
-steps end when determinants hardly fall any more.  Bins carry their own sums, so one step is one aggregation
+a group's steps end when its determinant hardly falls any more, and its rows stay out of those of the others.  Bins carry their own sums, so one step is one aggregation
 with map-side sums (groups x bins rows at most are shuffled, however hot a group is) and no group is
 ever gathered.  Three components keep the inverse in closed form.
 
 Odd inputs: a null text has no words and fails the base rules.  A null language or source is a
-group of its own.  Repeated rows are judged alike, each on its own.  An empty table gives an empty table.
+group of its own.  Repeated rows are judged alike, each on its own.  An empty table gives an empty table.  Very long texts are counted
+whole, in the JVM, in memory in proportion to the text.  Other columns are ignored (in the pipeline form kept, whatever their names).
 
 Small groups: the same steps estimate each language and the whole corpus.  A group of n passing documents
 has its own estimate with weight n / ``FULL_GROUP`` (1 at most) and its language's with the rest; the
@@ -32,7 +33,7 @@ from .shared import materialise, nested
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SUBSET = 0.75
-#: Steps end when determinants fall by less than this part, on average over documents; more than ``MOST_STEPS`` are never made.
+#: A group's steps end when its determinant falls by less than this part; more than ``MOST_STEPS`` are never made.
 SETTLED, MOST_STEPS = 0.01, 10
 #: Passing documents from which a group stands on its own estimate alone.
 FULL_GROUP = 60
@@ -161,7 +162,7 @@ def fit_groups(points: DataFrame) -> DataFrame:
     dev = near.groupBy(*keys).agg(*[F.percentile_approx(F.abs(x - F.col(f"_m_{i}")), 0.5, 1000).alias(f"_d{i}") for i, x in enumerate(xs)], *[F.first(f"_m_{i}").alias(f"_m_{i}") for i in range(3)])
     est = dev.select(*keys, *[f"_m_{i}" for i in range(3)], *[(F.pow(1.4826 * F.col(f"_d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
     est = materialise(est, "mcd-start")
-    before_step = None
+    settled: list[DataFrame] = []
     for step in range(MOST_STEPS):
         e = points.join(est, of_group)
         binned = e.select(*keys, *xs, F.least(F.floor(BINS_PER_E * F.log1p(_estimate_distance(xs))), F.lit(MOST_BINS)).cast("int").alias("bin"))
@@ -173,16 +174,23 @@ def fit_groups(points: DataFrame) -> DataFrame:
         kept = group.select(*keys, "all", F.filter("b", lambda y, k: before(F.col("b"), k) < F.ceil(SUBSET * F.col("all"))).alias("b"))
         tot = kept.select(*keys, "all", *[_total("b", c).alias(c) for c in names])
         m = [F.col(f"s{i}") / F.col("n") for i in range(3)]
-        est = tot.select(*keys, F.col("all").alias("_n"), *[m[i].alias(f"_m_{i}") for i in range(3)], *[((F.col(f"s{i}{j}") / F.col("n") - m[i] * m[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
-        est = materialise(est, f"mcd-step{step}")
-        if before_step is not None:
-            old = before_step.select(*keys, _determinant().alias("_old"))
-            fell = est.join(old, [est[k].eqNullSafe(old[k]) for k in keys]).agg(F.sum(F.col("_n") * F.greatest(1 - _determinant() / F.col("_old"), F.lit(0.0))) / F.sum("_n")).first()[0]
-            if fell is None or fell <= SETTLED:  # one number, whatever the groups
-                break
-        before_step = est
+        new = tot.select(*keys, F.col("all").alias("_n"), *[m[i].alias(f"_m_{i}") for i in range(3)], *[((F.col(f"s{i}{j}") / F.col("n") - m[i] * m[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_m_{i}{j}") for i, j in PAIRS])
+        # The first estimate is no step, so nothing settles against it.
+        old = est.select(*[F.col(k).alias(f"_o{k}") for k in keys], (F.lit(None).cast("double") if step == 0 else _determinant()).alias("_old"))
+        new = new.join(old, [F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys]).withColumn("_settled", F.coalesce(_determinant() >= (1 - SETTLED) * F.col("_old"), F.lit(False)))
+        new = materialise(new.drop("_old", *[f"_o{k}" for k in keys]), f"mcd-step{step}")
+        # Each group stops by itself, and its rows stay out of further steps.
+        settled.append(new.filter("_settled"))
+        est = new.filter("not _settled")
+        if est.isEmpty():
+            break
+    else:
+        settled.append(est)
+    done = settled[0]
+    for some in settled[1:]:
+        done = done.union(some)
     # Written, so that the planner knows how small it is and leaves texts where they are.
-    return materialise(_shrunk(est), "mcd-groups")
+    return materialise(_shrunk(done.drop("_settled")), "mcd-groups")
 
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
