@@ -31,6 +31,11 @@ def _parser() -> argparse.ArgumentParser:
     command("repair-removals", "write the removals (tables property, status_history) that no reporting source stands behind", "base", "out").add_argument("--non-reporting", action="append", default=[])
     command("delete-property", "write the tables without a property", "base", "property_id", "out")
     command("documents", "document to open for each property (table document)", "base", "out")
+    c = command("run", "read the sources of a JSON registry (list of source_id, source_key, role, reliability, ttl_days, kind, options), fold, score and report", "base", "registry", "run_id")
+    c.add_argument("--name", default="shipped", choices=sorted(PROFILES))
+    c.add_argument("--town", action="append", default=[], help="a town that should have listings")
+    command("report", "write the last reports of a base folder as Markdown, one row each", "base", "out")
+    command("stages", "print the counters of the last runs' stages", "base")
     command("backup", "copy all tables into a new folder", "base", "out")
     return parser
 
@@ -73,6 +78,26 @@ def main(argv: list[str] | None = None) -> int:
         got = read_source(spark, a.source, a.kind, dict(o.split("=", 1) for o in a.option))
         got.listings.write.mode("overwrite").parquet(a.out)
         print(json.dumps({"enumerates": got.enumerated is not None, "incomplete": got.incomplete}))
+    elif a.command == "run":
+        from datetime import UTC, datetime
+
+        from .operators.run import Run
+        from .sources.portals import read_source
+
+        with open(a.registry, encoding="utf-8") as f:
+            registry = json.load(f)
+        names = ("source_id", "source_key", "role", "reliability", "ttl_days")
+        known_sources = spark.createDataFrame([tuple(r.get(n) for n in names) for r in registry], "source_id long, source_key string, role string, reliability double, ttl_days int")
+        readings = {r["source_key"]: read_source(spark, r["source_key"], r["kind"], r.get("options", {})) for r in registry}
+        done = Run(spark, a.base, known_sources, PROFILES[a.name], int(a.run_id), datetime.now(UTC).replace(tzinfo=None)).whole(readings, towns=a.town)
+        print(json.dumps(done.counters))
+    elif a.command == "report":
+        spark.read.parquet(f"{a.base}/report").select("week_label", "profile_hash", "markdown").write.mode("overwrite").parquet(a.out)
+    elif a.command == "stages":
+        from .operators.run import stage_log
+
+        for r in stage_log(spark, a.base).limit(100).collect():
+            print(json.dumps(r.asDict()))
     elif a.command == "rescore":
         facts = score.source_facts(table("property_source"), table("source"))
         report.write_scores(score.rescore_all(table("property"), facts, PROFILES[a.name], F.current_timestamp()), f"{a.base}/score")

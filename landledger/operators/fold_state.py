@@ -41,7 +41,7 @@ def _known(rows: DataFrame, name: str) -> Column:
     return _filled(F.col(name)) if dict(rows.dtypes)[name] == "string" else F.col(name)
 
 
-def _status(base: Column, revived: Column) -> Column:
+def status(base: Column, revived: Column) -> Column:
     return F.when(base.isNull() | (base.isin(*DORMANT) & revived), "discovered").otherwise(base)
 
 
@@ -69,9 +69,9 @@ def _running(rows: DataFrame, order: str) -> DataFrame:
     others = F.max((~F.col("verifies")).cast("int")).over(group) == 1
     from_state = F.col("_g") == 0
     out = out.withColumns({"base": F.coalesce(F.first("_s", ignorenulls=True).over(group), F.when(from_state, old["base"])), "revived": others | (from_state & F.coalesce(old["revived"], F.lit(False)))})
-    out = out.withColumns({"status": _status(F.col("base"), F.col("revived")), "_price": F.coalesce("_strong", "_weak")})
+    out = out.withColumns({"status": status(F.col("base"), F.col("revived")), "_price": F.coalesce("_strong", "_weak")})
     first = F.col("_rn") == 1
-    was = F.when(old.isNotNull(), _status(old["base"], old["revived"]))
+    was = F.when(old.isNotNull(), status(old["base"], old["revived"]))
     return out.withColumns({"old_status": F.when(first, was).otherwise(F.lag("status").over(w)), "old_price": F.when(first, F.coalesce(old["price_strong"], old["price_weak"])).otherwise(F.lag("_price").over(w)), "_first": first & old.isNull()})
 
 
@@ -119,8 +119,8 @@ def _part(run: DataFrame, rows: DataFrame, order: str) -> DataFrame:
         F.max(at(proof & F.col("source_date").isNotNull(), F.col("source_date"))).alias("dated"), F.bool_or(proof).alias("verified"), end.alias("_end"),
     )
     # Grouped within the partitions that the windows made.
-    per = anchored.groupBy("property_id", "source_id").agg(F.max_by("visible", F.when(F.col("verifies"), o)).alias("shown"), F.max_by("text_hash", o).alias("text_hash"))
-    sources = per.groupBy("property_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", F.struct("shown", "text_hash")))).alias("sources"))
+    per = anchored.groupBy("property_id", "source_id").agg(F.max_by("visible", F.when(F.col("verifies"), o)).alias("shown"), F.max_by("text_hash", o).alias("text_hash"), F.min_by("ts", o).alias("first_seen"))
+    sources = per.groupBy("property_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", F.struct("shown", "text_hash", "first_seen")))).alias("sources"))
     both = main.join(sources, "property_id")
     return both.select("*", F.col("_end.base").alias("base"), F.col("_end.revived").alias("revived"), F.col("_end._strong").alias("price_strong"), F.col("_end._weak").alias("price_weak")).drop("_end")
 
@@ -131,7 +131,7 @@ def _merged(part: DataFrame, old: DataFrame, moves: DataFrame, rows: DataFrame)
     a, b = (lambda n: F.col(f"old.{n}")), (lambda n: F.col(f"part.{n}"))
     some = part.select("property_id", F.struct(*part.columns).alias("part")).join(old, "property_id", "left").join(moves, "property_id", "left")
     latest, earliest = (lambda n: F.greatest(a(n), b(n)).alias(n)), (lambda n: F.least(a(n), b(n)).alias(n))
-    sources = F.map_zip_with(F.coalesce(a("sources"), F.create_map().cast(part.schema["sources"].dataType)), b("sources"), lambda _, x, y: F.struct(F.coalesce(y["shown"], x["shown"]).alias("shown"), F.when(y.isNotNull(), y["text_hash"]).otherwise(x["text_hash"]).alias("text_hash")))
+    sources = F.map_zip_with(F.coalesce(a("sources"), F.create_map().cast(part.schema["sources"].dataType)), b("sources"), lambda _, x, y: F.struct(F.coalesce(y["shown"], x["shown"]).alias("shown"), F.when(y.isNotNull(), y["text_hash"]).otherwise(x["text_hash"]).alias("text_hash"), F.coalesce(x["first_seen"], y["first_seen"]).alias("first_seen")))
     return some.select(
         "property_id", *[latest(f"strong_{f}") for f in facts], *[earliest(f"weak_{f}") for f in facts],
         *[F.array_union(F.coalesce(a(t), F.array().cast("array<string>")), b(t)).alias(t) for t in tags], *[(F.coalesce(a(f), F.lit(False)) | b(f)).alias(f) for f in flags],
@@ -163,8 +163,8 @@ def advance(state: DataFrame | None, batch: DataFrame, order: str = "seq") -> Ad
 
 
 def _old_type(rows: DataFrame) -> str:
-    source = rows.schema["source_id"].dataType.simpleString()
-    return f"struct<sources: map<{source}, struct<shown: boolean, text_hash: string>>, price_strong: double, price_weak: double, base: string, revived: boolean, price_reduction_count: bigint>"
+    source, ts = (rows.schema[n].dataType.simpleString() for n in ("source_id", "ts"))
+    return f"struct<sources: map<{source}, struct<shown: boolean, text_hash: string, first_seen: {ts}>>, price_strong: double, price_weak: double, base: string, revived: boolean, price_reduction_count: bigint>"
 
 
 def snapshot_of(state: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def snapshot_of(state: DataFrame) -> DataFrame:
     return state.select(
         "property_id", *known, F.col("air.v").alias("air_km"), F.col("route.km").alias("driving_km"), F.col("route.minutes").alias("driving_minutes"), F.col("seen_first.v").alias("first_seen"),
         F.col("seen_last.v").alias("last_seen"), F.col("proved.v").alias("last_verified"), F.col("dated.v").alias("source_date"), F.when(F.col("verified"), "verified").otherwise("unverified").alias("verification_status"),
-        _status(F.col("base"), F.col("revived")).alias("listing_status"), "n_sightings", *more, "place.lat", "place.lon", "place.geo_precision", "price_first", "price_date", F.col("price_reduction_count").cast("int").alias("price_reduction_count"),
+        status(F.col("base"), F.col("revived")).alias("listing_status"), "n_sightings", *more, "place.lat", "place.lon", "place.geo_precision", "price_first", "price_date", F.col("price_reduction_count").cast("int").alias("price_reduction_count"),
     )
 
 
@@ -206,8 +206,10 @@ class Store:
         out = self.spark.read.parquet(f"{self.path}/state")
         return (out if buckets is None else out.filter(F.col("bucket").isin(buckets))).drop("bucket")
 
-    def log(self, buckets: list[int] | None = None) -> DataFrame:
+    def log(self, buckets: list[int] | None = None, batch_id: int | None = None) -> DataFrame:
+        """The sightings of these buckets, or of one batch."""
         out = self.spark.read.parquet(f"{self.path}/log")
+        out = out if batch_id is None else out.filter(F.col("batch_id") == batch_id)
         return (out if buckets is None else out.filter(F.col("bucket").isin(buckets))).drop("bucket", "batch_id")
 
     def snapshot(self) -> DataFrame:

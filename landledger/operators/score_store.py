@@ -80,6 +80,13 @@ def rescore_dirty(props: DataFrame, facts: DataFrame, profile, now, scores: Scor
     return done
 
 
+def with_kept(props: DataFrame, profile, scores: ScoreStore, costs: ScoreStore) -> DataFrame:
+    """All properties with what is kept of them; those that were never scored have nulls."""
+    own = scores.read(profile.profile_hash).drop("updated_at")
+    names = {*own.columns, *COSTS} - {"property_id"}
+    return props.drop(*names).join(own, "property_id", "left").join(costs.read().drop("updated_at"), "property_id", "left")
+
+
 #: What a score row and a cost row keep.
-SCORES = ("fit_score", "deal_score", "hidden_score", "freshness_score", "confidence_score", "final_score", "rejected", "shortlist_blocked", "reject_reasons", "flags")
-COSTS = ("renovation_tier", "purchase_price", "acquisition_costs", "renovation_low", "renovation_mid", "renovation_high", "immediate_capex", "total_low", "total_mid", "total_high")
+SCORES = ("fit_score", "deal_score", "hidden_score", "freshness_score", "confidence_score", "final_score", "rejected", "shortlist_blocked", "reject_reasons", "flags", "capital_risk")
+COSTS = ("renovation_tier", "renovation_evidence", "purchase_price", "acquisition_costs", "renovation_low", "renovation_mid", "renovation_high", "immediate_capex", "total_low", "total_mid", "total_high")

@@ -16,10 +16,16 @@ from ..functions.text import normalize_text
 RAW_FIELDS = ("url", "title", "description", "price_raw", "land_raw", "living_raw", "usable_raw", "rooms_raw", "year_raw", "location_raw", "postcode", "town", "external_id", "contact_name", "contact_kind", "contact_detail", "source_date_raw")
 # Folded headers and the field they stand for.
 HEADERS = {
-    "url": "url", "link": "url", "titel": "title", "title": "title", "ueberschrift": "title", "beschreibung": "description", "description": "description", "preis": "price_raw", "price": "price_raw", "kaufpreis": "price_raw",
-    "grundstueck": "land_raw", "grundstuecksflaeche": "land_raw", "grund": "land_raw", "land": "land_raw", "wohnflaeche": "living_raw", "living": "living_raw", "nutzflaeche": "usable_raw", "zimmer": "rooms_raw", "rooms": "rooms_raw",
-    "baujahr": "year_raw", "year": "year_raw", "lage": "location_raw", "adresse": "location_raw", "location": "location_raw", "plz": "postcode", "postleitzahl": "postcode", "ort": "town", "stadt": "town", "town": "town", "id": "external_id",
-    "objektnummer": "external_id", "objekt nr": "external_id", "kontakt": "contact_name", "ansprechpartner": "contact_name", "telefon": "contact_detail", "email": "contact_detail", "datum": "source_date_raw", "date": "source_date_raw", "bilder": "images", "images": "images",
+    "url": "url", "link": "url", "quelle url": "url", "titel": "title", "title": "title", "ueberschrift": "title", "beschreibung": "description", "description": "description",
+    "preis": "price_raw", "price": "price_raw", "kaufpreis": "price_raw", "verkaufspreis": "price_raw",
+    "grundstueck": "land_raw", "grundstuecksflaeche": "land_raw", "grundstuecksgroesse": "land_raw", "grundstueck qm": "land_raw", "grund": "land_raw", "land": "land_raw",
+    "wohnflaeche": "living_raw", "wohnflaeche qm": "living_raw", "living": "living_raw", "living area": "living_raw", "nutzflaeche": "usable_raw", "usable": "usable_raw", "usable area": "usable_raw",
+    "zimmer": "rooms_raw", "rooms": "rooms_raw", "baujahr": "year_raw", "year": "year_raw", "year built": "year_raw",
+    "lage": "location_raw", "adresse": "location_raw", "address": "location_raw", "location": "location_raw", "strasse": "location_raw", "street": "location_raw",
+    "plz": "postcode", "postleitzahl": "postcode", "postcode": "postcode", "zip": "postcode", "postal code": "postcode", "ort": "town", "stadt": "town", "town": "town", "city": "town",
+    "id": "external_id", "externe id": "external_id", "external id": "external_id", "objektnummer": "external_id", "objekt nr": "external_id",
+    "kontakt": "contact_name", "contact": "contact_name", "kontaktname": "contact_name", "ansprechpartner": "contact_name", "telefon": "contact_detail", "email": "contact_detail",
+    "datum": "source_date_raw", "date": "source_date_raw", "bilder": "images", "images": "images", "image urls": "images", "fotos": "images",
 }
 
 
