@@ -187,9 +187,15 @@ def degraded_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("final_score").desc_nulls_last(), F.col("first_seen").desc_nulls_last(), F.col("property_id").asc())
 
 
+def source_places(rows: DataFrame) -> DataFrame:
+    """Add ``place``: where a dossier lists a source among its property's (best first, then primary, then the smaller id)."""
+    w = Window.partitionBy("property_id").orderBy(F.col("is_best").desc(), (F.col("role") == "primary").desc(), F.col("source_id").asc())
+    return rows.withColumn("place", F.row_number().over(w))
+
+
 def source_order(rows: DataFrame) -> DataFrame:
     """A property's sources as a dossier lists them."""
-    return rows.orderBy("property_id", F.col("is_best").desc(), (F.col("role") == "primary").desc(), F.col("source_id").asc())
+    return source_places(rows).orderBy("property_id", "place").drop("place")
 
 
 def newest(rows: DataFrame, by: str, n: int = 30) -> DataFrame:

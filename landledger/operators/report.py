@@ -147,3 +147,8 @@ def cache_hits(keys: DataFrame, cache: DataFrame, now: Column, days: dict[str, i
     ttl = F.element_at(F.create_map(*[F.lit(x) for kv in days.items() for x in kv]), F.col("kind"))
     fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= ttl * F.lit(86_400_000_000)
     return keys.join(latest_wins(cache, ["kind", "key"], "ts").filter(fresh), ["kind", "key"], "left")
+
+
+def of_sources(props: DataFrame, source_rows: DataFrame, source_ids: list[int]) -> DataFrame:
+    """Properties that one of these sources brought (a paste, say)."""
+    return props.join(source_rows.filter(F.col("source_id").isin(source_ids)), "property_id", "left_semi")

@@ -236,8 +236,8 @@ def digest_entries(spark, d):
 @query("SELECT p_partkey AS property_id FROM part WHERE p_partkey IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 9 = 4)")
 def pasted_properties(spark, d):
     """Properties that one source's paste brought."""
-    pasted = roles.table(spark, d, "lineitem").filter("l_suppkey % 9 = 4").select(F.col("l_partkey").alias("property_id"))
-    return roles.properties(spark, d).select("property_id").join(pasted, "property_id", "left_semi")
+    pasted = roles.table(spark, d, "lineitem").select(F.col("l_partkey").alias("property_id"), (F.col("l_suppkey") % 9).alias("source_id"))
+    return report.of_sources(roles.properties(spark, d), pasted, [4]).select("property_id")
 
 
 _EDGES = "e AS (SELECT p_partkey AS u, p_partkey + 3 AS v FROM part WHERE p_partkey % 6 = 1 AND p_partkey + 3 IN (SELECT p_partkey FROM part))"
@@ -303,19 +303,19 @@ def reader_formats(spark, d):
 
 @query("SELECT a.l_partkey AS a, b.l_partkey AS b FROM (SELECT l_partkey, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) a JOIN (SELECT l_partkey, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) b ON b.l_partkey = a.l_partkey + 1 WHERE list_has_any(a.s, b.s)")
 def shared_sources(spark, d):
-    """Neighbouring properties that have a source in common."""
-    s = roles.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg(F.collect_set("l_suppkey").alias("s"))
-    return s.alias("a").join(s.alias("b"), F.col("b.p") == F.col("a.p") + 1).filter(F.arrays_overlap("a.s", "b.s")).select(F.col("a.p").alias("a"), F.col("b.p").alias("b"))
+    """Neighbouring properties that a source in common proves to be one."""
+    li = roles.table(spark, d, "lineitem")
+    rows = li.select(F.col("l_partkey").alias("property_id"), F.lit("s").alias("source_key"), F.col("l_suppkey").cast("string").alias("external_id"), F.lit(None).cast("string").alias("url"))
+    f = resolve.property_facts(rows.select("property_id").distinct(), rows)
+    a, b = f.select(F.struct("*").alias("a")), f.select(F.struct("*").alias("b"))
+    judged = resolve.evidence(a.join(b, F.col("b.id") == F.col("a.id") + 1), similarity=False)
+    return judged.filter(F.col("is_duplicate") & (F.col("confidence") == resolve.SURE)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @query(_with(roles.PROPERTY_SOURCE_CTE, roles.SOURCE_CTE) + "SELECT property_id, source_id, CAST(row_number() OVER (PARTITION BY property_id ORDER BY is_best DESC, role = 'primary' DESC, source_id) AS INT) AS place FROM property_source JOIN source USING (source_id)")
 def source_listing(spark, d):
     """Sources of each property in the order a dossier lists them."""
-    rows = digest.source_order(roles.property_sources(spark, d).join(roles.sources(spark, d), "source_id"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("property_id").orderBy(F.col("is_best").desc(), (F.col("role") == "primary").desc(), "source_id")
-    return rows.select("property_id", "source_id", F.row_number().over(w).alias("place"))
+    return digest.source_places(roles.property_sources(spark, d).join(roles.sources(spark, d), "source_id")).select("property_id", "source_id", "place")
 
 
 @query("SELECT o_orderkey AS run_id, o_orderdate AS finished_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions.towns import TOWNS
 from ..operators import cost, score
 from ..search_profile import BUILT_IN, SHIPPED
 from .queries import TERMS
@@ -192,8 +193,6 @@ def _by_position(values, key: str = "o_orderkey") -> str:
 
 
 
-PLACE_ANSWERS = ((None, "83620", "Feldkirchen-Westerham", None), (None, None, "Vogtareuth", "Rosenheim"), (None, None, "Bad Aibling", None), (None, None, "Rosenheim", "Rosenheim"), ("Musterstraße 12", "83024", "Rosenheim", None), (None, None, None, None))
-TOWN_ANSWERS = (("Bad Aibling", "83043"), ("Bad Aibling", "83043"), (None, None), ("Rosenheim", "83022"), ("Vogtareuth", "83569"))
 TAG_ANSWERS = (
     ("stadel,stall", "alleinlage", "hofstelle,stadel", False, False, False, "hofstelle"), ("", "ortsrand,teilbar", "", False, False, False, "bauernhof"), ("", "", "", True, False, False, None), ("", "", "", False, True, False, None),
     ("scheune,tenne", "bebauungsplan", "", False, False, False, None), ("", "", "", False, False, True, None), ("", "", "einoede", False, False, False, "einoede"), ("", "", "", False, False, False, None), ("", "", "", False, False, False, None), ("", "", "", False, False, False, None),
@@ -227,7 +226,7 @@ ORACLES: dict[str, str] = {
     "unscored_anti": _scored(SHIPPED) + "SELECT p_partkey AS property_id FROM part WHERE NOT EXISTS (SELECT 1 FROM scored WHERE property_id = p_partkey AND final_score >= 60)",
     "set_difference": _with(PROPERTY_SOURCE_CTE) + "SELECT property_id, source_id FROM property_source WHERE visible EXCEPT ALL SELECT property_id, source_id FROM property_source WHERE is_best",
     "blocking_union": _BLOCKS + "SELECT CAST(pass AS INT) AS pass, count(*) AS pairs, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b FROM blocks GROUP BY 1",
-    "fingerprint_blocks": _BLOCKS + "SELECT count(*) AS n, min(property_id) AS first_id FROM f GROUP BY fp",
+    "fingerprint_blocks": _BLOCKS + "SELECT sha256(fp) AS fingerprint, count(*) AS n, min(property_id) AS first_id FROM f GROUP BY 1",
     "pair_evidence": _PAIR,
     "merge_chain": "SELECT p_partkey AS property_id, CASE WHEN p_partkey = 0 THEN -1 ELSE p_partkey - ((p_partkey - 1) % 8) END AS survivor_id FROM part WHERE p_partkey % 8 <> 1",
     "phash_near": "WITH b0 AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS v FROM embeddings), b AS (SELECT * FROM b0 UNION ALL SELECT vec_id + 10000000, list_transform(range(1, 65), lambda i: CASE WHEN i % 8 = 1 AND i <= 1 + 8 * (vec_id % 8) THEN 1 - v[i] ELSE v[i] END) FROM b0), p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN x.v[i] <> y.v[i] THEN 1 ELSE 0 END)) AS INT) AS bits FROM b x JOIN b y ON x.vec_id < y.vec_id) SELECT a, b, bits FROM p WHERE bits <= 14",
@@ -254,7 +253,7 @@ ORACLES: dict[str, str] = {
     "timeline_islands": "WITH a AS (SELECT *, CASE WHEN role = 'assistant' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN 0 ELSE 1 END AS new FROM conversations), b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM a) SELECT conv_id AS property_id, CAST(island AS BIGINT) AS island, role AS kind, min(turn) AS first_ts, max(turn) AS last_ts, count(*) AS n FROM b GROUP BY 1, 2, 3",
     "sparkline": "WITH a AS (SELECT user_id, event_id, value, count(*) OVER p AS n, min(value) OVER p AS lo, max(value) OVER p AS hi, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, arg_min(value, event_id) OVER p AS f, arg_max(value, event_id) OVER p AS l FROM events WINDOW p AS (PARTITION BY user_id)) SELECT user_id AS property_id, event_id AS seq, round(CASE WHEN n > 1 THEN (rn - 1) * 120.0::DOUBLE / (n - 1) ELSE 60.0 END, 3) AS x, round(CASE WHEN hi > lo THEN 28.0::DOUBLE - (value - lo) / (hi - lo) * 28.0::DOUBLE ELSE 14.0 END, 3) AS y, CASE WHEN l > f THEN 'up' WHEN l < f THEN 'down' ELSE 'flat' END AS trend FROM a",
     "stale_clock": _with(PROPERTY_CTE, PROPERTY_SOURCE_CTE) + f"SELECT p.property_id, listing_status, 'stale' AS new_status FROM property p LEFT JOIN (SELECT property_id, bool_or(source_id NOT BETWEEN 0 AND 59) AS reports FROM property_source GROUP BY 1) r USING (property_id) WHERE listing_status IN ('active', 'discovered', 'verified', 'price_changed') AND epoch_us({NOW}) - epoch_us(last_seen) > CASE WHEN coalesce(reports, FALSE) THEN 45 ELSE 180 END * 86400000000",
-    "yield_tumbling": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "yield_tumbling": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     "source_row_sync": _with(SIGHTING_CTE) + "SELECT property_id, source_id, url, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(visible, seq) AS visible, arg_max(contact_kind, seq) FILTER (contact_kind IS NOT NULL) AS contact_kind FROM sighting GROUP BY 1, 2, 3",
     "categorise": _with(SIGHTING_CTE, _KINDS, PROPERTY_CTE) + f", j AS (SELECT property_id, bool_or(change_kind = 'reactivated') AS r, bool_or(change_kind = 'price_change') AS p FROM kinds WHERE ts >= {NOW} - INTERVAL 300 DAY GROUP BY 1) SELECT property_id, CASE WHEN r THEN 'reactivated' WHEN first_seen >= {NOW} - INTERVAL 300 DAY THEN 'new' WHEN p THEN 'price_change' ELSE 'known' END AS category FROM property LEFT JOIN j USING (property_id)",
     "cache_lookup": "WITH c AS (SELECT event_type AS kind, user_id AS key, value, TIMESTAMP '2024-01-01' + to_seconds(event_id) AS ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1) SELECT kind, count(*) AS n, count(CASE WHEN epoch_us(TIMESTAMP '2024-02-15') - epoch_us(ts) <= CASE kind WHEN 'click' THEN 45 WHEN 'view' THEN 40 WHEN 'purchase' THEN 60 END * 86400000000 THEN value END) AS fresh FROM c GROUP BY 1",
@@ -262,8 +261,10 @@ ORACLES: dict[str, str] = {
     "keyword_hits": "WITH h AS (SELECT doc_id, term, text, strpos(lower(text), term) AS p FROM documents, (VALUES ('license'), ('gpl')) t(term)) SELECT 'u#page=' || doc_id AS url, doc_id AS page, term, substr(text, greatest(1, p - 80), least(p, 81) - 1 + length(term) + 80) AS snippet FROM h WHERE p > 0",
     "marked_list": _scored(SHIPPED) + "SELECT property_id, final_score, rejected FROM scored WHERE property_id % 31 = 0",
     "dossier_facts": _with(PROPERTY_CTE) + "SELECT property_id, 'town' AS field, town AS value FROM property UNION ALL SELECT property_id, 'price_type', price_type FROM property UNION ALL SELECT property_id, 'year_built', CAST(year_built AS VARCHAR) FROM property",
-    "parse_places": f"WITH a(k, street, postcode, town, district) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(PLACE_ANSWERS))}) SELECT street, postcode, town, district, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(PLACE_ANSWERS)} GROUP BY 1, 2, 3, 4",
-    "town_lookup": f"WITH a(k, name, postcode) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TOWN_ANSWERS))}) SELECT name, postcode, count(*) AS n FROM orders JOIN a ON k = o_orderkey % {len(TOWN_ANSWERS)} GROUP BY 1, 2",
+    "parse_places": "WITH c AS (SELECT c_custkey, c_custkey % 6 AS form, 'Bad ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS t, CAST(10000 + c_custkey * 7 % 80000 AS VARCHAR) AS code FROM customer) "
+    "SELECT c_custkey, CASE WHEN form = 0 THEN 'Hauptstr. ' || (c_custkey % 200 + 1) END AS street, CASE WHEN form IN (0, 1, 4) THEN code END AS postcode, CASE WHEN form < 5 THEN t END AS town, CASE form WHEN 1 THEN 'Rosenheim' WHEN 4 THEN t END AS district FROM c",
+    "town_lookup": f"WITH t(i, name, postcode) AS (VALUES {_literal_table((i, n, p) for i, (n, p, *_) in enumerate(TOWNS))}), f AS (SELECT postcode, arg_min(name, i) AS name FROM t GROUP BY 1) "
+    f"SELECT o_orderkey, CASE WHEN o_orderkey // {len(TOWNS)} % 3 = 2 THEN f.name ELSE t.name END AS name, t.postcode FROM orders JOIN t ON i = o_orderkey % {len(TOWNS)} JOIN f USING (postcode)",
     "listing_tags": f"WITH a(k, outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type) AS (VALUES {_literal_table((i, *p) for i, p in enumerate(TAG_ANSWERS))}) SELECT outbuildings, building_features, special_features, is_monument, is_private_seller, is_off_market_signal, property_type, count(*) AS n FROM part JOIN a ON k = p_partkey % 10 GROUP BY ALL",
     "best_urls": _with(SOURCE_CTE, PROPERTY_SOURCE_CTE) + "SELECT property_id, 'https://x/' || source_id AS url FROM property_source JOIN source USING (source_id) WHERE source_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY is_best DESC, role <> 'discovery' DESC, visible DESC, reliability DESC, source_id) = 1",
     "review_states": _with(PROPERTY_CTE) + f"SELECT property_id, CASE WHEN property_id % 3 = 0 AND (property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} THEN 'TRIAGE_SAYS_RENTAL' WHEN property_id % 3 = 1 AND (property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} AND sheds = '' THEN 'TRIAGE_SAYS_FLAT' END AS triage_reason, CASE WHEN property_id % 3 < 2 AND NOT ((property_id % 100) / 100.0 >= {SHIPPED.gates.triage_probability} AND (property_id % 3 = 0 OR sheds = '')) THEN 'TRIAGE_DOUBT' ELSE '' END AS flags FROM property",

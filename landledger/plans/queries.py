@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import dates, geo, german_format, listings, numbers, text, towns, urls
 from ..operators import cost, lifecycle, report, resolve, score, triage
 from ..search_profile import BUILT_IN, SHIPPED
@@ -94,7 +95,7 @@ def best_source(spark, d):
 
 @query
 def latest_observation(spark, d):
-    return roles.sightings(spark, d).groupBy("property_id").agg(F.max("seq").alias("s")).select("property_id", F.col("s.ts").alias("ts"), F.col("s.l_orderkey").alias("l_orderkey"))
+    return report.latest_wins(roles.sightings(spark, d), ["property_id"], "seq").select("property_id", "ts", "l_orderkey")
 
 
 @query
@@ -151,8 +152,10 @@ def visible_semi(spark, d):
 
 @query
 def unscored_anti(spark, d):
-    have = _scored(spark, d).filter("final_score >= 60").select("property_id")
-    return roles.properties(spark, d).select("property_id").join(have, "property_id", "left_anti")
+    """What is dirty because no score is kept: those of at least 60 are."""
+    p = roles.properties(spark, d).withColumn("updated_at", F.col("first_seen"))
+    kept = _scored(spark, d).filter("final_score >= 60").select("property_id", "profile_hash", F.lit("2100-01-01").cast("timestamp").alias("updated_at"))
+    return score.dirty(p, kept, p, SHIPPED.profile_hash).select("property_id")
 
 
 @query
@@ -172,7 +175,7 @@ def blocking_union(spark, d):
 
 @query
 def fingerprint_blocks(spark, d):
-    return _facts(spark, d).select("id", resolve.fingerprint().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).drop("f")
+    return _facts(spark, d).select("id", resolve.fingerprint().alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def _sides(pairs, f):
@@ -385,9 +388,8 @@ def stale_clock(spark, d):
 
 @query
 def yield_tumbling(spark, d):
-    e = roles.table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    out = e.groupBy(F.window("t", "7 days", startTime="4 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.to_date("w.start").alias("week_start"), "event_type", "n")
+    out = streaming.windowed_yield(roles.table(spark, d, "events"), "ts", "event_type", "value", start="4 days")
+    return out.select(F.to_date("window_start").alias("week_start"), "event_type", "n", "total")
 
 
 @query
@@ -455,23 +457,26 @@ def map_split(spark, d):
     return a.union(off.agg(F.lit(None).cast("boolean").alias("precise"), F.count(F.lit(1)).alias("n")))
 
 
-PLACES = ("83620 Feldkirchen-Westerham", "Vogtareuth (Landkreis Rosenheim)", "Sacherl bei Bad Aibling", "Rosenheim (Kreis), Bayern", "Musterstraße 12, 83024 Rosenheim", "")
-
-
 @query
 def parse_places(spark, d):
-    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, PLACES)), (F.col("o_orderkey") % len(PLACES) + 1).cast("int")).alias("raw"))
-    p = listings.parse_location(F.col("raw"))
-    return o.select(p["street"].alias("street"), p["postcode"].alias("postcode"), p["town"].alias("town"), p["district"].alias("district")).groupBy("street", "postcode", "town", "district").agg(F.count(F.lit(1)).alias("n"))
-
-
-ADDRESSES = ("Bad Aibling", "Hauptstr. 5, 83043 Bad Aibling", "Fuerstenfeldbruck", "bei 83022", "Vogtareuth bei Rosenheim")
+    """A place line for every customer, in six layouts."""
+    k = F.col("c_custkey")
+    town, code = F.concat(F.lit("Bad "), F.initcap("c_mktsegment")), (10000 + k * 7 % 80000).cast("string")
+    street = F.concat(F.lit("Hauptstr. "), (k % 200 + 1).cast("string"))
+    lines = (F.concat(street, F.lit(", "), code, F.lit(" "), town), F.concat(code, F.lit(" "), town, F.lit(" (Landkreis Rosenheim)")), town, F.concat(F.lit("nahe bei "), town), F.concat(code, F.lit(" "), town, F.lit(" (Kreis)")), F.lit(" "))
+    rows = roles.table(spark, d, "customer").select(k, F.element_at(F.array(*lines), (k % len(lines) + 1).cast("int")).alias("raw"))
+    place = listings.parse_location(F.col("raw"))
+    return rows.select(k, *[place[c].alias(c) for c in ("street", "postcode", "town", "district")])
 
 
 @query
 def town_lookup(spark, d):
-    o = roles.table(spark, d, "orders").select(F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("o_orderkey") % len(ADDRESSES) + 1).cast("int")).alias("raw"))
-    return towns.lookup_towns(o, "raw").select(F.col("town.name").alias("name"), F.col("town.postcode").alias("postcode")).groupBy("name", "postcode").agg(F.count(F.lit(1)).alias("n"))
+    """A text about some town for every order: in a sentence, alone, or by its postcode."""
+    k = F.col("o_orderkey")
+    named = F.element_at(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("postcode")) for n, p, *_ in towns.TOWNS]), (k % len(towns.TOWNS) + 1).cast("int"))
+    texts = (F.concat(F.lit("Hof in "), named["name"], F.lit(" gelegen")), F.upper(named["name"]), F.concat(F.lit("PLZ "), named["postcode"], F.lit(" Umland")))
+    rows = roles.table(spark, d, "orders").select(k, F.element_at(F.array(*texts), (F.floor(k / len(towns.TOWNS)) % len(texts) + 1).cast("int")).alias("raw"))
+    return towns.lookup_towns(rows, "raw").select(k, F.col("town.name").alias("name"), F.col("town.postcode").alias("postcode"))
 
 
 @query

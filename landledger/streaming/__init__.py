@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed_yield(events: DataFrame, ts: str, key: str, value: str, window: str = "7 days", late: str = "1 day") -> DataFrame:
-    """Sightings and value per key and tumbling window; rows later than the watermark are dropped by the engine."""
+def windowed_yield(events: DataFrame, ts: str, key: str, value: str, window: str = "7 days", late: str = "1 day", start: str | None = None) -> DataFrame:
+    """Sightings and value per key and tumbling window (from ``start`` behind the epoch on; "4 days" for weeks from Monday); rows later than the watermark are dropped by the engine."""
     e = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    out = e.groupBy(F.window("_ts", window).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    out = e.groupBy(F.window("_ts", window, startTime=start).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 

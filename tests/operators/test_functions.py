@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from landledger.functions import dates, geo, german_format, numbers, text, urls
+from landledger.functions import dates, geo, german_format, listings, numbers, text, towns, urls
 
 
 def each(spark, values, expr, kind="string"):
@@ -49,3 +49,18 @@ def test_geo_and_formats(spark):
     assert each(spark, [1234567.5, None], german_format.euro, "double") == ["1.234.568 €", "k. A."]
     assert each(spark, [0.0, 1.5, 12.0, 100.0, 800.0], german_format.relative_days, "double") == ["heute", "gestern", "vor 12 Tagen", "vor 3 Monaten", "vor 2 Jahren"]
     assert each(spark, [date(2026, 1, 1), date(2025, 12, 29)], german_format.week_label, "date") == ["KW 01 / 2026", "KW 01 / 2026"]
+
+
+def test_places_of_odd_layouts(spark):
+    lines = ("83620 Feldkirchen-Westerham", "Vogtareuth (Landkreis Rosenheim)", "Sacherl bei Bad Aibling", "Rosenheim (Kreis), Bayern", "Musterstraße 12, 83024 Rosenheim", "")
+    want = ((None, "83620", "Feldkirchen-Westerham", None), (None, None, "Vogtareuth", "Rosenheim"), (None, None, "Bad Aibling", None), (None, None, "Rosenheim", "Rosenheim"), ("Musterstraße 12", "83024", "Rosenheim", None), (None, None, None, None))
+    place = listings.parse_location(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select(*[place[c].alias(c) for c in ("street", "postcode", "town", "district")]).collect()
+    assert [tuple(r) for r in got] == list(want)
+
+
+def test_towns_in_texts(spark):
+    texts = ("Bad Aibling", "Hauptstr. 5, 83043 Bad Aibling", "Fuerstenfeldbruck", "bei 83022", "Vogtareuth bei Rosenheim")
+    want = (("Bad Aibling", "83043"), ("Bad Aibling", "83043"), (None, None), ("Rosenheim", "83022"), ("Vogtareuth", "83569"))
+    got = towns.lookup_towns(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select("town.name", "town.postcode").collect()
+    assert [tuple(r) for r in got] == list(want)
