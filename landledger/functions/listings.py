@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text, slugify
+from .text import bound, normalize_text, slugify
 
 # The vocabulary and the patterns of signals (on normalised text).
 BUILDINGS = ("Stadel", "Stadl", "Scheune", "Tenne", "Stall", "Wirtschaftsgebäude", "Remise", "Schupfen", "Schuppen", "Heuboden", "Kuhstall", "Pferdestall", "Maschinenhalle", "Nebengebäude")
@@ -87,21 +87,38 @@ def _some(c: Column) -> Column:
 
 
 def parse_location(text: Column) -> Column:
-    """street, postcode, town and district of a place line; what can't be told stays null."""
-    raw = F.trim(text)
-    named = r"(?i)\((?:landkreis|kreis|lkr\.?)\s+([^)]+)\)"
-    bare = r"(?i)\((?:landkreis|kreis|lkr\.?)\)"
-    district = _some(F.regexp_extract(raw, named, 1))
-    rest = F.when(district.isNotNull(), F.concat(F.regexp_extract(raw, r"(?is)^(.*?)\((?:landkreis|kreis|lkr\.?)\s+[^)]+\)", 1), F.regexp_extract(raw, r"(?is)^.*?\((?:landkreis|kreis|lkr\.?)\s+[^)]+\)(.*)$", 1))).otherwise(F.regexp_replace(raw, bare, ""))
-    code = _some(F.regexp_extract(rest, r"\b(\d{5})\b", 1))
-    rest = F.when(code.isNotNull(), F.concat(F.regexp_extract(rest, r"(?s)^(.*?)\b\d{5}\b", 1), F.regexp_extract(rest, r"(?s)^.*?\b\d{5}\b(.*)$", 1))).otherwise(rest)
-    head = F.regexp_extract(rest, r"(?s)^([^,]*),", 1)
-    is_street = F.contains(rest, F.lit(",")) & head.rlike(r"\d") & head.rlike("[A-Za-zÄÖÜäöüß]{3,}")
-    tail = F.when(is_street, F.regexp_extract(rest, r"(?s)^[^,]*,(.*)$", 1)).otherwise(rest)
-    near = F.regexp_extract(tail, r"(?i)\bbei\s+(.+)$", 1)
-    town = _some(F.trim(F.regexp_extract(F.when(near != "", near).otherwise(tail), "^[^,]*", 0)))
-    county = F.coalesce(district, F.when(raw.rlike(bare), town))
-    return F.when(F.coalesce(raw, F.lit("")) != "", F.struct(F.when(is_street, _some(head)).alias("street"), code.alias("postcode"), town.alias("town"), county.alias("district")))
+    """street, postcode, town and district of a place line; what can't be told stays null.
+
+    Each step is bound before the next reads it, so that the expression doesn't grow with every use.
+    """
+    county = r"\((?:landkreis|kreis|lkr\.?)"
+
+    def parted(raw: Column) -> Column:
+        district = _some(F.regexp_extract(raw, rf"(?i){county}\s+([^)]+)\)", 1))
+        before, behind = (F.regexp_extract(raw, rf"(?is)^{x}$", 1) for x in (rf"(.*?){county}\s+[^)]+\).*", rf".*?{county}\s+[^)]+\)(.*)"))
+        rest = F.when(district.isNotNull(), F.concat(before, behind)).otherwise(F.regexp_replace(raw, rf"(?i){county}\)", ""))
+        return bound(F.struct(raw.alias("raw"), district.alias("district"), rest.alias("rest")), coded)
+
+    def coded(x: Column) -> Column:
+        rest = x["rest"]
+        code = _some(F.regexp_extract(rest, r"\b(\d{5})\b", 1))
+        left = F.when(code.isNotNull(), F.concat(F.regexp_extract(rest, r"(?s)^(.*?)\b\d{5}\b", 1), F.regexp_extract(rest, r"(?s)^.*?\b\d{5}\b(.*)$", 1))).otherwise(rest)
+        return bound(F.struct(x["raw"].alias("raw"), x["district"].alias("district"), code.alias("postcode"), left.alias("rest")), named)
+
+    def named(x: Column) -> Column:
+        head = F.regexp_extract(x["rest"], r"(?s)^([^,]*),", 1)
+        is_street = F.contains(x["rest"], F.lit(",")) & head.rlike(r"\d") & head.rlike("[A-Za-zÄÖÜäöüß]{3,}")
+        tail = F.when(is_street, F.regexp_extract(x["rest"], r"(?s)^[^,]*,(.*)$", 1)).otherwise(x["rest"])
+        near = F.regexp_extract(tail, r"(?i)\bbei\s+(.+)$", 1)
+        town = _some(F.trim(F.regexp_extract(F.when(near != "", near).otherwise(tail), "^[^,]*", 0)))
+        street = F.when(is_street, _some(head))
+        return bound(F.struct(town.alias("town"), street.alias("street"), x["raw"].alias("raw"), x["district"].alias("district"), x["postcode"].alias("postcode")), whole)
+
+    def whole(x: Column) -> Column:
+        district = F.coalesce(x["district"], F.when(x["raw"].rlike(rf"(?i){county}\)"), x["town"]))
+        return F.struct(x["street"].alias("street"), x["postcode"].alias("postcode"), x["town"].alias("town"), district.alias("district"))
+
+    return bound(F.trim(text), lambda raw: F.when(F.coalesce(raw, F.lit("")) != "", parted(raw)))
 
 
 # A postcode with a town behind it, and the county that may follow.
@@ -111,11 +128,14 @@ COUNTY_BEHIND = r"(\s*[,(]?\s*(?:Landkreis|Lkr\.?|Kreis)[ \t]+[A-ZÄÖÜ][a-zä
 
 def find_location(text: Column) -> Column:
     """The first postcode and town in running text that can be one, with the county that may follow, as a place line."""
+    def line(hit: Column) -> Column:
+        place = F.regexp_replace(F.regexp_extract(hit, PLACE_IN_TEXT, 0), r"[ \t]+", " ")
+        county = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(hit, PLACE_IN_TEXT + COUNTY_BEHIND, 3), r"[,()]", " "), r"\s+", " "))
+        return F.when(county != "", F.concat(place, F.lit(", "), county)).otherwise(place)
+
     hits = F.regexp_extract_all(text, F.lit(PLACE_IN_TEXT + COUNTY_BEHIND), F.lit(0))
-    first = F.get(F.filter(hits, lambda h: ~F.lower(F.regexp_extract(h, r"^\d{5}[ \t]+([^\s-]+)", 1)).isin(*NO_TOWNS)), 0)
-    place = F.regexp_replace(F.regexp_extract(first, PLACE_IN_TEXT, 0), r"[ \t]+", " ")
-    county = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(first, PLACE_IN_TEXT + COUNTY_BEHIND, 3), r"[,()]", " "), r"\s+", " "))
-    return F.when(county != "", F.concat(place, F.lit(", "), county)).otherwise(place)
+    real = F.filter(hits, lambda h: ~F.lower(F.regexp_extract(h, r"^\d{5}[ \t]+([^\s-]+)", 1)).isin(*NO_TOWNS))
+    return bound(F.get(real, 0), line)
 
 
 def slug(c: Column) -> Column:

@@ -100,3 +100,18 @@ def test_places(spark):
     names = ["Vogtareuth", "Bad Aibling", "Neumarkt-Sankt Veit", "Rott am Inn", "Merkliste", "3 Zimmer", "kaufen", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(portals.reads_like_a_place(df["n"])).collect()] == [True] * 4 + [False] * 4
+
+
+def test_table_functions(spark):
+    from landledger.functions import table_functions
+
+    assert table_functions.register(spark) == ["ll_page", "ll_court", "ll_labelled"]
+    court = "<table><tr><th>Aktenzeichen</th><th>Objekt</th><th>Verkehrswert</th></tr><tr><td>K 1/26</td><td><a href='/x'>Hof</a></td><td>90.000 €</td></tr><tr><td></td></tr></table>"
+    rows = [(1, "https://a.de/1", "<title>Hof</title><p>Kaufpreis: 450.000 €</p>"), (2, "https://a.de/2", None), (3, "https://a.de/3", "".join(f'<a href="/immobilien/{k}">x</a>' for k in range(12))), (4, "https://b.de", court)]
+    spark.createDataFrame(rows, "id int, url string, html string").createOrReplaceTempView("fetched")
+    got = {r["id"]: r for r in spark.sql("SELECT p.id, l.* FROM fetched p, LATERAL ll_page(p.url, p.html) l").collect()}
+    assert set(got) == {1, 3, 4} and got[1]["fields"] == {"price_raw": "450.000 €"} and got[3]["page_kind"] == "index" and all(r["error"] is None for r in got.values())
+    lifted = {r["id"]: r for r in files.lift_pages(spark.table("fetched"), id_col="id").collect()}
+    assert all(got[k][c] == lifted[k][c] for k in got for c in ("title", "text", "n_links", "siblings", "images", "fields", "page_kind"))
+    assert [tuple(r) for r in spark.sql("SELECT l.url, l.external_id, l.price_raw FROM fetched p, LATERAL ll_court(p.url, p.html) l").collect()] == [("https://b.de/x", "K 1/26", "90.000 €")]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM ll_labelled('Wohnfläche: 120 m²\nnichts')").collect()] == [("living_raw", "120 m²")]
