@@ -152,3 +152,17 @@ def cache_hits(keys: DataFrame, cache: DataFrame, now: Column, days: dict[str, i
 def of_sources(props: DataFrame, source_rows: DataFrame, source_ids: list[int]) -> DataFrame:
     """Properties that one of these sources brought (a paste, say)."""
     return props.join(source_rows.filter(F.col("source_id").isin(source_ids)), "property_id", "left_semi")
+
+
+def dossier(facts: DataFrame, costs: DataFrame, scores: DataFrame, fields: list[str]) -> DataFrame:
+    """section, field and value of all that is kept of a property: its facts, its costs and its scores, in one table of text.
+
+    ``costs`` and ``scores``: rows as ``ScoreStore`` keeps them.  What isn't known has no row.
+    """
+    def section(rows: DataFrame, name: str) -> DataFrame:
+        own = [c for c in rows.columns if c not in ("property_id", "updated_at", "profile_hash")] if name != "facts" else fields
+        text = {c: F.array_join(c, ", ") if kind.startswith("array") else F.col(c).cast("string") for c, kind in rows.dtypes}
+        return long_facts(rows.select("property_id", *[text[c].alias(c) for c in own]), own).select("property_id", F.lit(name).alias("section"), "field", "value")
+
+    parts = [section(rows, name) for name, rows in (("facts", facts), ("costs", costs), ("scores", scores))]
+    return parts[0].union(parts[1]).union(parts[2]).filter("value is not null")

@@ -444,6 +444,23 @@ def bulletin_hits(pages: DataFrame, terms: list[str], around: int = 80) -> DataF
     return found.select(F.concat("url", F.lit("#page="), F.col("page").cast("string")).alias("url"), "page", "term", F.expr(f"substring(text, greatest(1, _at - {around}), least(_at, {around + 1}) - 1 + length(term) + {around})").alias("snippet"))
 
 
+# How a bulletin names its issue and day.
+ISSUE, DAY = r"(?i)(KW\s*\d{1,2}(?:\s*/\s*\d{2,4})?)", r"(\d{1,2}\.\d{1,2}\.\d{2,4})"
+
+
+def bulletin_listings(issues: DataFrame, pages: DataFrame, terms: list[str]) -> DataFrame:
+    """Raw listings of a bulletin's hits, one a page and term.
+
+    ``issues``: url, label (the text of its link); ``pages``: url, page, text.  Issue and day come from the label, else from the address; a
+    bulletin piles up and takes nothing back, so its reading enumerates nothing.
+    """
+    said = lambda pattern: F.coalesce(*[F.when(F.regexp_extract(c, pattern, 1) != "", F.regexp_extract(c, pattern, 1)) for c in ("label", "url")])
+    dated = issues.select("url", said(ISSUE).alias("issue"), said(DAY).alias("source_date_raw")).dropDuplicates(["url"])
+    hits = bulletin_hits(pages, terms).withColumn("document_url", F.regexp_extract("url", r"^(.*)#page=[^#]*$", 1))
+    out = hits.join(dated.withColumnRenamed("url", "document_url"), "document_url", "left")
+    return out.select("url", F.concat_ws(" – ", "term", F.coalesce("issue", "source_date_raw")).alias("title"), F.col("snippet").alias("description"), "source_date_raw", "document_url", "page", "term", "issue")
+
+
 def source_registry(config: DataFrame, state: DataFrame) -> DataFrame:
     """Upsert by key: configuration overwrites, run health stays, what the configuration lacks is kept."""
     health = [c for c in state.columns if c not in config.columns]

@@ -106,20 +106,20 @@ def _paste(spark: SparkSession, options: dict) -> Reading:
 MOST_PAGES, MOST_SITEMAPS, SITEMAP_DEPTH = 200, 50, 3
 
 
-def read_sitemaps(spark: SparkSession, root: str, path_of: dict[str, str], pattern: str | None = None, max_pages: int = MOST_PAGES) -> Reading:
+def read_sitemaps(spark: SparkSession, root: str, path_of: dict[str, str], pattern: str | None = None, max_pages: int = MOST_PAGES, most_files: int = MOST_SITEMAPS, depth_limit: int = SITEMAP_DEPTH) -> Reading:
     """A sitemap or an index of them (``path_of``: a listed URL to the file that holds it), to a depth and a number of files.
 
     All URLs count as looked at, the pattern and the budget choose what is returned; a file that can't be had, or a budget that ends, leaves it incomplete.
     """
     todo, seen, pages, why = [(root, 0)], set(), None, None
-    while todo and len(seen) <= MOST_SITEMAPS:
+    while todo and len(seen) <= most_files:
         path, depth = todo.pop(0)
         seen.add(path)
         _, all_ = files.read_sitemap(spark, path)
         pages = all_ if pages is None else pages.union(all_)
-        for r in files.sitemap_index(spark, path).limit(MOST_SITEMAPS + 1).collect():
+        for r in files.sitemap_index(spark, path).limit(most_files + 1).collect():
             below = path_of.get(r["url"])
-            if below is None or depth == SITEMAP_DEPTH:
+            if below is None or depth == depth_limit:
                 why = f"not read: {r['url']}"
             elif below not in seen:
                 todo.append((below, depth + 1))

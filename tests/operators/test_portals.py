@@ -115,3 +115,12 @@ def test_table_functions(spark):
     assert all(got[k][c] == lifted[k][c] for k in got for c in ("title", "text", "n_links", "siblings", "images", "fields", "page_kind"))
     assert [tuple(r) for r in spark.sql("SELECT l.url, l.external_id, l.price_raw FROM fetched p, LATERAL ll_court(p.url, p.html) l").collect()] == [("https://b.de/x", "K 1/26", "90.000 €")]
     assert [tuple(r) for r in spark.sql("SELECT * FROM ll_labelled('Wohnfläche: 120 m²\nnichts')").collect()] == [("living_raw", "120 m²")]
+
+
+def test_bulletins_name_issue_and_day(spark):
+    issues = spark.createDataFrame([("https://g.de/a.pdf", "Amtsblatt KW 12 / 2026 vom 20.03.2026"), ("https://g.de/kw7.pdf", "Blatt")], "url string, label string")
+    pages = spark.createDataFrame([("https://g.de/a.pdf", 1, "Hofstelle zu verkaufen"), ("https://g.de/kw7.pdf", 2, "alte Hofstelle"), ("https://g.de/a.pdf", 3, "nichts")], "url string, page int, text string")
+    got = {r["url"]: r for r in files.bulletin_listings(issues, pages, ["hofstelle", "stadel"]).collect()}
+    assert set(got) == {"https://g.de/a.pdf#page=1", "https://g.de/kw7.pdf#page=2"}
+    first = got["https://g.de/a.pdf#page=1"]
+    assert (first["issue"], first["source_date_raw"], first["document_url"]) == ("KW 12 / 2026", "20.03.2026", "https://g.de/a.pdf") and got["https://g.de/kw7.pdf#page=2"]["issue"] == "kw7"
