@@ -156,7 +156,8 @@ class Run:
         gone = gone.select(*[F.col(n) if n in gone.columns else F.lit(None).cast(t).alias(n) for n, t in names.items()])
         # Where the run comes again, the state knows its absences already: they are stated again, so that the journal is whole.
         batch = 2 * self.run_id + 1
-        return self.store.apply(materialise(gone.unionByName(self.store.log(batch_id=batch)).dropDuplicates(["property_id", "source_id"]), "run-gone"), batch)
+        gone = materialise(gone.unionByName(self.store.log(batch_id=batch)).dropDuplicates(["property_id", "source_id"]), "run-gone")
+        return None if gone.isEmpty() else self.store.apply(gone, batch)
 
     def properties(self) -> DataFrame:
         """The snapshot with all columns that scoring reads."""

@@ -35,13 +35,13 @@ def test_two_runs(spark, tmp_path):
     assert one.counters["read"] == {"rows": 11, "listings": 11, "warned": one.counters["read"]["warned"]} and one.counters["known"] == {"rows": 11, "known": 0, "refused": 1}
     assert one.counters["resolve"] == {"rows": 10, "new": 9, "merged": 1}  # the portal's copy of listing 3 is one property with it
     assert [r["observed"] for r in one.digest.towns] == [1, 0] and len(one.digest.entries) > 0
-    # A week later: 0 is gone, 1 is cheaper, 9 is new, and another portal brings 5.
+    # Eight days later: 0 is gone, 1 is cheaper, 9 is new, and another portal brings 5.
     second = {
         "a": reading(spark, tmp_path / "a2.csv", [listing(k, 300_000 + k - (50_000 if k == 1 else 0)) for k in range(1, 10) if k != 8]),
         "b": reading(spark, tmp_path / "b2.csv", [listing(5, 300_005, url="https://b.de/expose/x5")], whole=False),
     }
     for _ in range(2):  # the second run comes again, as after a failure
-        r = run.Run(spark, base, sources, SHIPPED, 2, NOW + timedelta(days=7), 4)
+        r = run.Run(spark, base, sources, SHIPPED, 2, NOW + timedelta(days=8), 4)
         two = r.whole(second)
     assert two.counters["known"] == {"rows": 9, "known": 7, "refused": 0} and two.counters["duplicates"]["duplicates"] == 1
     assert two.counters["resolve"]["new"] == 1
