@@ -10,7 +10,8 @@ Ids equal the library's for the model.  Decoding joins pieces and bytes, turns m
 the space put in front; like the library it can't tell a mark that was in the text from a space.
 
 Odd inputs: a null text encodes as null ids, an empty one as none.  Null ids decode to null.
-Repeated rows and ids are all returned.  Other columns are ignored.
+An empty table gives an empty table.  Repeated rows and ids are all returned.  Other columns are ignored.  Memory: a slice of
+texts, or one longer text, with a window of the longest piece for each text that is being encoded.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@
    hashes of their ids; a held-out part of that sample calibrates a temperature and a bias.
 
 Labels, language, source and id are never inputs of a score.  Odd inputs: null and empty texts get the score
-of the empty pool.  With labels of one class only, or none, every score is 0.5; with so few that no held-out row of each class is left,
+of the empty pool.  An empty table gives an empty table.  Very long texts are slices of their own.  With labels of one class only, or none, every score is 0.5; with so few that no held-out row of each class is left,
 all are learned from and the temperature is ``FEW_HEAT``.  Repeated rows get the same score each.  Other columns are ignored (in the filter kept).  Null ids are never trained on.
 """
 

@@ -7,7 +7,7 @@ maps compose associatively, so a parallel prefix scan gives every chunk its star
 its total.  A map is short: from its first segment boundary on a chunk ends in the same state with
 the same count whatever came before, so only the characters before that boundary stay symbolic.
 
-Odd inputs: a null text counts as empty and has 0 tokens and bytes.  Repeated rows and ids
+Odd inputs: a null text counts as empty and has 0 tokens and bytes.  An empty table gives an empty table.  Repeated rows and ids
 are all returned.  Other columns are ignored.  Memory: a slice of texts (or one long text) and tables of bounded size in each worker,
 also inside one long text without spaces.
 """
