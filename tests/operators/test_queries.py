@@ -23,13 +23,17 @@ def rows(data, names):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+#: Whose answers hang on unknown values that the smallest tables hardly have; these run on the next larger ones.
+ON_NULLS = ("haversine_bands", "pair_evidence", "hot_blocking", "change_kinds", "place_fold")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_equals_duckdb(spark, name):
-    c = duckdb.connect()
+    c, sf = duckdb.connect(), SF.replace("0.001", "0.01") if name in ON_NULLS else SF
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = entry.queries()[name](spark, SF)
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = entry.queries()[name](spark, sf)
     want = c.execute(entry.oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
