@@ -16,7 +16,7 @@ So every two classes that share a key are compared, or proven below the threshol
 
 Odd inputs: a null or word-less text has an empty set and is linked with nothing; fewer words than a shingle make one shingle of
 all of them.  Rows with a null id have no component and are kept.  Repeated ids are judged row by row.  Other columns are
-ignored (in the filter kept).
+ignored (in the filter kept).  An empty table gives an empty table.  Very long texts are shingled whole; a task holds one text's set at a time.
 """
 
 from __future__ import annotations
