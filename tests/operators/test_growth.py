@@ -15,6 +15,11 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_each_different_text_is_read_for_tags_once(spark):
+    # By text before, by tags after.
+    assert optimized(entry.queries()["listing_tags"](spark, SF)).count("Aggregate [") == 2
+
+
 def test_near_hashes_of_wide_reach_are_posted_under_few_keys(spark):
     rows = spark.createDataFrame([("00000000000000ff",), ("0000000000000000",), ("8000000000003fff",)], "phash string")
     got = images.near_hashes(rows, 14)
