@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Name, postcode, latitude, longitude.
 TOWNS = (
     ("Rosenheim", "83022", 47.8561, 12.1289),
@@ -104,19 +106,24 @@ def _folded(c):
     return c
 
 
+def _words(key):
+    return F.concat(F.lit(" "), F.regexp_replace(key, "[^a-z0-9]", " "), F.lit(" "))
+
+
 def lookup_towns(rows: DataFrame, text_col: str, towns: tuple = TOWNS) -> DataFrame:
     """Add ``town`` (struct of name, postcode, lat, lon, or null): the whole text is a name, else the name that stands first as
     whole words (of two at one place the longer), else the first known postcode.
 
     The table is a constant, so the lookup is one projection: no join, no shuffle.
     """
-    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("postcode"), F.lit(la).alias("lat"), F.lit(lo).alias("lon"), _folded(F.lit(n)).alias("key")) for n, p, la, lo in towns])
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("postcode"), F.lit(la).alias("lat"), F.lit(lo).alias("lon"), _folded(F.lit(n)).alias("key"), _words(_folded(F.lit(n))).alias("words")) for n, p, la, lo in towns])
     out = rows.withColumns({"_towns": entries, "_q": _folded(F.col(text_col))})
     spaced = F.concat(F.lit(" "), F.regexp_replace("_q", r"(?U)[^\w]", " "), F.lit(" "))
     out = out.withColumn("_s", spaced)
-    hits = F.expr("filter(transform(_towns, e -> struct(instr(_s, concat(' ', regexp_replace(e.key, '[^a-z0-9]', ' '), ' ')) AS at, -length(e.key) AS n, e AS e)), x -> x.at > 0)")
+    # Patterns of the table's names are part of the constant; a row only searches its text for them.
+    hits = F.expr("transform(filter(_towns, e -> contains(_s, e.words)), e -> struct(instr(_s, e.words) AS at, -length(e.key) AS n, e AS e))")
     exact = F.expr("filter(_towns, e -> e.key = _q)")
     codes = F.expr("filter(transform(regexp_extract_all(_q, '(?<![0-9])([0-9]{5})(?![0-9])', 1), p -> get(filter(_towns, e -> e.postcode = p), 0)), e -> e is not null)")
     found = F.coalesce(F.get(exact, 0), F.get(F.array_sort(hits), 0)["e"], F.get(codes, 0))
-    slim = F.when(found.isNotNull(), F.struct(found["name"].alias("name"), found["postcode"].alias("postcode"), found["lat"].alias("lat"), found["lon"].alias("lon")))
+    slim = bound(found, lambda e: F.when(e.isNotNull(), F.struct(e["name"].alias("name"), e["postcode"].alias("postcode"), e["lat"].alias("lat"), e["lon"].alias("lon"))))
     return out.withColumn("town", slim).drop("_towns", "_q", "_s")

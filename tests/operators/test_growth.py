@@ -26,3 +26,10 @@ def test_near_hashes_of_wide_reach_are_posted_under_few_keys(spark):
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {("0000000000000000", "00000000000000ff", 8), ("00000000000000ff", "8000000000003fff", 7)}
     assert spark.range(1).select(F.size(images.chunk_keys(F.col("id"), 1, 5))).first()[0] == 69
+
+
+def test_patterns_of_town_names_are_constants(spark):
+    rows = spark.createDataFrame([("Hof in Prien am Chiemsee gelegen", "Prien am Chiemsee"), ("bei 84503 links", "Altoetting"), ("ROSENHEIM", "Rosenheim"), ("Ort", None), (None, None)], "raw string, name string")
+    found = towns.lookup_towns(rows, "raw")
+    assert found.filter(~F.col("town.name").eqNullSafe(F.col("name"))).count() == 0
+    assert not re.search(r"regexp_replace\(\(?(namedlambdavariable|lambda) ", optimized(found))
