@@ -33,3 +33,7 @@ def test_patterns_of_town_names_are_constants(spark):
     found = towns.lookup_towns(rows, "raw")
     assert found.filter(~F.col("town.name").eqNullSafe(F.col("name"))).count() == 0
     assert not re.search(r"regexp_replace\(\(?(namedlambdavariable|lambda) ", optimized(found))
+
+
+def test_refined_pairs_are_neither_grouped_nor_shuffled(spark):
+    assert optimized(entry.queries()["hot_blocking"](spark, SF)).startswith("Union")

@@ -124,6 +124,18 @@ def test_refined_keys_lose_no_duplicate(spark):
     assert agree <= set(got) and all(got[p] == 5 for p in set(got) - agree) and duplicates <= set(got) and duplicates and len(got) < len(every) / 8
 
 
+def test_shared_keys_are_counted_from_the_facts_of_a_pair(spark):
+    """Against a join on all keys: source ids, images, places and towns, some of them shared many times."""
+    ids, hashes = F.array(F.concat(F.lit("s"), F.col("id") % 40), F.lit("t"), F.concat(F.lit("u"), F.col("id") % 7)), F.array(F.lpad(F.hex(F.col("id") % 16), 16, "0"))
+    f = facts(spark, town(random.Random(7), 60, 6)).withColumns({"source_ids": F.when(F.col("id") < 30, ids).otherwise(F.array().cast("array<string>")), "phashes": F.when(F.col("id") % 3 == 0, hashes).otherwise(F.array().cast("array<string>"))}).cache()
+    a, b, step = resolve._block_keys(f, False).alias("a"), resolve._block_keys(f, True).alias("b"), 2 / 111
+    apart = F.expr(f"abs(a.lat - b.lat) <= {step} AND abs(a.lon - b.lon) * cos(radians(a.lat)) <= {step}")
+    met = a.join(b, F.expr("a.pass = b.pass AND a.key = b.key AND a.id < b.id") & ((F.col("a.pass") != 5) | apart))
+    want = {tuple(r) for r in met.groupBy("a.id", "b.id").agg(F.min("a.pass"), F.count(F.lit(1))).collect()}
+    got = [tuple(r) for r in blocking.candidate_pairs(f, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {r[2] for r in want} >= {1, 4}
+
+
 def test_copies_are_one_row_in_blocking(spark):
     base = town(random.Random(6), 30, 6)
     made = base + [(100 + k, *base[3][1:]) for k in range(50)]
