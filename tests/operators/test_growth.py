@@ -37,3 +37,8 @@ def test_patterns_of_town_names_are_constants(spark):
 
 def test_refined_pairs_are_neither_grouped_nor_shuffled(spark):
     assert optimized(entry.queries()["hot_blocking"](spark, SF)).startswith("Union")
+
+
+def test_changes_of_a_log_take_one_shuffle_and_two_sorts(spark):
+    plan = entry.queries()["change_kinds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
