@@ -165,3 +165,11 @@ def test_an_unknown_place_is_not_far(spark):
     for r, row in zip(got, made, strict=True):
         assert (r["x"] is None) == (r["y"] is None) == (None in row)
     assert got[0]["x"] == pytest.approx(74.4, abs=0.1) and got[5]["x"] == 0 and got[6]["y"] == pytest.approx(20015.1, abs=0.1)
+
+
+def test_a_batch_carries_neither_the_state_nor_what_the_fold_does_not_read(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(fold_state, "materialise", lambda df, label: written.append(df.columns) or df)
+    rows = spark.createDataFrame([(1, 1, True, True, datetime(2024, 1, 1), 1, 5.0, "h", "u")], "property_id long, source_id long, verifies boolean, visible boolean, ts timestamp, seq long, price double, text_hash string, url string")
+    fold_state.advance(fold_state.advance(None, rows).state, rows.withColumn("seq", F.lit(2)))
+    assert len(written) == 2 and all("url" not in names and "old" not in names for names in written)
