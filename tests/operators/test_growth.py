@@ -42,3 +42,7 @@ def test_refined_pairs_are_neither_grouped_nor_shuffled(spark):
 def test_changes_of_a_log_take_one_shuffle_and_two_sorts(spark):
     plan = entry.queries()["change_kinds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+
+
+def test_texts_are_normalised_once_for_all_terms(spark):
+    assert optimized(entry.queries()["keyword_tags"](spark, SF)).count(r"[^\w\s]") == 1
