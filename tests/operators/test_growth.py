@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from landledger.functions import towns
 from landledger.operators import images
+from landledger.plans import roles
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,10 @@ def test_changes_of_a_log_take_one_shuffle_and_two_sorts(spark):
 
 def test_texts_are_normalised_once_for_all_terms(spark):
     assert optimized(entry.queries()["keyword_tags"](spark, SF)).count(r"[^\w\s]") == 1
+
+
+def test_sources_are_grouped_after_one_shuffle_without_a_sort_of_sightings(spark):
+    plan = entry.queries()["best_source"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+    rows = roles.property_sources(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in rows and rows.count("Exchange") == 1
