@@ -54,3 +54,8 @@ def test_sources_are_grouped_after_one_shuffle_without_a_sort_of_sightings(spark
     assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
     rows = roles.property_sources(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in rows and rows.count("Exchange") == 1
+
+
+def test_what_is_sorted_is_not_worked_out_twice(spark):
+    assert "Window" not in optimized(entry.queries()["change_feed"](spark, SF))
+    assert "LeftSemi" in optimized(entry.queries()["marked_list"](spark, SF))
