@@ -46,9 +46,9 @@ def _plain(term: str) -> str:
 
 
 def _stands(norm: Column, original: Column, term: str) -> Column:
-    """Whole words; a single word of up to three letters must stand capitalised in the original."""
+    """Whole words; a single word of up to three letters must stand capitalised in the original.  Most texts lack most terms, which a plain search tells."""
     p = _plain(term)
-    hit = norm.rlike(rf"(?U)\b\Q{p}\E\b")
+    hit = F.contains(norm, F.lit(p)) & norm.rlike(rf"(?U)\b\Q{p}\E\b")
     if " " not in p and len(p) <= 3:
         hit = hit & original.rlike(rf"(?U)\b{p[0].upper()}(?i:\Q{p[1:]}\E)\b")
     return hit
@@ -56,12 +56,14 @@ def _stands(norm: Column, original: Column, term: str) -> Column:
 
 def tags(norm: Column, original: Column, terms: tuple[str, ...]) -> Column:
     """Sorted slugs of the terms that stand in the text."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(_stands(norm, original, t), F.lit(_plain(t).replace(" ", "_"))) for t in terms]))))
+    # Bound: so many terms in a projection would be more code than the JVM compiles.
+    return bound(norm, lambda n: F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(_stands(n, original, t), F.lit(_plain(t).replace(" ", "_"))) for t in terms])))))
 
 
-def features(original: Column) -> dict[str, Column]:
+def features(original: Column, norm: Column | None = None) -> dict[str, Column]:
+    """``norm`` is a column of the normalised text, where there is one: each feature reads it."""
     text = F.coalesce(original, F.lit(""))
-    n = normalize_text(text)
+    n = normalize_text(text) if norm is None else norm
     rental = n.rlike(RENTAL)
     hidden = F.transform(tags(n, text, HIDDEN), lambda t: F.coalesce(*[F.when(t == k, F.lit(v)) for k, v in HIDDEN_NAMES.items()], t))
     return {
@@ -76,8 +78,7 @@ def property_type(title: Column, description: Column) -> Column:
     """The most specific type that the title names, else the description."""
     def first(c: Column) -> Column:
         text = F.coalesce(c, F.lit(""))
-        n = normalize_text(text)
-        return F.coalesce(*[F.when(_stands(n, text, t), F.lit(_plain(t).replace(" ", "_"))) for t in TYPES])
+        return bound(normalize_text(text), lambda n: F.coalesce(*[F.when(_stands(n, text, t), F.lit(_plain(t).replace(" ", "_"))) for t in TYPES]))
 
     return F.coalesce(first(title), first(description))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text
+from .text import bound, normalize_text
 
 # What a number looks like, and the words that scale it.
 NUMBER = "\\d{1,3}(?:[    ]\\d{3})+(?:,\\d+)?(?![\\d.])|\\d[\\d.,]*\\d|\\d"
@@ -17,67 +19,72 @@ RENT = r"\b(?:kalt|warm|nettokalt|monats|grund)miete\b|\bmietpreis\b|\bzur miete
 
 def token_value(token: Column) -> Column:
     """The value of one number: a comma is the decimal sign, dots group thousands if all groups have three digits."""
-    t = F.translate(token, GROUPING, "")
-    whole = F.replace(F.regexp_extract(t, r"^(.*),", 1), F.lit("."), F.lit(""))
-    whole = F.when(whole == "", F.lit("0")).otherwise(F.replace(whole, F.lit(","), F.lit("")))
-    with_comma = F.concat(whole, F.lit("."), F.regexp_extract(t, r",([^,]*)$", 1)).try_cast("double")
-    grouped = F.replace(t, F.lit("."), F.lit("")).try_cast("double")
-    return F.when(F.contains(t, F.lit(",")), with_comma).when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), grouped).otherwise(t.try_cast("double"))
+    def value(t: Column) -> Column:
+        whole = F.replace(F.regexp_extract(t, r"^(.*),", 1), F.lit("."), F.lit(""))
+        whole = F.when(whole == "", F.lit("0")).otherwise(F.replace(whole, F.lit(","), F.lit("")))
+        with_comma = F.concat(whole, F.lit("."), F.regexp_extract(t, r",([^,]*)$", 1)).try_cast("double")
+        grouped = F.replace(t, F.lit("."), F.lit("")).try_cast("double")
+        return F.when(F.contains(t, F.lit(",")), with_comma).when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), grouped).otherwise(t.try_cast("double"))
+
+    return bound(F.translate(token, GROUPING, ""), value)
 
 
 def _scale(after: Column) -> Column:
-    word = F.regexp_replace(F.lower(F.regexp_extract(after, rf"(?i)^{SCALE}", 1)), r"\.", "")
-    return F.when(word.isin("k", "tsd", "tausend"), F.lit(1_000.0)).when(word.isin("mio", "million", "millionen"), F.lit(1_000_000.0)).otherwise(F.lit(1.0))
+    said = F.regexp_replace(F.lower(F.regexp_extract(after, rf"(?i)^{SCALE}", 1)), r"\.", "")
+    return bound(said, lambda word: F.when(word.isin("k", "tsd", "tausend"), F.lit(1_000.0)).when(word.isin("mio", "million", "millionen"), F.lit(1_000_000.0)).otherwise(F.lit(1.0)))
 
 
-def _first(text: Column) -> tuple[Column, Column]:
-    """The first number and what follows it."""
-    token = F.regexp_extract(text, NUMBER, 0)
-    after = F.regexp_extract(text, rf"(?s)^.*?(?:{NUMBER})(.*)$", 1)
-    return F.when(token != "", token), after
+def _first(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the first number and what follows it, both looked for once."""
+    token, after = F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")), F.regexp_extract(text, rf"(?s)^.*?(?:{NUMBER})(.*)$", 1)
+    return bound(F.struct(token.alias("token"), after.alias("after")), lambda x: body(x["token"], x["after"]))
 
 
 def german_number(text: Column) -> Column:
-    token, after = _first(text)
-    return token_value(token) * _scale(after)
+    return _first(text, lambda token, after: token_value(token) * _scale(after))
+
 
+def price_type(text: Column, value: Column | None = None) -> Column:
+    """``value`` is ``price_value`` of the text, where it is known."""
+    known = price_value(text) if value is None else value
 
-def price_type(text: Column) -> Column:
-    n = normalize_text(F.trim(text))
-    kind = (
-        F.when(n.rlike(RENT), "rent")
-        .when(n.rlike("verkehrswert|mindestgebot"), "auction_min")
-        .when(F.contains(n, F.lit("auf anfrage")), "on_request")
-        .when(n.rlike(r"\bvb\b|\bvhb\b|verhandlungsbasis"), "negotiable")
-        .otherwise("asking")
-    )
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").when((kind == "asking") & price_value(text).isNull(), "unknown").otherwise(kind)
+    def kind(n: Column) -> Column:
+        return (
+            F.when(n.rlike(RENT), "rent")
+            .when(n.rlike("verkehrswert|mindestgebot"), "auction_min")
+            .when(F.contains(n, F.lit("auf anfrage")), "on_request")
+            .when(n.rlike(r"\bvb\b|\bvhb\b|verhandlungsbasis"), "negotiable")
+            .when(known.isNull(), "unknown")
+            .otherwise("asking")
+        )
+
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").otherwise(bound(normalize_text(F.trim(text)), kind))
 
 
 def price_value(text: Column) -> Column:
     """Null unless a currency, a scale word or four digits speak for a price; percentages are passed over."""
     fused = F.regexp_extract(text, r"(?i)(\d[\d.,]*\d|\d)\s*t\s*€", 1)
     plain = F.regexp_replace(text, rf"(?i)(?:{NUMBER})\s*(?:%|prozent\b)", " ")
-    token, after = _first(plain)
-    scale = _scale(after)
-    trusted = text.rlike(r"(?i)€|eur\b|euro\b") | (scale != 1.0) | (F.length(F.regexp_replace(token, r"\D", "")) >= 4)
-    return F.when(fused != "", token_value(fused) * 1_000).when(trusted, token_value(token) * scale)
+    trusted = lambda token, scale: text.rlike(r"(?i)€|eur\b|euro\b") | (scale != 1.0) | (F.length(F.regexp_replace(token, r"\D", "")) >= 4)
+    scaled = lambda token, after: bound(_scale(after), lambda scale: F.when(trusted(token, scale), token_value(token) * scale))
+    return bound(fused, lambda number: F.when(number != "", token_value(number) * 1_000).otherwise(_first(plain, scaled)))
 
 
 def parse_price(text: Column) -> Column:
-    return F.struct(price_value(text).alias("value"), price_type(text).alias("kind"))
+    return bound(price_value(text), lambda value: F.struct(value.alias("value"), price_type(text, value).alias("kind")))
 
 
 def parse_area(text: Column) -> Column:
     """Square metres; a unit right after the number goes before one elsewhere, none means square metres."""
-    token, after = _first(text)
-
     def unit(where: Column) -> Column:
         return F.coalesce(*[F.when(where.rlike(f"(?i){p}"), F.lit(f)) for p, f in AREA_UNITS])
 
-    factor = F.coalesce(unit(F.substring(after, 1, 40)), unit(text), F.lit(1.0))
-    grouped = F.replace(token, F.lit(","), F.lit("")).try_cast("double")
-    return F.when((factor == 1.0) & token.rlike(r"^\d{1,3}(?:,\d{3})+$"), grouped).otherwise(token_value(token) * factor)
+    def area(token: Column, after: Column) -> Column:
+        factor = F.coalesce(unit(F.substring(after, 1, 40)), unit(text), F.lit(1.0))
+        grouped = F.replace(token, F.lit(","), F.lit("")).try_cast("double")
+        return bound(factor, lambda f: F.when((f == 1.0) & token.rlike(r"^\d{1,3}(?:,\d{3})+$"), grouped).otherwise(token_value(token) * f))
+
+    return _first(text, area)
 
 
 def prices_equivalent(a: Column, b: Column, percent: float) -> Column:

@@ -105,7 +105,7 @@ class Run:
         found = verdicts.filter("is_duplicate").select(F.col("listing").alias("listing_id"), F.col("candidate").alias("found_id"))
         # New ones among themselves.
         rest = materialise(f.join(found.withColumnRenamed("listing_id", "id"), "id", "left_anti"), "run-new")
-        pairs = blocking.candidate_pairs(rest)
+        pairs = blocking.candidate_pairs(rest, agreeing=True)
         sides = pairs.join(rest.select(F.struct("*").alias("fa")), F.col("a") == F.col("fa.id")).join(rest.select(F.struct("*").alias("fb")), F.col("b") == F.col("fb.id"))
         edges = resolve.evidence(sides.select(F.col("fa").alias("a"), F.col("fb").alias("b"))).filter("is_duplicate").select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
         edges = materialise(edges, "run-edges")

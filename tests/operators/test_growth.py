@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from landledger.functions import towns
-from landledger.operators import images
+from landledger.operators import blocking, images, resolve
+from landledger.operators.normalize import normalize_listings
 from landledger.plans import roles
+from landledger.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +61,22 @@ def test_sources_are_grouped_after_one_shuffle_without_a_sort_of_sightings(spark
 def test_what_is_sorted_is_not_worked_out_twice(spark):
     assert "Window" not in optimized(entry.queries()["change_feed"](spark, SF))
     assert "LeftSemi" in optimized(entry.queries()["marked_list"](spark, SF))
+
+
+def test_a_listing_is_normalised_once_for_all_terms_and_facts(spark):
+    raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in files.RAW_FIELDS))
+    assert optimized(normalize_listings(raw, F.lit("2026-09-01").cast("date"))).count(r"[^\w\s]") <= 8
+
+
+def test_pairs_that_no_verdict_joins_are_not_made(spark):
+    kind = "id long, title string, description string, postcode string, town string, lat double, lon double, geo_precision string, land_sqm double, living_sqm double, price double, year_built int, property_type string, source_ids array<string>, canonical_urls array<string>, phashes array<string>"
+    one = lambda i, price, land, ids=(): (i, "Hof", "", "83024", None, None, None, None, land, None, price, None, "hof", list(ids), [], [])
+    made = [one(1, 100.0, 900.0), one(2, 101.0, 905.0), one(3, 100.0, 5000.0), one(4, 700.0, 7000.0, ["s:1"]), one(5, 300.0, 100.0, ["s:1"])]
+    f = spark.createDataFrame(made, kind)
+    assert {(r["a"], r["b"]) for r in blocking.candidate_pairs(f, agreeing=True).collect()} == {(1, 2), (4, 5)}
+    # Searches neither shuffle nor group pairs: what is grouped by two ids isn't there.
+    found = resolve.find_duplicates(f.filter("id > 3"), f.filter("id <= 3"))
+    assert not re.search(r"Aggregate \[id#\d+L, id#\d+L\]", optimized(found))
+    judged = resolve.evidence(resolve.candidate_sides(f, f).filter("listing <> candidate"))
+    names = ("listing", "candidate", "is_duplicate", "needs_review", "confidence")
+    assert {tuple(r) for r in resolve.least_verdict(judged).select(*names).collect()} == {tuple(r) for r in resolve.best_verdict(judged).select(*names).collect()}
