@@ -7,10 +7,12 @@ A rescoring of the dirty rows alone appends those rows; clean ones stay as they
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import materialise
+from ..workspace import materialise, small_methods
 
 BUCKETS = 64
 
@@ -41,14 +43,24 @@ class ScoreStore:
         return out if buckets is None else out.filter(F.col("bucket").isin(buckets))
 
     def _latest(self, rows: DataFrame, *by: str) -> DataFrame:
-        """One aggregation with map-side parts; superseded rows aren't sorted."""
+        """One aggregation with map-side parts.  It carries all of ``rows``' columns: leave out what isn't wanted before."""
         names = [c for c in rows.columns if c not in by]
         return rows.groupBy(*by).agg(F.max_by(F.struct(*names), F.struct("updated_at", "version")).alias("_r")).select(*by, "_r.*")
 
-    def read(self, value: str | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The latest row of each key of the profile ``value``."""
-        keys = [self.key, *([self.by] if self.by else [])]
-        return self._latest(self._rows(value, buckets), *keys).drop("bucket", "version")
+    def _keys(self) -> list[str]:
+        return [self.key, *([self.by] if self.by else [])]
+
+    def read(self, value: str | None = None, buckets: list[int] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """The latest row of each key of the profile ``value``.  With ``columns`` no others are read (but the key's) nor carried along."""
+        rows = self._rows(value, buckets)
+        if columns is None:
+            return self._latest(rows, *self._keys()).drop("bucket", "version")
+        read = dict.fromkeys([*self._keys(), *columns, "updated_at", "version"])
+        return self._latest(rows.select(*read), *self._keys()).select(*dict.fromkeys([*self._keys(), *columns]))
+
+    def updates(self, value: str | None = None) -> DataFrame:
+        """When each key was last appended: an aggregation of fixed-width columns, of which no rows are sorted."""
+        return self._rows(value).groupBy(*self._keys()).agg(F.max("updated_at").alias("updated_at"))
 
     def compact(self, most: float = 2.0, value: str | None = None) -> list[tuple]:
         """Keep only latest rows in the folders that hold over ``most`` rows a key; gives these folders.
@@ -56,7 +68,8 @@ class ScoreStore:
         One folder is one bucket of one profile, so the counts that reach the driver are as many as there are folders.
         """
         rows = self._rows(value)
-        per = rows.groupBy(*self._folders).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(self.key).alias("k")).filter(F.col("n") > most * F.col("k"))
+        keys = rows.groupBy(*self._folders, self.key).agg(F.count(F.lit(1)).alias("n"))
+        per = keys.groupBy(*self._folders).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).filter(F.col("n") > most * F.col("k"))
         full = [tuple(r)[:-2] for r in per.collect()]
         if not full:
             return []
@@ -69,12 +82,18 @@ class ScoreStore:
 
 
 def rescore_dirty(props: DataFrame, facts: DataFrame, profile, now, scores: ScoreStore, costs: ScoreStore, version: int) -> DataFrame:
-    """Score what has no score or cost, or was updated since, and append both.  Returns the rows that were scored."""
+    """Score what has no score or cost, or was updated since, and append both.  Returns the rows that were scored.
+
+    Give ``facts`` as a table where more than one scoring reads it.  Properties go to their partitions by id first: all cores score, however few files
+    they come from, and joins on the id find them in place.
+    """
     from .score import rescore_all
 
-    kept = scores.read(profile.profile_hash).select("property_id", "profile_hash", "updated_at") if scores.exists() else None
-    known = costs.read().select("property_id") if costs.exists() else None
-    done = materialise(rescore_all(props, facts, profile, now, kept, known), "rescored")
+    kept = scores.updates(profile.profile_hash) if scores.exists() else None
+    known = costs.updates().select("property_id") if costs.exists() else None
+    with small_methods(scores.spark):
+        placed = props.repartition(int(scores.spark.conf.get("spark.sql.shuffle.partitions")), "property_id")
+        done = materialise(rescore_all(placed, facts, profile, now, kept, known), "rescored")
     scores.append(done.select("property_id", "profile_hash", *SCORES, "updated_at"), version)
     costs.append(done.select("property_id", *COSTS, "updated_at"), version)
     return done

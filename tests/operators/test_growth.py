@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from landledger.functions import towns
-from landledger.operators import blocking, images, resolve
+from landledger.operators import blocking, cost, images, resolve, score, score_store
 from landledger.operators.normalize import normalize_listings
 from landledger.plans import roles
+from landledger.search_profile import SHIPPED
 from landledger.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,41 @@ def test_pairs_that_no_verdict_joins_are_not_made(spark):
     judged = resolve.evidence(resolve.candidate_sides(f, f).filter("listing <> candidate"))
     names = ("listing", "candidate", "is_duplicate", "needs_review", "confidence")
     assert {tuple(r) for r in resolve.least_verdict(judged).select(*names).collect()} == {tuple(r) for r in resolve.best_verdict(judged).select(*names).collect()}
+
+
+def test_scoring_folds_a_text_once_and_looks_for_terms_without_patterns(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        p = roles.properties(spark, SF)
+        costs = optimized(cost.estimate_costs(p, SHIPPED))
+        facts = score.source_facts(roles.property_sources(spark, SF), roles.sources(spark, SF))
+        scored = optimized(score.score_properties(p, facts, SHIPPED, F.lit("1998-12-01").cast("timestamp")))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.findall(r"lower\(condition#", costs)) == 1 and len(re.findall(r"lower\(price_type#\d+\), ß", scored)) == 1 and "RLIKE" not in costs + scored
+
+
+def test_facts_of_sources_are_worked_out_once_for_all_scorings(spark, monkeypatch):
+    seen, rescore = [], score_store.rescore_dirty
+
+    def watched(props, facts, *rest):
+        done = rescore(props, facts, *rest)
+        seen.append(("Aggregate" in optimized(facts), len(done.inputFiles())))
+        return done
+
+    monkeypatch.setattr(score_store, "rescore_dirty", watched)
+    assert entry.queries()["rescored_store"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    # As many tasks score as there are partitions, though the properties are one small file.
+    assert seen == [(False, 4)] * 2 and spark.conf.get("spark.sql.codegen.hugeMethodLimit", None) is None
+
+
+def test_dirty_rows_are_told_without_sorting_kept_ones(spark, tmp_path):
+    store = score_store.ScoreStore(spark, f"file://{tmp_path}/s", 2)
+    rows = spark.range(6).selectExpr("id AS property_id", "'h' AS profile_hash", "1.0D AS final_score", "array('x') AS flags", "timestamp'2026-09-01' AS updated_at")
+    store.append(rows, 1)
+    store.append(rows.filter("property_id < 2").withColumn("updated_at", F.expr("timestamp'2026-09-02'")).withColumn("final_score", F.lit(2.0)), 2)
+    updates, read = store.updates("h"), store.read("h", columns=["final_score"])
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (updates, read)]
+    assert "SortAggregate" not in plans[0] and "flags" not in plans[1]
+    assert {(r["property_id"], r["updated_at"].day) for r in updates.collect()} == {(i, 2 if i < 2 else 1) for i in range(6)}
+    assert {tuple(r) for r in read.collect()} == {(i, "h", 2.0 if i < 2 else 1.0) for i in range(6)}
