@@ -21,7 +21,7 @@ from ..functions.geo import haversine
 from ..functions.text import fold
 from ..search_profile import Profile
 from ..sources.portals import Reading
-from ..workspace import materialise
+from ..workspace import materialise, small_broadcasts
 from . import blocking, digest, fold_state, ingest, lifecycle, links, report, resolve, score, score_store
 from .normalize import normalize_listings
 
@@ -197,6 +197,10 @@ class Run:
 
     def whole(self, readings: dict[str, Reading], places: DataFrame | None = None, towns: list[str] | None = None) -> RunResult:
         """All stages in order.  Their counters are logged as far as they came, also where one fails."""
+        with small_broadcasts(self.spark):
+            return self._whole(readings, places, towns)
+
+    def _whole(self, readings: dict[str, Reading], places: DataFrame | None, towns: list[str] | None) -> RunResult:
         try:
             resolved = self.resolve(self.read(readings, places))
             steps = [self.fold(resolved), self.absences(readings, resolved)]

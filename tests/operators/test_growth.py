@@ -1,12 +1,14 @@
 """Work that must not grow with rows, or with sizes that a file hides: seen in plans."""
 
 import re
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from landledger.functions import towns
-from landledger.operators import blocking, cost, images, resolve, score, score_store
+from landledger.operators import blocking, cost, images, resolve, run, score, score_store
 from landledger.operators.normalize import normalize_listings
 from landledger.plans import roles
 from landledger.search_profile import SHIPPED
@@ -119,3 +121,20 @@ def test_dirty_rows_are_told_without_sorting_kept_ones(spark, tmp_path):
     assert "SortAggregate" not in plans[0] and "flags" not in plans[1]
     assert {(r["property_id"], r["updated_at"].day) for r in updates.collect()} == {(i, 2 if i < 2 else 1) for i in range(6)}
     assert {tuple(r) for r in read.collect()} == {(i, "h", 2.0 if i < 2 else 1.0) for i in range(6)}
+
+
+def test_a_run_sends_no_growing_table_through_the_driver(spark, tmp_path, monkeypatch):
+    # Ids in sequence: a file of some hundred KB to 4 MB whose rows took 67 MB and more in the driver.
+    spark.range(1_000_000).repartition(4).write.parquet(f"file://{tmp_path}/ids")
+    ids, seen = spark.read.parquet(f"file://{tmp_path}/ids"), []
+
+    def read(self, *_):
+        seen.append(ids.join(ids.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(run.Run, "read", read)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(InterruptedError):
+        run.Run(spark, f"file://{tmp_path}/base", spark.range(1), SHIPPED, 1, datetime(2026, 9, 1), 2).whole({})
+    assert "SortMergeJoin" in seen[0] and "BroadcastHashJoin" not in seen[0]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
