@@ -138,3 +138,18 @@ def test_a_run_sends_no_growing_table_through_the_driver(spark, tmp_path, monkey
         run.Run(spark, f"file://{tmp_path}/base", spark.range(1), SHIPPED, 1, datetime(2026, 9, 1), 2).whole({})
     assert "SortMergeJoin" in seen[0] and "BroadcastHashJoin" not in seen[0]
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_hashes_within_a_wide_reach_are_compared_in_blocks(spark):
+    # A crowd of near hashes, which share nearly all keys, copies, ids of several hashes, and one far from all.
+    crowd = [(k, 1 << k % 13 | 1 << 20 + k % 7) for k in range(300)] + [(7, 0), (900, 2**64 - 1), (901, 2**63)]
+    rows = spark.createDataFrame([(i, f"{v:016x}") for i, v in crowd], "id long, phash string")
+    want = {}
+    for i, v in crowd:
+        for j, w in crowd:
+            if i < j and (v ^ w).bit_count() <= 9:
+                want[i, j] = min(want.get((i, j), 64), (v ^ w).bit_count())
+    got = images.near_images(rows, 9)
+    assert {(r["a"], r["b"]): r["bits"] for r in got.collect()} == want and got.count() == len(want)
+    # What is made are the pairs that are given, not those of keys.
+    assert "MapInArrow" in optimized(got) and "Generate explode" not in optimized(images.near_hashes(rows, 9)).split("MapInArrow")[0]
